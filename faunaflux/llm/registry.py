@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op10_language_id
 from .jaccard_join import op9_jaccard_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_jaccard_join,)}
+    return {f.__name__: f for f in (op9_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
