@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
+from .line_dedup import op8_line_dedup
 from .language_id import op10_language_id
 from .jaccard_join import op9_jaccard_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op9_jaccard_join, op10_language_id, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_line_dedup": line_dedup.SQL,
+    }
