@@ -69,9 +69,12 @@ def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the maximal runs of non-space bytes, their hashes with A-Z as a-z, and the n + 1 token offsets of documents."""
-    inside = ~SPACE[data]
+def tokens(data: np.ndarray, at: np.ndarray, letter: np.ndarray = LETTER_LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the maximal runs of bytes in tokens, their hashes, and the n + 1 token offsets of documents.
+
+    letter: a value for each byte, 0 for those that are in no token; as it stands, tokens end at space, and A-Z count as a-z.
+    """
+    inside = letter[data] != 0
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edge = at[:-1][at[:-1] < at[1:]]
@@ -81,7 +84,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         return starts, np.zeros(0, U), np.zeros(len(at), np.int64)
     spans = np.diff(np.append(starts, len(data)))
     inner = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    value = LETTER_LOWER[data[starts[0] :]]
+    value = letter[data[starts[0] :]]
     value *= place(int(spans.max()))[inner]
     return starts, mix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, at)
 

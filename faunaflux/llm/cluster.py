@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint(), in the shared folder that the session names; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a folder of its own only where none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="faunaflux-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint(), in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
