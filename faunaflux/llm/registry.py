@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op4_licenses
 from .ann import op7_ann
 from .pii import op1_pii
 from .decontaminate import op5_decontaminate
@@ -17,7 +18,7 @@ from .jaccard_join import op9_jaccard_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_jaccard_join, op10_language_id, op8_line_dedup, op6_mixing, op5_decontaminate, op1_pii, op7_ann)}
+    return {f.__name__: f for f in (op9_jaccard_join, op10_language_id, op8_line_dedup, op6_mixing, op5_decontaminate, op1_pii, op7_ann, op4_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
