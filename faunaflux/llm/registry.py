@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .suffix_dedup import op2_suffix_dedup
 from .lm_scoring import op3_lm_scoring
 from .licenses import op4_licenses
 from .ann import op7_ann
@@ -19,7 +20,7 @@ from .jaccard_join import op9_jaccard_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_jaccard_join, op10_language_id, op8_line_dedup, op6_mixing, op5_decontaminate, op1_pii, op7_ann, op4_licenses, op3_lm_scoring)}
+    return {f.__name__: f for f in (op9_jaccard_join, op10_language_id, op8_line_dedup, op6_mixing, op5_decontaminate, op1_pii, op7_ann, op4_licenses, op3_lm_scoring, op2_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
