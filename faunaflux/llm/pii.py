@@ -206,6 +206,7 @@ def _joined(spans: Column) -> Column:
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added over all documents."""
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    n = [F.size(F.filter("base", lambda c, k=k: c["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of = lambda k: F.size(F.filter("base", lambda c: c["k"] == k)).cast("long")
+    n = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"))))
     return found.select(F.col("_id").alias("doc_id"), *n, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
