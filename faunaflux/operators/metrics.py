@@ -134,7 +134,7 @@ def continuous_boyce(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p
 def miller_calibration(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", eps: float = 1e-6) -> DataFrame:
     """calibration_intercept and calibration_slope of each group: y on logit(p). Counts by distinct score are what a group brings together."""
     rows = _scores(pred.withColumn(p, finite(p)), keys, y, p).withColumn("z", logit("s", eps))
-    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", calibration_intercept double, calibration_slope double"
+    schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "calibration_intercept double", "calibration_slope double"])
 
     def fit(t: pd.DataFrame) -> pd.DataFrame:
         z, pos, n = t["z"].to_numpy(float), t["pos"].to_numpy(float), t["n"].to_numpy(float)

@@ -1,0 +1,208 @@
+"""Queries over learners, objectives, reports and plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import learners, objectives, report, resample, graphs
+from . import views
+from .catalogue import query
+from .planner import Methodology, Modality, StagedPlanner, expand_grid
+from .views import OCC, PREDICTORS, PRED, RESULTS
+
+G = ["region", "spid"]
+JOB = "scenario, region, species_id, model_name"
+
+
+def _train(spark, d):
+    return views.occ(spark, d).where("part = 'train'")
+
+
+def _test(spark, d):
+    return views.occ(spark, d).where("part = 'test'")
+
+
+@query("model_dummy", ", p AS (SELECT region, spid, avg(occ) AS p FROM occ WHERE part = 'train' GROUP BY ALL) SELECT region, spid, ord, round(p.p, 6) AS p FROM occ JOIN p USING (region, spid) WHERE part = 'test'", OCC)
+def model_dummy(spark, d):
+    return learners.dummy(_train(spark, d), _test(spark, d), G).select(*G, "ord", "p")
+
+
+@query("model_gaussian_nb", """, s AS (SELECT region, spid, occ AS c, count(*) AS n, avg(price) AS mp, var_pop(price) AS vp, avg(acct) AS ma, var_pop(acct) AS va, avg(age) AS mg, var_pop(age) AS vg FROM occ WHERE part = 'train' GROUP BY ALL),
+e AS (SELECT region, spid, greatest(var_pop(price), var_pop(acct), var_pop(age)) * 1e-9 AS eps, count(*) AS total FROM occ WHERE part = 'train' GROUP BY ALL),
+l AS (SELECT o.region, o.spid, o.ord, c, ln(n::double / total) - ln((vp + eps) * 2 * pi()) / 2 - (price - mp) * (price - mp) / ((vp + eps) * 2) - ln((va + eps) * 2 * pi()) / 2 - (acct - ma) * (acct - ma) / ((va + eps) * 2) - ln((vg + eps) * 2 * pi()) / 2 - (age - mg) * (age - mg) / ((vg + eps) * 2) AS l FROM occ o JOIN s USING (region, spid) JOIN e USING (region, spid) WHERE part = 'test'),
+w AS (SELECT region, spid, ord, max(l) FILTER (c = 1) AS l1, max(l) FILTER (c = 0) AS l0 FROM l GROUP BY ALL) SELECT region, spid, ord, round(CASE WHEN l1 IS NULL THEN 0 WHEN l0 IS NULL THEN 1 ELSE 1 / (1 + exp(l0 - l1)) END, 6) AS p FROM w""", OCC)
+def model_gaussian_nb(spark, d):
+    return learners.gaussian_nb(_train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
+
+
+@query("model_knn", """, t AS (SELECT a.region, a.spid, a.ord, b.occ, row_number() OVER (PARTITION BY a.ord ORDER BY abs(a.price - b.price) + abs(a.acct - b.acct) + abs(a.age - b.age), b.ord) AS k FROM occ a JOIN occ b ON a.region = b.region AND a.spid = b.spid WHERE a.part = 'test' AND b.part = 'train')
+SELECT region, spid, ord, round(avg(occ), 6) AS p FROM t WHERE k <= 5 GROUP BY ALL""", OCC)
+def model_knn(spark, d):
+    return learners.knn(_train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
+
+
+@query("model_adaboost", None)
+def model_adaboost(spark, d):
+    return learners.adaboost(_train(spark, d), _test(spark, d), G, PREDICTORS, "ord", rounds=10)
+
+
+def _mllib(name, **options):
+    @query(f"model_{name.replace('-', '_')}", None)
+    def run(spark, d):
+        return learners.fit_predict(name, _train(spark, d), _test(spark, d), PREDICTORS, "ord", **options)
+
+
+for _name, _options in (("logistic-regression", {}), ("decision-tree", {}), ("random-forest-mllib", {"numTrees": 10}), ("gradient-boosting", {"maxIter": 5}), ("mlp-mllib", {"maxIter": 10}), ("linear-svc", {"maxIter": 10})):
+    _mllib(_name, **_options)
+
+
+@query("model_subsample_ensemble", None)
+def model_subsample_ensemble(spark, d):
+    members = resample.balanced_members(_train(spark, d), G, "ord", k=4)
+    return learners.ensemble(members, _test(spark, d), G, "ord", lambda a, b, keys: learners.gaussian_nb(a, b, keys, PREDICTORS, "ord"))
+
+
+@query("graph_smoothing", None)
+def graph_smoothing(spark, d):
+    n = views.occ(spark, d).where("spid = 'BUILDING' and ord % 5 = 0").select("region", "ord", "x", "y", "age")
+    return learners.graph_smoothed(n, graphs.radius_edges(n, ["region"], "ord", 9000), ["region"], "ord", ["age"])
+
+
+@query("skip_rows", "SELECT 'xgboost' AS model_name, 'SKIPPED_DEPENDENCY' AS status, 'xgboost is not available here' AS error UNION ALL SELECT 'tabpfn-sdm', 'SKIPPED_LICENSE', 'tabpfn-sdm is not available here'")
+def skip_rows(spark, d):
+    return learners.skip_rows(spark.createDataFrame([("xgboost",), ("tabpfn-sdm",), ("knn",)], "model_name string"))
+
+
+LOGIT = f", z AS (SELECT {JOB}, row, y, ln(p / (1 - p)) AS z FROM pred WHERE scenario = 'nonspatial'), c AS (SELECT *, greatest(z, 0) - z * y + ln(1 + exp(-abs(z))) AS ce FROM z)"
+JOBS = views.JOB
+
+
+def _logits(spark, d):
+    p = views.pred(spark, d).where("scenario = 'nonspatial'")
+    return p.withColumn("z", F.ln(F.col("p") / (1 - F.col("p"))))
+
+
+@query("loss_bce", LOGIT + f" SELECT {JOB}, round(avg(ce), 6) AS loss FROM c GROUP BY ALL", PRED)
+def loss_bce(spark, d):
+    return objectives.bce(_logits(spark, d), JOBS)
+
+
+@query("loss_weighted_bce", LOGIT + f" SELECT {JOB}, round(sum(ce * CASE WHEN y = 1 THEN 3 ELSE 1 END) / sum(CASE WHEN y = 1 THEN 3 ELSE 1 END), 6) AS loss FROM c GROUP BY ALL", PRED)
+def loss_weighted_bce(spark, d):
+    return objectives.weighted_bce(_logits(spark, d), JOBS, positive=3)
+
+
+@query("loss_focal", LOGIT + f" SELECT {JOB}, round(avg(pow(1 - exp(-ce), 2) * ce), 6) AS loss FROM c GROUP BY ALL", PRED)
+def loss_focal(spark, d):
+    return objectives.focal(_logits(spark, d), JOBS)
+
+
+@query("loss_pairwise", LOGIT + f""", r AS (SELECT *, row_number() OVER (PARTITION BY {JOB}, y ORDER BY md5('32639|' || row::varchar), row) AS k FROM z)
+SELECT {JOB}, round(avg(greatest(1 - (a.z - b.z), 0)), 6) AS loss FROM (SELECT * FROM r WHERE y = 1 AND k <= 20) a JOIN (SELECT * FROM r WHERE y = 0 AND k <= 20) b USING ({JOB}) GROUP BY ALL""", PRED)
+def loss_pairwise(spark, d):
+    return objectives.pairwise_ranking(_logits(spark, d), JOBS, "row", most=20)
+
+
+@query("loss_maxent", LOGIT + f" SELECT {JOB}, round(-avg(z) FILTER (y = 1) + ln(sum(exp(z)) FILTER (y = 0)) - ln(count(*) FILTER (y = 0)), 6) + 0 AS loss FROM z GROUP BY ALL", PRED)
+def loss_maxent(spark, d):
+    return objectives.maxent(_logits(spark, d), JOBS)
+
+
+@query("loss_poisson", LOGIT + f", n AS (SELECT *, count(*) FILTER (y = 0) OVER (PARTITION BY {JOB}) AS nb FROM z) SELECT {JOB}, round(avg(CASE WHEN y = 1 THEN 1e-6 ELSE 1.0::double / nb END * exp(greatest(least(z, 30), -30)) - y * greatest(least(z, 30), -30)), 6) + 0 AS loss FROM n GROUP BY ALL", PRED)
+def loss_poisson(spark, d):
+    return objectives.poisson(_logits(spark, d), JOBS)
+
+
+@query("loss_deepmaxent", LOGIT + ", g AS (SELECT region, model_name, species_id, count(*) AS n, ln(sum(exp(z))) AS l, avg(z) FILTER (y = 1) AS p FROM z GROUP BY ALL) SELECT region, model_name, round(avg(l - p), 6) + 0 AS loss FROM g WHERE n >= 2 AND p IS NOT NULL GROUP BY ALL", PRED)
+def loss_deepmaxent(spark, d):
+    return objectives.deep_maxent(_logits(spark, d), ["region", "model_name"], "species_id")
+
+
+@query("permutation_importance", f""", t AS (SELECT region, ord, occ AS y, age, row_number() OVER (PARTITION BY region ORDER BY ord) AS i, row_number() OVER (PARTITION BY region ORDER BY {"md5('7|' || ord::varchar)"}, ord) AS j FROM occ WHERE part = 'test'),
+s AS (SELECT a.region, a.y, a.age AS base, b.age AS shuffled FROM t a JOIN t b ON a.region = b.region AND a.i = b.j), d AS (SELECT region, abs(avg(base) FILTER (y = 1) - avg(base) FILTER (y = 0)) AS base, abs(avg(shuffled) FILTER (y = 1) - avg(shuffled) FILTER (y = 0)) AS shuffled FROM s GROUP BY ALL) SELECT region, round(base - shuffled, 6) + 0 AS fall FROM d""", OCC)
+def permutation_importance(spark, d):
+    t = _test(spark, d).select("region", "ord", "occ", "age")
+    gap = lambda x: x.groupBy("region").agg(F.abs(F.avg(F.when(F.col("occ") == 1, F.col("age"))) - F.avg(F.when(F.col("occ") == 0, F.col("age")))).alias("g"))
+    shuffled = gap(resample.permuted(t, ["region"], "ord", ["age"], 7)).withColumnRenamed("g", "h")
+    return gap(t).join(shuffled, "region").select("region", (F.col("g") - F.col("h")).alias("fall"))
+
+
+REF = ", ref AS (SELECT * FROM (VALUES ('price', 'nonspatial', 'roc_auc', 0.51::double, 226::bigint), ('acct', 'spatial', 'roc_auc', 0.2, 185), ('gam', 'nonspatial', 'roc_auc', 0.717, 226)) t(model_name, scenario, metric, published, n_species_published))"
+
+
+def _reference(spark):
+    return spark.createDataFrame([("price", "nonspatial", "roc_auc", 0.51, 226), ("acct", "spatial", "roc_auc", 0.2, 185), ("gam", "nonspatial", "roc_auc", 0.717, 226)], "model_name string, scenario string, metric string, published double, n_species_published long")
+
+
+@query("reproduction_report", REF + """, g AS (SELECT scenario, model_name, avg(roc_auc) FILTER (status = 'OK') AS reproduced, count(DISTINCT region || '/' || species_id) FILTER (status = 'OK' AND roc_auc IS NOT NULL) AS n_species_reproduced, count(*) AS n_jobs, count(*) FILTER (status = 'OK') AS n_ok FROM results GROUP BY ALL)
+SELECT scenario, model_name, metric, published, n_species_published, round(reproduced, 6) AS reproduced, n_species_reproduced, round(reproduced - published, 6) + 0 AS difference, CASE WHEN reproduced IS NULL THEN 'NOT RUN' WHEN abs(reproduced - published) <= 0.010 THEN 'MATCH' WHEN abs(reproduced - published) <= 0.025 THEN 'CLOSE' ELSE 'MISMATCH' END AS status,
+CASE WHEN n_jobs IS NULL THEN 'no job' WHEN n_ok = 0 THEN 'no job succeeded' ELSE n_ok::varchar || ' of ' || n_jobs::varchar || ' jobs' END AS note FROM ref LEFT JOIN g USING (scenario, model_name)""", RESULTS)
+def reproduction_report(spark, d):
+    return report.reproduction(_reference(spark), views.results(spark, d))
+
+
+@query("reproduction_status", "SELECT 'MISMATCH' AS status")
+def reproduction_status(spark, d):
+    return report.overall_status(report.reproduction(_reference(spark), views.results(spark, d)))
+
+
+@query("extra_models", REF + " SELECT DISTINCT model_name FROM results WHERE scenario = 'nonspatial' AND model_name NOT IN (SELECT model_name FROM ref WHERE scenario = 'nonspatial')", RESULTS)
+def extra_models(spark, d):
+    return report.extra_models(_reference(spark), views.results(spark, d))
+
+
+JOBID = "'bench__' || scenario || '__' || regexp_replace(region, '[^A-Za-z0-9._-]+', '-', 'g') || '__' || species_id || '__' || model_name"
+
+
+def _with_ids(df):
+    return df.withColumn("job_id", scalar.job_id(F.lit("bench"), "scenario", "region", "species_id", "model_name"))
+
+
+@query("pending_jobs", f", j AS (SELECT {JOBID} AS job_id, status FROM results) SELECT job_id FROM j WHERE status <> 'OK'", RESULTS)
+def pending_jobs(spark, d):
+    r = _with_ids(views.results(spark, d))
+    return report.pending(r.select("job_id"), r, include_failed=False)
+
+
+@query("job_ids", f" SELECT {JOBID} AS job_id FROM results", RESULTS)
+def job_ids(spark, d):
+    return _with_ids(views.results(spark, d)).select("job_id")
+
+
+@query("content_hash", None)
+def content_hash(spark, d):
+    return report.content_hash(views.table(spark, d, "customer"))
+
+
+BASE = Methodology("base", (Modality("climate"), Modality("soil"), Modality("terrain", "raster", "patch-statistics", ("1km",))))
+
+
+def _plan_rows(spark, plans):
+    return spark.createDataFrame([(p.name,) for p in plans], "name string")
+
+
+@query("plan_information", "SELECT unnest(['base', 'base-only-climate', 'base-only-soil', 'base-only-terrain', 'base-minus-climate', 'base-minus-soil', 'base-minus-terrain']) AS name")
+def plan_information(spark, d):
+    return _plan_rows(spark, StagedPlanner(BASE).information())
+
+
+@query("plan_scale", "SELECT 'base-terrain@' || s AS name FROM (SELECT unnest(['250m', '1km', '5km', '25km', '250m+1km+5km+25km']) AS s)")
+def plan_scale(spark, d):
+    return _plan_rows(spark, StagedPlanner(BASE).scale())
+
+
+@query("plan_factorial_counts", "SELECT 'fusion' AS stage, 6::bigint AS n UNION ALL SELECT 'spatial', 5 UNION ALL SELECT 'objective', 6 UNION ALL SELECT 'model', 11")
+def plan_factorial_counts(spark, d):
+    t = StagedPlanner(BASE).table(spark).where("stage in ('fusion', 'spatial', 'objective', 'model')")
+    return t.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query("plan_all", None)
+def plan_all(spark, d):
+    return StagedPlanner(BASE, 226, 2).table(spark)
+
+
+@query("grid_expansion", "SELECT k, m, w FROM (SELECT unnest([3, 5, 7, 9, 15])::bigint AS k) CROSS JOIN (SELECT unnest(['euclidean', 'manhattan']) AS m) CROSS JOIN (SELECT unnest(['uniform', 'distance']) AS w)")
+def grid_expansion(spark, d):
+    return spark.createDataFrame([(g["k"], g["m"], g["w"]) for g in expand_grid({"k": [3, 5, 7, 9, 15], "m": ["euclidean", "manhattan"], "w": ["uniform", "distance"]})], "k long, m string, w string")
