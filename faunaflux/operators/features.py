@@ -20,8 +20,8 @@ def patch_statistics(df: DataFrame, key: str, array: str) -> DataFrame:
     x = F.transform(F.col(array), lambda v: F.coalesce(finite(v), d(0)))
     t = df.select(key, x.alias("a")).withColumn("n", F.size("a"))
     add = lambda a: F.aggregate(a, d(0), lambda s, v: s + v)
-    t = t.withColumn("mean", add(F.col("a")) / F.col("n")).withColumn("s", F.array_sort("a"))
-    sd = F.sqrt(add(F.transform("a", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / F.col("n"))
+    t = t.withColumn("mean", F.try_divide(add(F.col("a")), F.col("n"))).withColumn("s", F.array_sort("a"))
+    sd = F.sqrt(add(F.transform("a", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / F.nullif(F.col("n"), F.lit(0)))
     median = (F.get("s", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("s", F.floor(F.col("n") / 2).cast("int"))) / 2
     return t.select(key, "mean", sd.alias("sd"), F.array_min("a").alias("min"), F.array_max("a").alias("max"), median.alias("median"))
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import d
 from ..schemas import SkippableError
-from .resample import average_logits
+from .features import modality_weights
+from .metrics import compute_metrics, roc_auc
+from .resample import average_logits, stratified_folds
 
 SEED = 32639
 
@@ -26,7 +28,7 @@ def gaussian_nb(train: DataFrame, test: DataFrame, keys: list[str], features: li
     t = test.select(*keys, row, *features).join(s.join(floor, keys), keys)
     log = F.ln(F.col("n") / F.col("total"))
     for x in features:
-        var = F.col(f"v_{x}") + F.col("eps")
+        var = F.greatest(F.col(f"v_{x}") + F.col("eps"), d(1e-300))
         log = log - F.ln(var * (2 * np.pi)) / 2 - F.pow(F.col(x) - F.col(f"m_{x}"), 2) / (var * 2)
     t = t.select(*keys, row, "c", log.alias("l")).groupBy(*keys, row).agg(F.max(F.when(F.col("c") == 1, F.col("l"))).alias("l1"), F.max(F.when(F.col("c") == 0, F.col("l"))).alias("l0"))
     return t.select(*keys, row, F.when(F.col("l1").isNull(), d(0)).when(F.col("l0").isNull(), d(1)).otherwise(d(1) / (d(1) + F.exp(F.col("l0") - F.col("l1")))).alias("p"))
@@ -187,3 +189,51 @@ def skip_rows(jobs: DataFrame) -> DataFrame:
     """Rows with status and error for jobs (with model_name) of models that are not available; no metrics."""
     pairs = F.create_map(*[F.lit(v) for kv in UNAVAILABLE.items() for v in kv])
     return jobs.withColumn("status", pairs[F.col("model_name")]).where("status is not null").withColumn("error", F.concat("model_name", F.lit(" is not available here")))
+
+
+def tune(train: DataFrame, keys: list[str], row: str, grid: list[dict], fit, n_folds: int = 5, folds=None, metric: str = "roc_auc") -> DataFrame:
+    """keys, place (in the grid), score: mean score over folds of training rows; fit(train, test, keys, **options) gives keys, row, p.
+
+    folds adds column fold; stratified by default. Every setting of the grid runs over all groups and folds at once.
+    """
+    t = (folds or (lambda df: stratified_folds(df, keys, row, k=n_folds)))(train)
+    by = [*keys, "fold"]
+    held = t.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    a, b = held.where("own != fold").drop("own"), held.where("own = fold").drop("own")
+    parts = []
+    for i, options in enumerate(grid):
+        p = fit(a, b, by, **options).join(b.select(*by, row, F.col("occ").alias("y")), [*by, row])
+        score = compute_metrics(p, by, [metric])
+        parts.append(score.groupBy(*keys).agg(F.avg(metric).alias("score")).withColumn("place", F.lit(i)))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def best_setting(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, place, score: the best score, the first of equals."""
+    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("place")).alias("p"))))
+    return scores.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.p")).alias("place"), F.col("b.score").alias("score"))
+
+
+def linear_shapley(df: DataFrame, coefficients: dict[str, float], keys: list[str] = ()) -> DataFrame:
+    """feature, mean_abs, mean of the exact Shapley values of a linear model: coefficient times the distance from the mean."""
+    names = list(coefficients)
+    means = df.groupBy(*keys).agg(*[F.avg(n).alias(f"__m_{n}") for n in names])
+    t = df.join(means, list(keys)) if keys else df.join(F.broadcast(means))
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), ((F.col(n) - F.col(f"__m_{n}")) * d(coefficients[n])).alias("phi")) for n in names])
+    return t.select(*keys, F.explode(cells).alias("c")).groupBy(*keys, "c.feature").agg(F.avg(F.abs("c.phi")).alias("mean_abs"), F.avg("c.phi").alias("mean"))
+
+
+def late_fusion(train: DataFrame, test: DataFrame, modalities: dict[str, list[str]], row: str, fit=None, y: str = "occ") -> DataFrame:
+    """row, p: a learner for each modality, weighed by its skill on training rows; fit(train, test, features) gives row, p."""
+    fit = fit or (lambda a, b, f: fit_predict("logistic-regression", a, b, f, row, y))
+    auc, out = {}, None
+    for m in sorted(modalities):
+        own = fit(train, train, modalities[m]).join(train.select(row, F.col(y).alias("y")), row).withColumn("g", F.lit(1))
+        auc[m] = roc_auc(own, ["g"]).first()["roc_auc"] or 0.5
+    for m, w in modality_weights(auc).items():
+        p = fit(train, test, modalities[m]).select(row, (F.col("p") * d(w)).alias("p"))
+        out = p if out is None else out.unionByName(p)
+    return out.groupBy(row).agg(F.sum("p").alias("p"))

@@ -18,8 +18,8 @@ DIRECTIONS = {"roc_auc": "higher", "pr_auc": "higher", "average_precision": "hig
 
 def _scores(pred: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """keys, s, pos, n: counts by distinct score."""
-    rows = pred.select(*keys, F.col(y).cast("int").alias("y"), finite(p).alias("s")).where("y is not null and s is not null")
-    return rows.groupBy(*keys, "s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    rows = pred.select(*keys, F.col(y).cast("int").alias("__y"), finite(p).alias("__s")).where("__y is not null and __s is not null")
+    return rows.groupBy(*keys, "__s").agg(F.sum("__y").alias("__pos"), F.count("*").alias("__n"))
 
 
 def _both(value: Column, pos: Column, total: Column) -> Column:
@@ -28,33 +28,33 @@ def _both(value: Column, pos: Column, total: Column) -> Column:
 
 def roc_auc(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", name: str = "roc_auc") -> DataFrame:
     """Mann-Whitney area with average ranks for ties; null where a class is missing."""
-    w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    t = _scores(pred, keys, y, p).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    pos, n = F.sum("pos").cast("double"), F.sum("n").cast("double")
-    ranks = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1).cast("double") / 2))
+    w = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    t = _scores(pred, keys, y, p).withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    pos, n = F.sum("__pos").cast("double"), F.sum("__n").cast("double")
+    ranks = F.sum(F.col("__pos") * (F.col("__below") + (F.col("__n") + 1).cast("double") / 2))
     return t.groupBy(*keys).agg(_both((ranks - pos * (pos + 1) / 2) / (pos * (n - pos)), pos, n).alias(name))
 
 
 def _descending(pred: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("s"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("__s"))
     all_ = Window.partitionBy(*keys)
     t = _scores(pred, keys, y, p)
-    t = t.withColumn("tp", F.sum("pos").over(w).cast("double")).withColumn("k", F.sum("n").over(w).cast("double"))
-    return t.withColumn("pos_all", F.sum("pos").over(all_).cast("double")).withColumn("n_all", F.sum("n").over(all_).cast("double"))
+    t = t.withColumn("__tp", F.sum("__pos").over(w).cast("double")).withColumn("__k", F.sum("__n").over(w).cast("double"))
+    return t.withColumn("__pos_all", F.sum("__pos").over(all_).cast("double")).withColumn("__n_all", F.sum("__n").over(all_).cast("double"))
 
 
 def average_precision(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", name: str = "average_precision") -> DataFrame:
     t = _descending(pred, keys, y, p)
-    total, n = F.max("pos_all"), F.max("n_all")
-    return t.groupBy(*keys).agg(_both(F.sum(F.col("pos") / F.col("pos_all") * F.col("tp") / F.col("k")), total, n).alias(name))
+    total, n = F.max("__pos_all"), F.max("__n_all")
+    return t.groupBy(*keys).agg(_both(F.sum(F.try_divide("__pos", "__pos_all") * F.col("__tp") / F.col("__k")), total, n).alias(name))
 
 
 def pr_trapezoid(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", name: str = "pr_trapezoid") -> DataFrame:
     """Area under precision by recall, by trapezoids from the point (0, 1)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    t = _descending(pred, keys, y, p).withColumn("r", F.col("tp") / F.col("pos_all")).withColumn("q", F.col("tp") / F.col("k"))
-    t = t.withColumn("area", (F.col("r") - F.coalesce(F.lag("r").over(w), d(0))) * (F.col("q") + F.coalesce(F.lag("q").over(w), d(1))) / 2)
-    return t.groupBy(*keys).agg(_both(F.sum("area"), F.max("pos_all"), F.max("n_all")).alias(name))
+    w = Window.partitionBy(*keys).orderBy(F.desc("__s"))
+    t = _descending(pred, keys, y, p).withColumn("__r", F.try_divide("__tp", "__pos_all")).withColumn("__q", F.col("__tp") / F.col("__k"))
+    t = t.withColumn("__area", (F.col("__r") - F.coalesce(F.lag("__r").over(w), d(0))) * (F.col("__q") + F.coalesce(F.lag("__q").over(w), d(1))) / 2)
+    return t.groupBy(*keys).agg(_both(F.sum("__area"), F.max("__pos_all"), F.max("__n_all")).alias(name))
 
 
 def pr_auc(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", method: str = "average_precision", name: str = "pr_auc") -> DataFrame:
@@ -82,23 +82,23 @@ def scoring_rules(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p")
 
 def max_tss(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """max_tss and threshold: the highest threshold that reaches the largest tpr - fpr; null threshold without skill."""
-    t = _descending(pred, keys, y, p).withColumn("tss", F.col("tp") / F.col("pos_all") - (F.col("k") - F.col("tp")) / (F.col("n_all") - F.col("pos_all")))
-    best = F.max(F.struct("tss", "s"))
-    ok = (F.max("pos_all") > 0) & (F.max("pos_all") < F.max("n_all"))
-    t = t.groupBy(*keys).agg(F.when(ok, best).alias("b"))
-    return t.select(*keys, F.when(F.col("b.tss") > 0, F.col("b.tss")).otherwise(F.when(F.col("b").isNotNull(), d(0))).alias("max_tss"), F.when(F.col("b.tss") > 0, F.col("b.s")).alias("threshold"))
+    t = _descending(pred, keys, y, p).withColumn("__tss", F.try_divide("__tp", "__pos_all") - F.try_divide(F.col("__k") - F.col("__tp"), F.col("__n_all") - F.col("__pos_all")))
+    best = F.max(F.struct("__tss", "__s"))
+    ok = (F.max("__pos_all") > 0) & (F.max("__pos_all") < F.max("__n_all"))
+    t = t.groupBy(*keys).agg(F.when(ok, best).alias("__b"))
+    return t.select(*keys, F.when(F.col("__b.__tss") > 0, F.col("__b.__tss")).otherwise(F.when(F.col("__b").isNotNull(), d(0))).alias("max_tss"), F.when(F.col("__b.__tss") > 0, F.col("__b.__s")).alias("threshold"))
 
 
 def sensitivity_specificity(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", threshold: float | None = None) -> DataFrame:
     """sensitivity, specificity, balanced_accuracy at p >= threshold (that of max_tss if none is given)."""
-    rows = pred.select(*keys, F.col(y).cast("int").alias("y"), finite(p).alias("s"))
+    rows = pred.select(*keys, F.col(y).cast("int").alias("__y"), finite(p).alias("__s"))
     if threshold is None:
         cuts = max_tss(pred, keys, y, p).select(*keys, "threshold")
         rows = rows.join(cuts, keys)
     else:
         rows = rows.withColumn("threshold", d(threshold))
-    hit = (F.col("s") >= F.col("threshold")).cast("double")
-    t = rows.groupBy(*keys).agg(F.avg(F.when(F.col("y") == 1, hit)).alias("sensitivity"), F.avg(F.when(F.col("y") == 0, d(1) - hit)).alias("specificity"))
+    hit = (F.col("__s") >= F.col("threshold")).cast("double")
+    t = rows.groupBy(*keys).agg(F.avg(F.when(F.col("__y") == 1, hit)).alias("sensitivity"), F.avg(F.when(F.col("__y") == 0, d(1) - hit)).alias("specificity"))
     single = F.col("sensitivity").isNull() | F.col("specificity").isNull()
     t = t.withColumn("sensitivity", F.when(~single, F.col("sensitivity"))).withColumn("specificity", F.when(~single, F.col("specificity")))
     return t.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
@@ -110,34 +110,34 @@ def continuous_boyce(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p
     Distinct scores are joined to window numbers by a computed range of numbers, so rows grow by the overlap of windows, not by their number times the rows.
     """
     counts = _scores(pred, keys, y, p)
-    bounds = counts.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("pos").cast("double").alias("pos_all"), F.sum("n").cast("double").alias("n_all"))
+    bounds = counts.groupBy(*keys).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"), F.sum("__pos").cast("double").alias("__pos_all"), F.sum("__n").cast("double").alias("__n_all"))
     if n_bins:
-        bounds = bounds.withColumn("width", (F.col("hi") - F.col("lo")) / n_bins).withColumn("step", F.col("width")).withColumn("last", F.lit(n_bins - 1))
+        bounds = bounds.withColumn("__width", (F.col("__hi") - F.col("__lo")) / n_bins).withColumn("__step", F.col("__width")).withColumn("__last", F.lit(n_bins - 1))
     else:
-        bounds = bounds.withColumn("width", (F.col("hi") - F.col("lo")) / 10).withColumn("step", (F.col("hi") - F.col("lo") - F.col("width")) / resolution).withColumn("last", F.lit(resolution))
-    start = F.col("lo") + F.col("i") * F.col("step")
-    stop = start + F.col("width") + F.when(F.col("i") == F.col("last"), d(1e-12)).otherwise(d(0))
-    t = counts.join(bounds, keys).where("hi > lo and pos_all > 0")
-    low = F.greatest(F.floor((F.col("s") - F.col("lo") - F.col("width")) / F.col("step")) - 1, F.lit(0))
-    high = F.least(F.floor((F.col("s") - F.col("lo")) / F.col("step")) + 1, F.col("last"))
-    t = t.withColumn("i", F.explode(F.sequence(low.cast("int"), high.cast("int")))).where((F.col("s") >= start) & (F.col("s") <= stop))
-    t = t.groupBy(*keys, "i").agg((F.sum("pos") / F.max("pos_all") / (F.sum("n") / F.max("n_all"))).alias("f"), F.max((F.col("lo") + F.col("i") * F.col("step") + F.col("width") / 2)).alias("mid"))
-    by_place = Window.partitionBy(*keys).orderBy("i")
+        bounds = bounds.withColumn("__width", (F.col("__hi") - F.col("__lo")) / 10).withColumn("__step", (F.col("__hi") - F.col("__lo") - F.col("__width")) / resolution).withColumn("__last", F.lit(resolution))
+    start = F.col("__lo") + F.col("__i") * F.col("__step")
+    stop = start + F.col("__width") + F.when(F.col("__i") == F.col("__last"), d(1e-12)).otherwise(d(0))
+    t = counts.join(bounds, keys).where("__hi > __lo and __pos_all > 0")
+    low = F.greatest(F.floor(F.try_divide(F.col("__s") - F.col("__lo") - F.col("__width"), F.col("__step"))) - 1, F.lit(0))
+    high = F.least(F.floor(F.try_divide(F.col("__s") - F.col("__lo"), F.col("__step"))) + 1, F.col("__last"))
+    t = t.withColumn("__i", F.explode(F.sequence(low.cast("int"), high.cast("int")))).where((F.col("__s") >= start) & (F.col("__s") <= stop))
+    t = t.groupBy(*keys, "__i").agg(F.try_divide(F.try_divide(F.sum("__pos"), F.max("__pos_all")), F.try_divide(F.sum("__n"), F.max("__n_all"))).alias("__f"), F.max((F.col("__lo") + F.col("__i") * F.col("__step") + F.col("__width") / 2)).alias("__mid"))
+    by_place = Window.partitionBy(*keys).orderBy("__i")
     if remove_duplicates:
-        t = t.withColumn("next", F.lead("f").over(by_place)).where("next is null or f != next")
-    for c in ("f", "mid"):
+        t = t.withColumn("__next", F.lead("__f").over(by_place)).where("__next is null or __f != __next")
+    for c in ("__f", "__mid"):
         w, same = Window.partitionBy(*keys).orderBy(c), Window.partitionBy(*keys, c)
-        t = t.withColumn(f"r_{c}", F.rank().over(w) + (F.count("*").over(same) - 1).cast("double") / 2)
-    return bounds.select(*keys).join(t.groupBy(*keys).agg(F.when(F.count("*") > 2, F.corr("r_mid", "r_f")).alias(name)), keys, "left")
+        t = t.withColumn(f"__r{c}", F.rank().over(w) + (F.count("*").over(same) - 1).cast("double") / 2)
+    return bounds.select(*keys).join(t.groupBy(*keys).agg(F.when(F.count("*") > 2, F.corr("__r__mid", "__r__f")).alias(name)), keys, "left")
 
 
 def miller_calibration(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p", eps: float = 1e-6) -> DataFrame:
     """calibration_intercept and calibration_slope of each group: y on logit(p). Counts by distinct score are what a group brings together."""
-    rows = _scores(pred.withColumn(p, finite(p)), keys, y, p).withColumn("z", logit("s", eps))
+    rows = _scores(pred.withColumn(p, finite(p)), keys, y, p).withColumn("__z", logit("__s", eps))
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "calibration_intercept double", "calibration_slope double"])
 
     def fit(t: pd.DataFrame) -> pd.DataFrame:
-        z, pos, n = t["z"].to_numpy(float), t["pos"].to_numpy(float), t["n"].to_numpy(float)
+        z, pos, n = t["__z"].to_numpy(float), t["__pos"].to_numpy(float), t["__n"].to_numpy(float)
         out = None
         if n.sum() >= 3 and 0 < pos.sum() < n.sum() and np.ptp(z) > 0:
             x = np.concatenate([z, z])

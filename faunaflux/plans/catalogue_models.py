@@ -63,6 +63,24 @@ def model_subsample_ensemble(spark, d):
     return learners.ensemble(members, _test(spark, d), G, "ord", lambda a, b, keys: learners.gaussian_nb(a, b, keys, PREDICTORS, "ord"))
 
 
+@query("inner_cv_tuning", None)
+def inner_cv_tuning(spark, d):
+    fit = lambda a, b, keys, k: learners.knn(a, b, keys, PREDICTORS, "ord", k=k)
+    return learners.best_setting(learners.tune(_train(spark, d).where("spid = 'BUILDING'"), G, "ord", [{"k": 3}, {"k": 9}], fit, n_folds=3), G)
+
+
+@query("late_fusion", None)
+def late_fusion(spark, d):
+    return learners.late_fusion(_train(spark, d), _test(spark, d), {"climate": ["age"], "economy": ["price", "acct"]}, "ord")
+
+
+@query("linear_shapley", """, m AS (SELECT region, avg(price) AS mp, avg(age) AS mg FROM occ GROUP BY ALL), c AS (SELECT region, 'price' AS feature, (price - mp) * 0.001 AS phi FROM occ JOIN m USING (region) UNION ALL SELECT region, 'age', (age - mg) * -2.0 FROM occ JOIN m USING (region))
+SELECT region, feature, round(avg(abs(phi)), 4) AS mean_abs FROM c GROUP BY ALL""", OCC)
+def linear_shapley(spark, d):
+    t = learners.linear_shapley(views.occ(spark, d), {"price": 0.001, "age": -2.0}, ["region"])
+    return t.select("region", "feature", F.round("mean_abs", 4).alias("mean_abs"))
+
+
 @query("graph_smoothing", None)
 def graph_smoothing(spark, d):
     n = views.occ(spark, d).where("spid = 'BUILDING' and ord % 5 = 0").select("region", "ord", "x", "y", "age")

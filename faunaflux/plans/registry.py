@@ -85,5 +85,6 @@ def resolve_models(names: list[str] | str) -> list[str]:
     parts = names.split(",") if isinstance(names, str) else names
     out: list[str] = []
     for n in (p.strip().lower() for p in parts):
-        out += list(MODELS) if n == "all" else MODEL_SETS.get(n, (MODELS.get(n).name,) if n else ())
+        if n:
+            out += list(MODELS) if n == "all" else MODEL_SETS[n] if n in MODEL_SETS else [MODELS.get(n).name]
     return list(dict.fromkeys(out))
