@@ -238,3 +238,15 @@ def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     out = jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("_id").alias("doc_id"), back("class_id").alias("class_id"), back("copy_of").alias("copy_of"), "n_links")
+
+
+#: The same rows by an exact join of all shingles. Letters A-Z only are lowered, as bytes are.
+SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::varchar[] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9),
+r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x),
+k AS (SELECT x, min(root) AS class_id FROM r GROUP BY x)
+SELECT d.doc_id, class_id, coalesce((SELECT min(o.doc_id) FROM n o WHERE o.h = n.h), d.doc_id) AS copy_of, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links
+FROM d JOIN k ON k.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
