@@ -61,19 +61,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # of each source: bins before the edge are in, bins after it out, and within the edge bin documents are ordered
     edge = b.groupBy("src").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.max(F.when(F.col("before") < F.col("rest"), F.struct("bin", "before"))).alias("edge"))
     few = edge.limit(SMALL + 1).count() <= SMALL
-    if few:
-        d = d.join(F.broadcast(edge), F.col("_source").eqNullSafe(F.col("src")), "left")
-    else:
-        salted = edge.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        d = d.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted.withColumnRenamed("salt", "s2"), F.col("_source").eqNullSafe(F.col("src")) & (F.col("salt") == F.col("s2")), "left").drop("salt", "s2")
+
+    def with_sources(rows: DataFrame, one: DataFrame) -> DataFrame:
+        """rows with the columns of a table that has one row for each source, src."""
+        if few:
+            return rows.join(F.broadcast(one), F.col("_source").eqNullSafe(F.col("src")), "left").drop("src")
+        salted = one.withColumn("s2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.join(salted, F.col("_source").eqNullSafe(F.col("src")) & (F.pmod("h", F.lit(SALTS)).cast("int") == F.col("s2")), "left").drop("src", "s2")
+
+    d = with_sources(d, edge)
     on_edge = d.where(F.col("bin") == F.col("edge.bin"))
     order = Window.partitionBy("_source").orderBy("h", "_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cut = on_edge.groupBy("_source", "h", "_id", "size").agg(F.count("*").alias("same"), F.first("edge.before").alias("before"), F.first("rest").alias("rest"))
     cut = cut.withColumn("upto", F.sum(F.col("size") * F.col("same")).over(order) + F.col("before"))
-    # the document that crosses the rest is in if that comes nearer to it
-    cut = cut.where(F.col("upto") - F.col("size") * F.col("same") / 2 <= F.col("rest")).select(F.col("_source").alias("cs"), F.col("h").alias("ch"), F.col("_id").alias("ci"), F.col("size").alias("cz"))
-    d = d.join(cut, F.col("_source").eqNullSafe(F.col("cs")) & (F.col("h") == F.col("ch")) & F.col("_id").eqNullSafe(F.col("ci")) & (F.col("size") == F.col("cz")), "left")
-    extra = F.when(F.col("rest") <= 0, 0).when(F.col("bin") < F.col("edge.bin"), 1).when(F.col("ch").isNotNull(), 1).otherwise(0)
+    # the document that crosses the rest is in if that comes nearer to it; all before it in the order are in, so the last one is enough
+    cut = cut.where(F.col("upto") - F.col("size") * F.col("same") / 2 <= F.col("rest")).groupBy(F.col("_source").alias("src")).agg(F.max(F.struct("h", "_id", "size")).alias("last"))
+    d = with_sources(d, cut)
+    extra = F.when(F.col("rest") <= 0, 0).when(F.col("bin") < F.col("edge.bin"), 1).when((F.col("bin") == F.col("edge.bin")) & (F.struct("h", "_id", "size") <= F.col("last")), 1).otherwise(0)
     return d.select("_id", "_source", "size", "source_size", "target", (F.col("whole") + F.coalesce(extra, F.lit(0))).cast("long").alias("times"), *(["_row"] if carry else []))
 
 
