@@ -54,17 +54,13 @@ def build(strings: np.ndarray, lengths: np.ndarray, cap: int) -> tuple[np.ndarra
         rank[order] = np.arange(len(bwt), dtype=np.int32)
         ends = int((bwt == 0).sum())
         r = rank[place]
-        table = [lcp]
-        while (reach := 1 << (len(table) - 1)) * 2 <= len(lcp):
-            table.append(np.minimum(table[-1][:-reach], table[-1][reach:]))
         c = bwt[place]
         before, after = order[r - 1], order[np.minimum(r + 1, len(bwt) - 1)]
         with_before = (r > 0) & (bwt[before] == c)
         with_after = (r + 1 < len(bwt)) & (bwt[after] == c)
-        own = np.zeros(len(place), np.uint8)
-        own[with_before] = np.minimum(_least(table, before[with_before] + 1, place[with_before] + 1) + np.uint8(1), cap)
-        nxt = np.zeros(len(place), np.uint8)
-        nxt[with_after] = np.minimum(_least(table, place[with_after] + 1, after[with_after] + 1) + np.uint8(1), cap)
+        least = _least(lcp, np.concatenate([np.where(with_before, before, place - 1), place]) + 1, np.concatenate([place, np.where(with_after, after, place + 1)]) + 1)
+        least = np.minimum(least + np.uint8(1), np.uint8(cap))
+        own, nxt = least[: len(place)] * with_before, least[len(place) :] * with_after
         new = m + r.astype(np.int64) - ends
         old = np.ones(len(bwt) + len(new), bool)
         old[new] = False
@@ -80,15 +76,17 @@ def build(strings: np.ndarray, lengths: np.ndarray, cap: int) -> tuple[np.ndarra
     return bwt_file.read(), lcp_file.read()
 
 
-def _least(table: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Minima over [lo, hi), from a table of minima over powers of two."""
-    out = np.empty(len(lo), np.uint8)
+def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Minima of x over [lo, hi), from minima over powers of two; what lies beyond the end counts as the last element."""
     level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-    for k in np.flatnonzero(np.bincount(level, minlength=1)):
-        at = np.flatnonzero(level == k)
-        t = table[k]
-        out[at] = np.minimum(t[lo[at]], t[hi[at] - (1 << k)])
-    return out
+    table = np.empty((int(level.max(initial=0)) + 1, len(x)), np.uint8)
+    table[0] = x
+    for k in range(1, len(table)):
+        reach = 1 << (k - 1)
+        np.minimum(table[k - 1, :-reach], table[k - 1, reach:], out=table[k, :-reach])
+        table[k, -reach:] = table[k - 1, -reach:]
+    flat, row, last = table.ravel(), level.astype(np.int64) * len(x), len(x) - 1
+    return np.minimum(flat[row + np.minimum(lo, last)], flat[row + np.minimum(hi - (1 << level), last)])
 
 
 def places(bwt: np.ndarray, m: int, lengths: np.ndarray, least: int) -> dict[int, np.ndarray]:

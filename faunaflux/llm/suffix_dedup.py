@@ -3,7 +3,8 @@
 Every 50-byte string picks an anchor, its least hashed 24-byte piece, so equal strings pick equal anchors; runs of strings with one anchor are segments of at most 76 bytes.
 Blocks of documents ask the buckets of anchor hashes which of their anchors are in more than one document, and send the segments of those, each distinct
 one once, with its least document. A bucket sorts all suffixes of its segments column by column (bwt.py), reads off the groups of suffixes that
-share 50 bytes, and answers with the least document of each string. Blocks mark what a smaller document also has.
+share 50 bytes, and answers with the least document of each string. Blocks mark what a smaller document also has. Every 50-byte string of a segment holds
+the whole anchor piece, so for sorting the piece is coded as two symbols that stand for its 24 bytes in that collection, and 50 bytes are 28 symbols.
 
 All exchanges are packed arrays, one row for each block and bucket; what many documents share is sent once by each block. An anchor with more than HOT
 documents is not kept together: its strings are sent one by one, by their own hash. Nothing is capped: equal strings always meet.
@@ -29,6 +30,8 @@ from .packing import pack, unpack
 LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE + 1  # places of a piece in a string
 WIDEST = SPAN - 1 + LENGTH
+CODE = 2  # symbols that stand for a piece, each one of DIGITS
+DIGITS = 250
 BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20  # bytes that are scanned at once
 HOT = 20_000
@@ -46,8 +49,8 @@ def _piece_hashes(data: np.ndarray) -> np.ndarray:
     return bs.mix(kept[16][: len(data) - PIECE + 1] * _FACTOR[5] + kept[8][16 : len(data) - PIECE + 17])
 
 
-def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, numbers of strings and anchor hashes of all segments of documents; each 50-byte string of a document starts in exactly one."""
+def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, numbers of strings, anchor hashes and anchor places of all segments of documents; each 50-byte string of a document starts in exactly one."""
     found = []
     doc, n = 0, len(at) - 1
     while doc < n:
@@ -71,12 +74,12 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                 edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
                 size = np.diff(np.append(edge, len(anchor)))
                 real = anchor[edge] >= 0
-                found.append((lo + edge[real], size[real], h[anchor[edge[real]]]))
+                found.append((lo + edge[real], size[real], h[anchor[edge[real]]], lo + anchor[edge[real]]))
             if hi == stop:
                 break
             lo = hi - LENGTH + 1
         doc = end
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k == 2 else np.int64) for k in range(3))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k == 2 else np.int64) for k in range(4))
 
 
 def _rows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -92,10 +95,10 @@ class _Block:
     def __init__(self, t: pa.Table, buckets: int):
         self.ids, self.buckets = t.column("_id").to_numpy(), buckets
         self.data, self.at = bs.buffers(t.column("_text"))
-        self.start, self.count, self.anchor = segments(self.data, self.at)
+        self.start, self.count, self.anchor, self.piece = segments(self.data, self.at)
         self.doc = np.searchsorted(self.at, self.start, "right") - 1
         some = self.ids[self.doc] != NO_ID
-        self.start, self.count, self.anchor, self.doc = (x[some] for x in (self.start, self.count, self.anchor, self.doc))
+        self.start, self.count, self.anchor, self.piece, self.doc = (x[some] for x in (self.start, self.count, self.anchor, self.piece, self.doc))
 
     def anchors(self):
         """Distinct (bucket, short hash) of anchors in order, where each segment's is, and in how many documents each is."""
@@ -108,7 +111,7 @@ class _Block:
         return distinct, where, np.bincount(where[order][new], minlength=len(distinct))
 
     def strings(self, mask: np.ndarray, where: np.ndarray):
-        """The segments to send: start, length, document, key, cut into single strings where the anchor is hot."""
+        """The segments to send: start, length, document, key, content hash and place of the piece, cut into single strings where the anchor is hot."""
         kind = mask[where]
         one, many = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
         n = self.count[many]
@@ -121,7 +124,22 @@ class _Block:
             rows = _rows(self.data, start[k : k + (1 << 14)], size[k : k + (1 << 14)])
             content[k : k + (1 << 14)] = bs.mix((rows.astype(np.uint64) * _SPREAD).sum(1, dtype=np.uint64) + size[k : k + (1 << 14)].astype(np.uint64))
         key = np.concatenate([self.anchor[one], content[len(one) :]])
-        return start, size, doc, key, content
+        piece = np.concatenate([self.piece[one], np.repeat(self.piece[many], n)]) - start
+        return start, size, doc, key, content, piece
+
+
+def _coded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings at the right end of rows, with the piece as two digits of its number among the distinct pieces; and their lengths."""
+    bytes_ = np.ascontiguousarray(data[(starts + piece)[:, None] + np.arange(PIECE)]).view(f"V{PIECE}").ravel()
+    number = np.unique(bytes_, return_inverse=True)[1]
+    if len(number) and number.max() >= DIGITS**CODE:
+        raise ValueError("too many distinct pieces in a collection")
+    gap, width = PIECE - CODE, WIDEST - PIECE + CODE
+    rel = np.arange(width) - width + (sizes - gap)[:, None]
+    left, here = rel < piece[:, None], rel - piece[:, None]
+    out = data[np.maximum(starts[:, None] + np.where(left, rel, np.minimum(rel + gap, sizes[:, None] - 1)), 0)]
+    out = np.where(here == 0, (number // DIGITS).astype(np.uint8)[:, None], np.where(here == 1, (number % DIGITS).astype(np.uint8)[:, None], out))
+    return np.where(rel >= 0, out, np.uint8(0)), sizes - gap
 
 
 def _mask(replies: pa.Table) -> np.ndarray:
@@ -130,16 +148,16 @@ def _mask(replies: pa.Table) -> np.ndarray:
 
 
 def least_documents(strings: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each string and each place of a 50-byte string in it: the least document of all equal ones. One row to a string; unused places hold its own document."""
-    m = len(strings)
-    transform, prefix = bwt.build(strings, lengths, LENGTH)
-    at = bwt.places(transform, m, lengths, LENGTH)
-    group = np.cumsum(prefix < LENGTH) - 1
+    """For each coded string and each place of a 50-byte string in it: the least document of all equal ones. One row to a string; unused places hold its own document."""
+    m, whole = len(strings), LENGTH - PIECE + CODE
+    transform, prefix = bwt.build(strings, lengths, whole)
+    at = bwt.places(transform, m, lengths, whole)
+    group = np.cumsum(prefix < whole) - 1
     by_place = np.full(len(transform), np.iinfo(np.int64).max)
     for p in at.values():
         ok = p >= 0
         by_place[p[ok]] = docs[ok]
-    least = np.minimum.reduceat(by_place, np.flatnonzero(prefix < LENGTH))
+    least = np.minimum.reduceat(by_place, np.flatnonzero(prefix < whole))
     out = np.repeat(docs[:, None], SPAN, axis=1)
     for size, p in at.items():
         ok = np.flatnonzero(p >= 0)
@@ -180,7 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send(t: pa.Table, replies: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t, buckets)
         _, where, _ = b.anchors()
-        start, size, doc, key, content = b.strings(_mask(replies), where)
+        start, size, doc, key, content, piece = b.strings(_mask(replies), where)
         distinct, first, same = np.unique(content, return_index=True, return_inverse=True)
         low = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(low, same, b.ids[doc])
@@ -190,14 +208,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = order[at[i] : at[i + 1]]
             s, z = start[first[own]], size[first[own]]
             flat = np.repeat(s, z) + np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z)
-            rows.append((int(k), block, pack(b.data[flat]), pack(z), pack(key[first[own]] >> np.uint64(32)), pack(low[own].view(np.uint64))))
-        return _table({"bucket": pa.int64(), "block": pa.int64(), "bytes": pa.binary(), "sizes": pa.binary(), "keys": pa.binary(), "docs": pa.binary()}, rows)
+            rows.append((int(k), block, pack(b.data[flat]), pack(z), pack(key[first[own]] >> np.uint64(32)), pack(low[own].view(np.uint64)), pack(piece[first[own]])))
+        return _table({"bucket": pa.int64(), "block": pa.int64(), "bytes": pa.binary(), "sizes": pa.binary(), "keys": pa.binary(), "docs": pa.binary(), "pieces": pa.binary()}, rows)
 
     def sort(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("bucket", "block", "bytes", "sizes", "keys", "docs")), strict=True))
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("bucket", "block", "bytes", "sizes", "keys", "docs", "pieces")), strict=True))
         data = np.concatenate([unpack(r[2]).astype(np.uint8) for r in rows])
-        size, key, low = (np.concatenate([unpack(r[c]) for r in rows]) for c in (3, 4, 5))
-        size, low = size.astype(np.int64), low.view(np.int64)
+        size, key, low, piece = (np.concatenate([unpack(r[c]) for r in rows]) for c in (3, 4, 5, 6))
+        size, low, piece = size.astype(np.int64), low.view(np.int64), piece.astype(np.int64)
         start = np.cumsum(size) - size
         answer = np.empty((len(size), SPAN), np.int64)
         by_key = np.argsort(key, kind="stable")
@@ -210,12 +228,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 nxt = int(np.searchsorted(edges, lo, "right"))
                 hi = int(edges[nxt]) if nxt < len(edges) else len(by_key)
             own = by_key[lo:hi]
-            row = np.concatenate([_rows(data, start[own], size[own]), size[own].astype(np.uint8)[:, None]], axis=1)
-            whole = np.ascontiguousarray(row).view(f"V{WIDEST + 1}").ravel()
+            coded, length = _coded(data, start[own], size[own], piece[own])
+            row = np.concatenate([coded, length.astype(np.uint8)[:, None]], axis=1)
+            whole = np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel()
             _, first, same = np.unique(whole, return_index=True, return_inverse=True)
             least = np.full(len(first), np.iinfo(np.int64).max)
             np.minimum.at(least, same, low[own])
-            answer[own] = least_documents(row[first, :-1], size[own][first], least)[same]
+            answer[own] = least_documents(coded[first], length[first], least)[same]
             lo = hi
         # runs of equal answers within a string
         n = size - LENGTH + 1
@@ -224,7 +243,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         new[:, 1:] = answer[:, 1:] != answer[:, :-1]
         new &= np.arange(SPAN) < n[:, None]
         out, at = [], 0
-        for bucket, block, _, z, _, _ in rows:
+        for bucket, block, _, z, *_ in rows:
             k = len(unpack(z))
             which, place = np.nonzero(new[at : at + k])
             out.append((block, 2, bucket, pack(new[at : at + k].sum(1)), pack(place), pack(answer[at : at + k][which, place].view(np.uint64))))
@@ -238,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         masks, answers = replies.filter(pa.array(kinds == 1)), replies.filter(pa.array(kinds == 2))
         if answers.num_rows:
             _, where, _ = b.anchors()
-            start, size, doc, key, content = b.strings(_mask(masks), where)
+            start, size, doc, key, content, _ = b.strings(_mask(masks), where)
             _, first, same = np.unique(content, return_index=True, return_inverse=True)
             order, _, _ = _by_bucket(key[first], buckets)
             rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "a", "b", "c")), strict=True))
@@ -269,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     dealt = texts.groupBy("block")
     told = dealt.applyInArrow(ask, "bucket long, block long, short binary, docs binary").groupBy("bucket").applyInArrow(tell, _ANSWER_DDL)
-    sent = dealt.cogroup(told.groupBy("block")).applyInArrow(send, "bucket long, block long, bytes binary, sizes binary, keys binary, docs binary")
+    sent = dealt.cogroup(told.groupBy("block")).applyInArrow(send, "bucket long, block long, bytes binary, sizes binary, keys binary, docs binary, pieces binary")
     sorted_ = sent.groupBy("bucket").applyInArrow(sort, _ANSWER_DDL)
     return dealt.cogroup(told.unionByName(sorted_).groupBy("block")).applyInArrow(final, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", _kept binary" * keep_text)
 
