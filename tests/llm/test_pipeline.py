@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from faunaflux.llm import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +29,18 @@ def test_odd_rows(spark):
     assert kept == {3, 4, 5}
     assert {r.doc_id for r in corpus_pipeline.duplicate_stage(spark, docs, SF).collect()} == {None, 1, 2, 3, 4}
     assert {r.doc_id for r in corpus_pipeline.line_stage(spark, docs, SF).collect()} == {None, 1, 2, 3, 4}
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Extra columns with the names that the operators use inside, through all stages and all operators on documents."""
+    names = ["_id", "_text", "block", "kind", "key", "times", "rank", "h", "src", "size", "l", "pos", "first", "n", "sig", "_source", "bin", "base", "other"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert set(docs.columns) <= set(out.columns) and out.where("block != 'block'").count() == 0 and out.count() > 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, query in registry.queries().items():
+        if name not in ("op7_ann", "op5_decontaminate"):
+            assert query(spark, str(tmp_path)).count() == 60, name
