@@ -1,4 +1,4 @@
-"""Every query of the library against its SQL in the other engine, on the smallest tables."""
+"""Every query of the library against its SQL in the other engine, on the tables of the correctness gate."""
 
 import decimal
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from faunaflux.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, ORACLES = catalogue.load()
 
 
