@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import learners, objectives, report, resample, graphs
+from ..operators import graphs, learners, objectives, report, resample, tasks
 from . import views
+from .benchmarks import RunConfig, provenance
 from .catalogue import query
 from .planner import Methodology, Modality, StagedPlanner, expand_grid
 from .views import OCC, PREDICTORS, PRED, RESULTS
@@ -224,3 +225,22 @@ def plan_all(spark, d):
 @query("grid_expansion", "SELECT k, m, w FROM (SELECT unnest([3, 5, 7, 9, 15])::bigint AS k) CROSS JOIN (SELECT unnest(['euclidean', 'manhattan']) AS m) CROSS JOIN (SELECT unnest(['uniform', 'distance']) AS w)")
 def grid_expansion(spark, d):
     return spark.createDataFrame([(g["k"], g["m"], g["w"]) for g in expand_grid({"k": [3, 5, 7, 9, 15], "m": ["euclidean", "manhattan"], "w": ["uniform", "distance"]})], "k long, m string, w string")
+
+
+@query("validate_table", None)
+def validate_table(spark, d):
+    found = tasks.validate_table(views.occ(spark, d), "occ", "x", "y", [*PREDICTORS, "absent"])
+    return spark.createDataFrame(found, "level string, message string")
+
+
+@query("provenance_report", "SELECT verified, count(*) AS n FROM (SELECT unnest([true, true, true, true, true, true, true, true, false, false]) AS verified) GROUP BY ALL")
+def provenance_report(spark, d):
+    return provenance(spark).groupBy("verified").agg(F.count("*").alias("n"))
+
+
+@query("benchmark_run", None)
+def benchmark_run(spark, d):
+    """Split, gate, recipe, audit, models, metrics and typed skips of one benchmark, over all species at once."""
+    few = ["job_id", "status", "audit_status", "roc_auc", "pr_auc", "n_test", "error"]
+    config = RunConfig.from_dict({"benchmark": "multi-region", "models": ["dummy", "gaussian-nb", "xgboost"], "scenarios": ["nonspatial"], "metrics": ["roc_auc", "pr_auc"]})
+    return config.run(_train(spark, d), _test(spark, d), PREDICTORS).select(*few)
