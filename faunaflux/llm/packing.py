@@ -16,4 +16,9 @@ def pack(x: np.ndarray) -> bytes:
 
 
 def unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), x[:1].decode()).astype(np.uint64)
+    return narrow(x).astype(np.uint64)
+
+
+def narrow(x: bytes) -> np.ndarray:
+    """The same in the type that they are kept in."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), x[:1].decode())

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bytescan as bs, bwt
 from .cluster import NO_ID, keyed, partitions, real_id
 from .lm_scoring import _by_bucket, _table
-from .packing import pack, unpack
+from .packing import narrow, pack, unpack
 
 LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE + 1  # places of a piece in a string
@@ -144,7 +144,7 @@ def _coded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, piece: np.nd
 
 def _mask(replies: pa.Table) -> np.ndarray:
     rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True))
-    return np.concatenate([unpack(a) for _, a in rows]).astype(np.uint8) if rows else np.zeros(0, np.uint8)
+    return np.concatenate([narrow(a) for _, a in rows]) if rows else np.zeros(0, np.uint8)
 
 
 def least_documents(strings: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sort(t: pa.Table) -> pa.Table:
         rows = list(zip(*(t.column(c).to_pylist() for c in ("bucket", "block", "bytes", "sizes", "keys", "docs", "pieces")), strict=True))
-        data = np.concatenate([unpack(r[2]).astype(np.uint8) for r in rows])
+        data = np.concatenate([narrow(r[2]) for r in rows])
         size, key, low, piece = (np.concatenate([unpack(r[c]) for r in rows]) for c in (3, 4, 5, 6))
         size, low, piece = size.astype(np.int64), low.view(np.int64), piece.astype(np.int64)
         start = np.cumsum(size) - size

@@ -154,3 +154,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 300), (7, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in [*range(41), 50]) and got[200] == got[100] == 100
+
+
+def test_empty_tables_and_empty_benchmark(spark):
+    docs = spark.createDataFrame([(1, "some words of a text that goes on")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "some words of a text that goes on")], "item_id long, text string")
+    none = docs.limit(0)
+    assert licenses.scan_licenses(keyed(none)).count() == 0
+    assert decontaminate.find_items(keyed(none), keyed(items, "item_id")).count() == 0
+    assert decontaminate.find_items(keyed(docs), keyed(items.limit(0), "item_id")).count() == 0
+    assert [tuple(r)[:2] for r in decontaminate.find_items(keyed(docs), keyed(items, "item_id")).collect()] == [(1, 7)]
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+def test_repeated_rows_and_null_identifiers_repeat_their_results(spark):
+    notice = licenses.TEMPLATES["MIT notice"]
+    docs = spark.createDataFrame([(1, notice), (1, notice), (None, notice)], "doc_id long, text string")
+    assert [len(r.matches) for r in licenses.scan_licenses(keyed(docs)).collect()] == [1, 1, 1]
+    items = spark.createDataFrame([(7, notice), (7, notice)], "item_id long, text string")
+    assert decontaminate.find_items(keyed(docs), keyed(items, "item_id")).count() >= 3
