@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
@@ -12,10 +12,11 @@ from .spatial import within_distance
 
 
 def shared_sites(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
-    """Sites on both sides: their number and the first."""
+    """Sites on both sides: their number and the first five."""
     ids = lambda df: df.where("siteid is not null").select(*keys, F.col("siteid").cast("string").alias("siteid")).distinct()
     both = ids(train).join(ids(test), [*keys, "siteid"], "left_semi")
-    return both.groupBy(*keys).agg(F.count("*").alias("n_shared"), F.min("siteid").alias("first_site"))
+    both = both.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("siteid")))
+    return both.groupBy(*keys).agg(F.count("*").alias("n_shared"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("__r") <= 5, F.col("siteid")))), ",").alias("first_sites"))
 
 
 def shared_coordinates(train: DataFrame, test: DataFrame, keys: list[str], tolerance: float = 0.0, geographic: bool = False) -> DataFrame:

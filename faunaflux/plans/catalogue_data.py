@@ -143,7 +143,7 @@ def spatial_residuals(spark, d):
     return spatial.spatial_residuals(p, ["region", "model_name"], x="x", y="yc")
 
 
-@query("audit_sites", ", t AS (SELECT *, 'c' || (ord % 9001)::varchar AS s FROM occ), a AS (SELECT DISTINCT region, spid, s FROM t WHERE part = 'train'), b AS (SELECT DISTINCT region, spid, s FROM t WHERE part = 'test') SELECT region, spid, count(*) AS n_shared, min(s) AS first_site FROM a JOIN b USING (region, spid, s) GROUP BY ALL", OCC)
+@query("audit_sites", ", t AS (SELECT *, 'c' || (ord % 9001)::varchar AS s FROM occ), a AS (SELECT DISTINCT region, spid, s FROM t WHERE part = 'train'), b AS (SELECT DISTINCT region, spid, s FROM t WHERE part = 'test') , j AS (SELECT region, spid, s, row_number() OVER (PARTITION BY region, spid ORDER BY s) AS r FROM a JOIN b USING (region, spid, s)) SELECT region, spid, count(*) AS n_shared, string_agg(s, ',' ORDER BY s) FILTER (r <= 5) AS first_sites FROM j GROUP BY ALL", OCC)
 def audit_sites(spark, d):
     site = lambda t: t.withColumn("siteid", F.concat(F.lit("c"), (F.col("ord") % 9001).cast("string")))
     return audit.shared_sites(site(_train(spark, d)), site(_test(spark, d)), G)
