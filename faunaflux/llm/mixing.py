@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import durable
+
 EPOCHS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 BINS = 1 << 12
@@ -50,7 +52,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), words(F.col(f"`{text_col}`").cast("string")).alias("size"), *row)
     # one hash orders the documents of a source; equal hashes fall to the identifier, and equal identifiers are taken alike
     d = d.withColumn("h", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("bin", F.pmod(F.shiftright("h", 20), F.lit(BINS)).cast("int"))
-    bins = d.groupBy("_source", "bin").agg(F.sum("size").alias("bin_size"))
+    slim = durable(d.drop("_row"))  # numbers only: the texts are read once for all that follows, and once more for rows that are carried
+    d = d if carry else slim
+    bins = slim.groupBy("_source", "bin").agg(F.sum("size").alias("bin_size"))
     sizes = bins.groupBy(F.col("_source").alias("src")).agg(F.sum("bin_size").alias("source_size"))
     targets = source_targets(sizes, budget_share, epochs, weights)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -69,14 +73,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         salted = one.withColumn("s2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         return rows.join(salted, F.col("_source").eqNullSafe(F.col("src")) & (F.pmod("h", F.lit(SALTS)).cast("int") == F.col("s2")), "left").drop("src", "s2")
 
-    d = with_sources(d, edge)
-    on_edge = d.where(F.col("bin") == F.col("edge.bin"))
+    on_edge = with_sources(slim, edge).where(F.col("bin") == F.col("edge.bin"))
     order = Window.partitionBy("_source").orderBy("h", "_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cut = on_edge.groupBy("_source", "h", "_id", "size").agg(F.count("*").alias("same"), F.first("edge.before").alias("before"), F.first("rest").alias("rest"))
     cut = cut.withColumn("upto", F.sum(F.col("size") * F.col("same")).over(order) + F.col("before"))
     # the document that crosses the rest is in if that comes nearer to it; all before it in the order are in, so the last one is enough
     cut = cut.where(F.col("upto") - F.col("size") * F.col("same") / 2 <= F.col("rest")).groupBy(F.col("_source").alias("src")).agg(F.max(F.struct("h", "_id", "size")).alias("last"))
-    d = with_sources(d, cut)
+    d = with_sources(d, edge.join(cut.withColumnRenamed("src", "cs"), F.col("src").eqNullSafe(F.col("cs")), "left").drop("cs"))
     extra = F.when(F.col("rest") <= 0, 0).when(F.col("bin") < F.col("edge.bin"), 1).when((F.col("bin") == F.col("edge.bin")) & (F.struct("h", "_id", "size") <= F.col("last")), 1).otherwise(0)
     return d.select("_id", "_source", "size", "source_size", "target", (F.col("whole") + F.coalesce(extra, F.lit(0))).cast("long").alias("times"), *(["_row"] if carry else []))
 
