@@ -396,7 +396,47 @@ def graph_user(spark, d):
 
 @query("graph_patch", None)
 def graph_patch(spark, d):
-    return graphs.patch_adjacency(_nodes(spark, d), "ord", ["x", "y", "age"])[1]
+    return graphs.patch_adjacency(_occ(spark, d), "ord", ["x", "y", "age"])[1]
+
+
+# The same jobs over the whole view, grouped by region and segment. The queries above that have SQL take the rows that their SQL takes.
+@query("task_train_union_whole", None)
+def task_train_union_whole(spark, d):
+    train = _train(spark, d)
+    po = train.where("occ = 1").select("region", "spid", "x", "y", "occ")
+    u = tasks.training_table(po, train.where("occ = 0").select("region", "x", "y"), _occ(spark, d).select(*G).distinct())
+    return u.groupBy("region", "spid", "occ").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+
+
+@query("both_classes_gate_whole", None)
+def both_classes_gate_whole(spark, d):
+    return tasks.both_classes(_occ(spark, d), ["region", "spid", "prio"])
+
+
+@query("graph_knn_geo_whole", None)
+def graph_knn_geo_whole(spark, d):
+    return graphs.geographic_knn(_occ(spark, d), G, "ord")
+
+
+@query("graph_knn_env_whole", None)
+def graph_knn_env_whole(spark, d):
+    return graphs.environmental_knn(_occ(spark, d), G, "ord", ["age", "price"], 5)
+
+
+@query("graph_hybrid_whole", None)
+def graph_hybrid_whole(spark, d):
+    return graphs.hybrid_knn(_occ(spark, d), G, "ord", ["age", "price"], 5)
+
+
+@query("graph_radius_whole", None)
+def graph_radius_whole(spark, d):
+    return graphs.radius_edges(_occ(spark, d), G, "ord", 9000)
+
+
+@query("graph_degree_stats_whole", None)
+def graph_degree_stats_whole(spark, d):
+    n = _occ(spark, d)
+    return graphs.degree_stats(graphs.radius_edges(n, G, "ord", 9000), n, G, "ord")
 
 
 @query("scalar_functions", """SELECT ord, prio, regexp_replace(trim(regexp_replace(prio || ' / ' || region, '[^A-Za-z0-9._-]+', '-', 'g'), '-'), '^$', 'na') AS slug, lower(replace(region, '_', '-')) AS name, sha256(ord::varchar)[1:12] AS short,

@@ -67,7 +67,7 @@ def model_subsample_ensemble(spark, d):
 @query("inner_cv_tuning", None)
 def inner_cv_tuning(spark, d):
     fit = lambda a, b, keys, k: learners.knn(a, b, keys, PREDICTORS, "ord", k=k)
-    return learners.best_setting(learners.tune(_train(spark, d).where("spid = 'BUILDING'"), G, "ord", [{"k": 3}, {"k": 9}], fit, n_folds=3), G)
+    return learners.best_setting(learners.tune(_train(spark, d), G, "ord", [{"k": 3}, {"k": 9}], fit, n_folds=3), G)
 
 
 @query("late_fusion", None)
@@ -84,8 +84,8 @@ def linear_shapley(spark, d):
 
 @query("graph_smoothing", None)
 def graph_smoothing(spark, d):
-    n = views.occ(spark, d).where("spid = 'BUILDING' and ord % 5 = 0").select("region", "ord", "x", "y", "age")
-    return learners.graph_smoothed(n, graphs.radius_edges(n, ["region"], "ord", 9000), ["region"], "ord", ["age"])
+    n = views.occ(spark, d).select(*G, "ord", "x", "y", "age")
+    return learners.graph_smoothed(n, graphs.radius_edges(n, G, "ord", 9000), G, "ord", ["age"])
 
 
 @query("skip_rows", "SELECT 'xgboost' AS model_name, 'SKIPPED_DEPENDENCY' AS status, 'xgboost is not available here' AS error UNION ALL SELECT 'tabpfn-sdm', 'SKIPPED_LICENSE', 'tabpfn-sdm is not available here'")
