@@ -7,7 +7,8 @@ Pairs live only inside a task: rows carry, for each member, its packed partners,
 Buckets with many members are cut into blocks, and each pair of blocks is a group of its own.
 
 Defined results: a null text is an empty one; a document without words links to nothing; one with fewer than five words is one shingle of all of
-them; rows that repeat an identifier are expected to repeat its text, and count as copies; a null identifier is kept as null and its documents form classes as others do.
+them; rows that repeat an identifier are expected to repeat its text, and count as copies; a null identifier is kept as null and its documents form classes as others do. Classes are known by a 64-bit hash of the shingle set, identifiers are only labels:
+rows that share one, null among them, but not their words are apart. A label is the least identifier that is not null, and null only where all are.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """_id, set_a, set_b: two hashes of the shingle set (null without words), n: its size, sig: MinHash values."""
+    """_id, text_h, set_a, set_b: two hashes of the shingle set (null without words), n: its size, sig: MinHash values."""
 
     def run(batches):
         for b in batches:
@@ -70,9 +71,9 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     sig[k] = (x * _B[k]).min()
                 rows.append((int(s.sum().view(np.int64)), int(bs.mix(s + np.uint64(7)).sum().view(np.int64)), len(s), sig.tobytes()))
             a, c, n, sig = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], ["_id", "set_a", "set_b", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("text_h"), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], ["_id", "text_h", "set_a", "set_b", "n", "sig"])
 
-    return docs.select("_id", "_text").mapInArrow(run, "_id long, set_a long, set_b long, n int, sig binary")
+    return docs.select("_id", "_text", F.xxhash64("_text").alias("text_h")).mapInArrow(run, "_id long, text_h long, set_a long, set_b long, n int, sig binary")
 
 
 def grouped(batches, keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -161,7 +162,10 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, tolerance: float =
 
 
 def verify(cand: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows _id, links, least: exact links of a representative within one group, counted in documents, and the least node that they reach there."""
+    """Rows _id, links, least: exact links of a class within one group, counted in documents, and the least class that they reach there.
+
+    reps: _id (the class), m, and by doc and text_h the row of docs whose text stands for it.
+    """
 
     def exact(batches):
         for b, starts in grouped(batches, ["task"]):
@@ -172,7 +176,7 @@ def verify(cand: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS
             at = at // 8
             out: list[tuple] = []
             for g, e in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
-                local, order = np.unique(ids[g:e], return_index=True)  # an identifier on several rows comes with each of them
+                local, order = np.unique(ids[g:e], return_index=True)
                 order += g
                 p = np.repeat(np.arange(len(order)), at[order + 1] - at[order])
                 q = np.searchsorted(local, np.concatenate([partner[at[r] : at[r + 1]] for r in order]))
@@ -194,7 +198,8 @@ def verify(cand: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_id", "links", "least"])
 
-    whole = cand.join(reps.select("_id", "m"), "_id").join(docs.select("_id", "_text"), "_id")
+    texts = docs.select(F.col("_id").alias("doc"), F.xxhash64("_text").alias("text_h"), "_text").dropDuplicates(["doc", "text_h"])
+    whole = cand.join(reps.select("_id", "m", "doc", "text_h"), "_id").join(texts, ["doc", "text_h"]).select("task", "_id", "partners", "m", "_text")
     return whole.repartition("task").sortWithinPartitions("task").mapInArrow(exact, "_id long, links long, least long")
 
 
@@ -222,14 +227,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: _id, copy_of (representative of its equal shingle sets), class_id (least of its linked component), n_links."""
     texts = keyed(docs, id_col, text_col)
     sigs = durable(signatures(texts, words))
-    classes = sigs.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("_id").alias("rep"), F.count("*").alias("m"), F.first("sig").alias("sig"))
-    classes = durable(classes)
-    reps = classes.select(F.col("rep").alias("_id"), "m", "sig").dropDuplicates(["_id"])
+    label = lambda c: F.coalesce(F.min(F.when(F.col(c) != NO_ID, F.col(c))), F.lit(NO_ID))
+    classes = sigs.where("n > 0").groupBy("set_a", "set_b", "n").agg(label("_id").alias("rep"), F.min(F.struct("_id", "text_h")).alias("pick"), F.count("*").alias("m"), F.first("sig").alias("sig"))
+    classes = durable(classes.withColumn("key", F.xxhash64("set_a", "set_b", "n")))
+    reps = classes.select(F.col("key").alias("_id"), "m", "sig", F.col("pick._id").alias("doc"), F.col("pick.text_h").alias("text_h"))
     found = durable(verify(candidates(reps, threshold, tolerance), reps, texts, words, threshold))
     links = found.groupBy("_id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("_id").alias("u"), F.col("least").alias("v")))
-    info = classes.join(links, F.col("rep") == links["_id"], "left").drop("_id").join(parts, F.col("rep") == F.col("node"), "left")
-    info = info.select("set_a", "set_b", "n", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    info = classes.join(links, F.col("key") == links["_id"], "left").drop("_id").join(parts, F.col("key") == F.col("node"), "left")
+    info = info.select("set_a", "set_b", "n", "rep", F.coalesce("component", "key").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    info = info.join(info.groupBy("part").agg(label("rep").alias("component")), "part").drop("part")
     return sigs.select("_id", "set_a", "set_b", "n").join(info, ["set_a", "set_b", "n"], "left").select("_id", F.coalesce("rep", "_id").alias("copy_of"), F.coalesce("component", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -64,3 +64,15 @@ def test_posterior_is_a_probability_and_grows_with_matches():
     p = [jaccard_join.posterior(m, 32, 0.8) for m in range(33)]
     assert p == sorted(p) and 0 < p[0] < 1e-20 and p[-1] > 0.99
     assert jaccard_join.posterior(jaccard_join.least_matches(63, 0.8, 1e-7), 63, 0.8) >= 1e-7
+
+
+def test_many_null_identifiers(spark, table):
+    """Null rows with different and near-equal texts, exact copies of them with an identifier, and one identifier on two texts."""
+    random.seed(11)
+    base = [[random.choice("abcdefghijklmnop") * random.randint(1, 4) for _ in range(120)] for _ in range(4)]
+    near = lambda w: [*w[:60], "changed", *w[61:]]
+    texts = [base[0], base[1], near(base[1]), base[2], near(base[2]), base[3], base[1], near(base[0]), near(base[3])]
+    ids = [None, None, None, None, 7, None, 9, 5, 5]
+    rows = [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.copy_of or 0, r.n_links) for r in jaccard_join.op9_jaccard_join(spark, table(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(0, 5, 0, 1), (0, 9, 9, 2), (0, 9, 0, 2), (0, 7, 0, 1), (7, 7, 7, 1), (0, 5, 0, 1), (9, 9, 9, 2), (5, 5, 5, 1), (5, 5, 5, 1)])
