@@ -2,7 +2,7 @@
 
 Each language has a distribution over hashed byte trigrams centred on letters. Per document, expectation-maximisation estimates the proportions
 of the languages from the likelihoods of its trigrams; the set of languages is chosen by penalised likelihood: the k largest languages are fitted
-again, and the k with the best log-likelihood less half k log n is taken. Everything is trained on all labelled rows; counts are summed within
+again, and the k with the best log-likelihood less half k log n is taken, of all k up to the number of languages that could still win. Everything is trained on all labelled rows; counts are summed within
 tasks, then by language and slice of the table.
 
 Defined results: null or letterless text gives `und` with score 0, as does any text if nothing could be learned; rows without a language teach
@@ -121,19 +121,27 @@ def infer(model: LanguageModel, column: pa.Array) -> list[tuple[str, float, str]
         rows = doc[starts]
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc))))
         p = model.probability[key]
-        share, _ = mixture(p, often, starts, owner, np.full((len(starts), n_lang), 1 / n_lang, np.float32), ROUNDS)
+        share, full = mixture(p, often, starts, owner, np.full((len(starts), n_lang), 1 / n_lang, np.float32), ROUNDS)
         rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
         n = np.add.reduceat(often, starts)
-        best = None
-        for k in range(1, min(n_lang, 4) + 1):
-            s = np.where(rank < k, np.maximum(share, 1e-6), 0).astype(np.float32)
-            s, ll = mixture(p, often, starts, owner, s / s.sum(1, keepdims=True), AGAIN if k > 1 else 0)
-            value = ll - 0.5 * k * np.log(np.maximum(n, 2))
-            if best is None:
-                best, chosen = value, s
-            else:
-                better = value > best
-                chosen, best = np.where(better[:, None], s, chosen), np.where(better, value, best)
+        # by concavity no mixture exceeds this log-likelihood, so a document is done when the penalty alone rules out any larger set
+        weight = often / np.maximum(np.einsum("ij,ij->i", p, share[owner]), 1e-30)
+        bound = full + np.maximum(np.add.reduceat(p * weight[:, None], starts).max(1) - n, 0) + 1e-3 + 1e-5 * np.abs(full)
+        best, chosen = np.full(len(starts), -np.inf), np.zeros_like(share)
+        open_ = np.arange(len(starts))
+        for k in range(1, n_lang + 1):
+            open_ = open_[bound[open_] - 0.5 * k * np.log(np.maximum(n[open_], 2)) > best[open_]]
+            if not len(open_):
+                break
+            s = np.where(rank[open_] < k, np.maximum(share[open_], 1e-6), 0).astype(np.float32)
+            here = np.zeros(len(starts), bool)
+            here[open_] = True
+            cells = np.flatnonzero(here[owner])
+            its = np.searchsorted(open_, owner[cells])
+            s, ll = mixture(p[cells], often[cells], np.flatnonzero(np.append(True, its[1:] != its[:-1])), its, s / s.sum(1, keepdims=True), AGAIN if k > 1 else 0)
+            value = ll - 0.5 * k * np.log(np.maximum(n[open_], 2))
+            better = open_[value > best[open_]]
+            chosen[better], best[better] = s[value > best[open_]], value[value > best[open_]]
         top = chosen.argmax(1)
         for r, t, c in zip((rows + row).tolist(), top.tolist(), chosen.tolist(), strict=True):
             names = sorted((x for x in range(n_lang) if c[x] > 0.005), key=lambda x: (-c[x], x))
