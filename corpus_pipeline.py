@@ -1,17 +1,32 @@
 """A corpus pipeline of five stages over the documents table: language, repeated lines, near duplicates, benchmark passages, source weights.
 
-Every stage takes all rows that the one before kept, and all but the last return the columns of documents.
+Every stage takes all rows that the one before kept, and all but the last return the columns of documents. Inside a stage rows are known by a key of
+their own, so rows without a doc_id, or with one that repeats, are documents like others.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faunaflux.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from faunaflux.llm.cluster import keyed, shared_folder
+from faunaflux.llm.cluster import durable, keyed, shared_folder
+
+
+def rowed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row in __row: a 64-bit hash of its place in its file, or a number kept in a checkpoint where there is no file."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return durable(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def in_order():
+    """Rows by doc_id, those without one last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,24 +41,28 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated lines out; documents of which nothing but space is left go."""
-    out = line_dedup.line_dedup(docs, kept_col="__kept", lines_col="__lines", removed_col="__removed")
+    out = line_dedup.line_dedup(rowed(docs).withColumn("__order", in_order()), "__order", kept_col="__kept", lines_col="__lines", removed_col="__removed")
     out = out.where((F.col("__removed") == 0) | F.coalesce(F.col("__kept").rlike(r"\S"), F.lit(False)))
     size = F.when(F.col("__removed") > 0, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", size).withColumn("text", F.col("__kept")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least doc_id stays. Documents without a doc_id stay."""
-    groups = jaccard_join.jaccard_join(docs.where(F.col("doc_id").isNotNull()))
-    gone = groups.where("_id != class_id").select(F.col("_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """Of each group of linked documents, one row stays: the one with the least doc_id, one without a doc_id only if all are."""
+    rows = rowed(docs)
+    groups = durable(jaccard_join.jaccard_join(rows, "__row").where("n_links > 0").select(F.col("_id").alias("__row"), "class_id"))
+    groups = rows.select("doc_id", "__row").join(groups, "__row").select("class_id", in_order().alias("o"))
+    first = groups.groupBy("class_id").agg(F.min("o").alias("first"))
+    gone = groups.join(first, "class_id").where("o.row != first.row").select(F.col("o.row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item is found."""
     items = keyed(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
-    found = decontaminate.find_items(keyed(docs.where(F.col("doc_id").isNotNull())), items).select(F.col("_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    rows = rowed(docs)
+    found = decontaminate.find_items(keyed(rows, "__row"), items).select(F.col("_id").alias("__row")).distinct()
+    return rows.join(found, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ combined before the shuffle, so a window that a third of all documents hold cost
 
 Defined results: lines are split at newlines and compared as they are; a null text is an empty one; documents of fewer than three lines have no
 window; windows of blank lines do not count; a later occurrence that overlaps the first one in the same document leaves the first one's lines;
-rows that repeat an identifier are one document; rows without an identifier take no part and stay whole.
+rows that repeat an identifier are one document; rows without an identifier take no part and stay whole. An identifier that is a struct is taken as it
+is, in its own order.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .cluster import NO_ID, keyed
 
 def covered_lines(texts: DataFrame) -> DataFrame:
     """_id, ranges: array of (start, end) line positions, sorted, that later occurrences cover. texts: _id, _text."""
-    lines = texts.where(F.col("_id") != NO_ID).where(F.instr("_text", "\n") > 0).select("_id", F.split("_text", "\n", -1).alias("l")).where(F.size("l") > 2)
+    lines = texts.where(F.instr("_text", "\n") > 0).select("_id", F.split("_text", "\n", -1).alias("l")).where(F.size("l") > 2)
     places = F.sequence(F.lit(0), F.size("l") - 3)
 
     def window(i):
@@ -38,8 +39,13 @@ def covered_lines(texts: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept_text", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """The rows of docs with three more columns: the text without covered lines, its lines before, and those removed."""
     docs = docs.drop(kept_col, lines_col, removed_col)
-    whole = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)))
-    found = covered_lines(keyed(docs, id_col, text_col)).select(F.col("_id").alias("__id"), F.col("ranges").alias("__r"))
+    if docs.schema[id_col].dataType.typeName() == "struct":
+        whole = docs.withColumn("__id", F.col(f"`{id_col}`"))
+        texts = whole.select(F.col("__id").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    else:
+        whole = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)))
+        texts = keyed(docs, id_col, text_col).where(F.col("_id") != NO_ID)
+    found = covered_lines(texts).select(F.col("_id").alias("__id"), F.col("ranges").alias("__r"))
     out = whole.join(found, "__id", "left")
     lines = F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("__r", lambda r: F.sequence(r["s"], r["e"]))))

@@ -44,3 +44,24 @@ def test_clashing_columns(spark, tmp_path):
     for name, query in registry.queries().items():
         if name not in ("op7_ann", "op5_decontaminate"):
             assert query(spark, str(tmp_path)).count() == 60, name
+
+
+def test_null_and_repeated_rows(spark, tmp_path):
+    """Exactly one row of each group stays, from files and from memory, and rows without a doc_id are searched like others."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").orderBy("item_id").first().text
+    text = " ".join(f"word{i} stands" for i in range(40))
+    lines = "first line of it\nsecond line of it\nthird line of it"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    row = lambda i, t: (i, t, "en", "a", len(t))
+    copies = [row(None, text)] * 3 + [row(7, text)] * 2 + [row(None, "another text of only null rows here")] * 2
+    repeated = [row(None, lines)] * 3 + [row(2, lines)] * 2
+    leaks = [row(None, item), row(3, item), row(3, text)]
+    for k, (stage, rows, want) in enumerate([
+        (corpus_pipeline.duplicate_stage, copies, [(None, "another text of only null rows here"), (7, text)]),
+        (corpus_pipeline.line_stage, repeated, [(2, lines)]),
+        (corpus_pipeline.benchmark_stage, leaks, [(3, text)]),
+    ]):
+        docs = spark.createDataFrame(rows, schema)
+        docs.repartition(3).write.parquet(f"{tmp_path}/{k}")
+        for d in (docs, spark.read.parquet(f"{tmp_path}/{k}")):
+            assert sorted(((r.doc_id, r.text) for r in stage(spark, d, SF).collect()), key=repr) == sorted(want, key=repr), (k, d)
