@@ -61,7 +61,10 @@ class Index:
             if len(h) < words:
                 raise ValueError(f"a template needs {words} tokens: {text!r}")
             self.sets.append(np.unique(bs.shingles(h, at, words)[0]))
-        for low, high in GROUPS:
+        groups, longest = list(GROUPS), max(map(len, self.sets), default=0)
+        while groups[-1][1] < longest:  # a template of any length is in a group
+            groups.append((groups[-1][1] + 1, 4 * groups[-1][1]))
+        for low, high in groups:
             mine = [t for t, s in enumerate(self.sets) if low <= len(s) <= high]
             if not mine:
                 continue
