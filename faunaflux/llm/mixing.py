@@ -3,10 +3,14 @@
 Sources get shares of a budget of words in proportion to their weights; no source is taken more than a number of epochs. The water level that
 repeated clamping and resharing leads to is found at once: with sources in order of (epochs x size) / weight, a running sum tells which of them are
 at their cap. A document is taken floor(target / size of its source) times; for the fractional epoch, documents are taken in a seeded
-order until the rest of the target is met. That order is cut into bins by a hash, so that a source of any size is ordered bin by bin.
-
-Defined results: a null text has size 0; a null source is a source, the last; a source of size 0 gets target 0 and nothing is taken; rows that
-repeat an identifier are taken alike, each counted; an empty table gives an empty result.
+order until the rest of the target is met. That order is cut into bins by a hash, so that a source of any size is ordered bin by bin. Copies of one
+document (equal identifier and text, which may be a third of all rows) are ordered among themselves by a hash of their row's number, in bins too, so a
+source of nothing but copies meets its target as well as any.
+
+Defined results: a null text has size 0, as has an empty one; a null source is a source, the last; a source of size 0 gets target 0 and nothing is taken;
+rows without an identifier, or with one that repeats, are documents like others; of equal rows, which ones are taken is open, how many is not; long texts count
+whole; ties of the hash fall to the size; extra columns are not read, whatever their names; an empty table gives an empty result. The sources themselves are
+put in order in one task: a row of four numbers for each.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ SMALL = 100_000  # sources that may be broadcast; more are joined by a salted sh
 SALTS = 64
 
 
+def _bin(h: str) -> Column:
+    return F.pmod(F.shiftright(h, 20), F.lit(BINS)).cast("int")
+
+
 def words(text: Column) -> Column:
     """Number of maximal runs of other bytes than space and 0x09 to 0x0D."""
     spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
@@ -46,12 +54,19 @@ def source_targets(sizes: DataFrame, budget_share: float = 1.0, epochs: int = EP
     return t.select("src", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * water)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, budget_share: float = 1.0, epochs: int = EPOCHS, weights: tuple[float, ...] = WEIGHTS, carry: bool = False) -> DataFrame:
-    """One row per row of docs: _id, _source, size, source_size, target, times (whole repetitions taken); with carry also the row, as struct _row."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, budget_share: float = 1.0, epochs: int = EPOCHS, weights: tuple[float, ...] = WEIGHTS, carry: bool = False, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: _id, _source, size, source_size, target, times (whole repetitions taken); with carry also the row, as struct _row.
+
+    row_col names a column that tells rows apart; without one, rows are numbered and kept in a checkpoint.
+    """
+    number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
-    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), words(F.col(f"`{text_col}`").cast("string")).alias("size"), *row)
-    # one hash orders the documents of a source; equal hashes fall to the identifier, and equal identifiers are taken alike
-    d = d.withColumn("h", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("bin", F.pmod(F.shiftright("h", 20), F.lit(BINS)).cast("int"))
+    text = F.col(f"`{text_col}`").cast("string")
+    # a hash of identifier and text orders the documents of a source; copies, whose hashes are equal, are ordered by a hash of the row's number
+    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("h"), F.xxhash64(F.lit(seed), number).alias("t"), *row)
+    d = d.withColumn("bin", _bin("h"))
+    if carry and row_col is None:
+        d = durable(d)
     slim = durable(d.drop("_row"))  # numbers only: the texts are read once for all that follows, and once more for rows that are carried
     d = d if carry else slim
     bins = slim.groupBy("_source", "bin").agg(F.sum("size").alias("bin_size"))
@@ -71,16 +86,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if few:
             return rows.join(F.broadcast(one), F.col("_source").eqNullSafe(F.col("src")), "left").drop("src")
         salted = one.withColumn("s2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return rows.join(salted, F.col("_source").eqNullSafe(F.col("src")) & (F.pmod("h", F.lit(SALTS)).cast("int") == F.col("s2")), "left").drop("src", "s2")
+        return rows.join(salted, F.col("_source").eqNullSafe(F.col("src")) & (F.pmod("t", F.lit(SALTS)).cast("int") == F.col("s2")), "left").drop("src", "s2")
 
     on_edge = with_sources(slim, edge).where(F.col("bin") == F.col("edge.bin"))
-    order = Window.partitionBy("_source").orderBy("h", "_id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = on_edge.groupBy("_source", "h", "_id", "size").agg(F.count("*").alias("same"), F.first("edge.before").alias("before"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("_source").orderBy("h", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = on_edge.groupBy("_source", "h", "size").agg(F.count("*").alias("same"), F.first("edge.before").alias("before"), F.first("rest").alias("rest"))
     cut = cut.withColumn("upto", F.sum(F.col("size") * F.col("same")).over(order) + F.col("before"))
-    # the document that crosses the rest is in if that comes nearer to it; all before it in the order are in, so the last one is enough
-    cut = cut.where(F.col("upto") - F.col("size") * F.col("same") / 2 <= F.col("rest")).groupBy(F.col("_source").alias("src")).agg(F.max(F.struct("h", "_id", "size")).alias("last"))
-    d = with_sources(d, edge.join(cut.withColumnRenamed("src", "cs"), F.col("src").eqNullSafe(F.col("cs")), "left").drop("cs"))
-    extra = F.when(F.col("rest") <= 0, 0).when(F.col("bin") < F.col("edge.bin"), 1).when((F.col("bin") == F.col("edge.bin")) & (F.struct("h", "_id", "size") <= F.col("last")), 1).otherwise(0)
+    # the documents that end before the rest are in; of the copies that cross it, so many as come nearest
+    cross = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("h", "size", "same", F.round((F.col("rest") - F.col("upto") + F.col("size") * F.col("same")) / F.col("size")).cast("long").alias("k"))))
+    cut = durable(cut.groupBy(F.col("_source").alias("src")).agg(cross.alias("cross")).where("cross is not null"))
+    copies = with_sources(slim, cut).where((F.col("h") == F.col("cross.h")) & (F.col("size") == F.col("cross.size"))).withColumn("tbin", _bin("t"))
+    parts = copies.groupBy("_source", "tbin").agg(F.count("*").alias("n"), F.first("cross.k").alias("k"))
+    parts = parts.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("tbin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    part = parts.where("start < k").groupBy(F.col("_source").alias("src")).agg(F.max(F.struct("tbin", "start", "k")).alias("part"))
+    inner = with_sources(copies, part).where(F.col("tbin") == F.col("part.tbin"))
+    inner = inner.withColumn("r", F.row_number().over(Window.partitionBy("_source").orderBy("t"))).where(F.col("r") <= F.col("part.k") - F.col("part.start"))
+    last = inner.groupBy(F.col("_source").alias("ls")).agg(F.max("tbin").alias("tbin"), F.max("t").alias("t_last"))
+    one = edge.join(cut.withColumnRenamed("src", "cs"), F.col("src").eqNullSafe(F.col("cs")), "left").drop("cs")
+    one = one.join(last, F.col("src").eqNullSafe(F.col("ls")), "left").drop("ls")
+    d = with_sources(d, one)
+    here, at = F.struct("h", "size"), F.struct("cross.h", "cross.size")
+    copy = (_bin("t") < F.col("tbin")) | ((_bin("t") == F.col("tbin")) & (F.col("t") <= F.col("t_last")))
+    inside = F.when(F.col("cross").isNull() | (here < at), 1).when((here == at) & F.coalesce(copy, F.lit(False)), 1).otherwise(0)
+    extra = F.when(F.col("rest") <= 0, 0).when(F.col("bin") < F.col("edge.bin"), 1).when(F.col("bin") == F.col("edge.bin"), inside).otherwise(0)
     return d.select("_id", "_source", "size", "source_size", "target", (F.col("whole") + F.coalesce(extra, F.lit(0))).cast("long").alias("times"), *(["_row"] if carry else []))
 
 

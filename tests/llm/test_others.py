@@ -173,3 +173,16 @@ def test_repeated_rows_and_null_identifiers_repeat_their_results(spark):
     assert [len(r.matches) for r in licenses.scan_licenses(keyed(docs)).collect()] == [1, 1, 1]
     items = spark.createDataFrame([(7, notice), (7, notice)], "item_id long, text string")
     assert decontaminate.find_items(keyed(docs), keyed(items, "item_id")).count() >= 3
+
+
+def test_mixing_of_copies_and_null_identifiers(spark, table):
+    """Sources of nothing but copies, of rows without an identifier, and of one identifier with many texts come within one document of their targets."""
+    rows = [(None, " ".join(["w"] * 10), "copies") for _ in range(2000)] + [(None, f"text number {i} here", "none") for i in range(500)] + [(7, f"one of {i}", "same") for i in range(400)] + [(9, "x y", "same")] * 300
+    got = mixing.op6_mixing(spark, table(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.op6_mixing(spark, table(rows, "doc_id long, text string, source string")).collect()), key=repr)
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 3 * r.size
+    assert len(taken) == 3 and all(abs(taken[s] - target[s]) <= 10 for s in taken), (taken, target)
