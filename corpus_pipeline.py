@@ -67,7 +67,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of times in column times, which replaces one of that name."""
-    out = mixing.mix(docs, carry=True).where("times > 0")
+    out = mixing.mix(rowed(docs), carry=True, row_col="__row").where("times > 0")
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "times"], F.col("times"))
 
 
