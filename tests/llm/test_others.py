@@ -112,7 +112,7 @@ def test_licenses(spark):
     docs = spark.createDataFrame([(1, "foo " + x["MIT"] + " bar"), (2, "x " + x["Apache-2.0 header"].replace("compliance", "line") + " y" * 600), (3, None), (4, "plain words only here and there"), (5, "é " * 300 + x["MIT notice"])], "doc_id long, text string")
     got = {r["_id"]: r.matches for r in licenses.scan_licenses(keyed(docs)).collect()}
     assert [m.template for m in got[1]] == ["MIT"] and got[1][0].start == 4 and got[1][0].containment == 1
-    assert {m.template for m in got[2]} == {"Apache-2.0 notice", "Apache-2.0 header"} and not got[3] and not got[4]
+    assert [m.template for m in got[2]] == ["Apache-2.0 header"] and not got[3] and not got[4]
     assert ("é " * 300 + x["MIT notice"]).encode()[got[5][0].start : got[5][0].stop].decode() == x["MIT notice"]
 
 
