@@ -7,11 +7,13 @@ block that holds its rank and those within `reach` blocks of it, candidates of a
 Equal vectors are one point of the index that keeps its least identifiers, as many as an answer can need; so a vector that a third of the rows share
 costs one row. Points, curves and blocks are all rows; the driver sees row counts of partitions, the recall of a sample, and nothing else.
 
-The reach is found by measuring: on a bounded, documented sample of queries (CALIBRATION) against brute force, it is doubled until recall is at least
-the target. Vectors without structure need a large part of the data for that, and get it.
+The reach is found by measuring: the true neighbours of a bounded, documented sample of queries (CALIBRATION, by brute force), and how far from the query their
+ranks are on the curve that brings them closest; the least reach that meets the target is taken. Vectors without structure need a large part of the data for
+that, and get it: the work is then that of the queries against most rows, in blocks.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or holding null or non-finite components take no part; fewer candidates than k
-give fewer rows; ties go to the smaller identifier; null identifiers take no part.
+give fewer rows; ties go to the smaller identifier; null identifiers take no part; rows that repeat identifier and vector are one; an identifier with two vectors
+is a candidate and a query with both; extra columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -177,14 +179,14 @@ def nearest(table: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "e
 
         return _merged(points.select("ids", "v").mapInArrow(run, _FOUND), k)
 
+    # the reach that recall needs: of each true neighbour of a sample of queries, the blocks between it and its query on the curve where they are closest
     probe = durable(asked_points.orderBy(F.xxhash64(F.lit(seed), "q")).limit(CALIBRATION))
-    truth = {(r.query_id, r.vec_id) for r in exact(probe).collect()}  # CALIBRATION x k rows
-    reach = 0
-    while truth:
-        found = {(r.query_id, r.vec_id) for r in answer(probe, reach).collect()}
-        if len(found & truth) >= target * len(truth) or reach >= blocks:
-            break
-        reach = max(1, 2 * reach)
+    truth = exact(probe).select(F.col("query_id").alias("q"), F.col("vec_id").alias("_id"))
+    pairs = truth.join(rows.join(F.broadcast(truth.select("_id").distinct()), "_id").join(points.select("v", F.col("point").alias("other")), "v").select("_id", "other"), "_id").join(probe.select("q", "point"), "q")
+    a, b = (ranked.join(F.broadcast(pairs.select(F.col(c).alias("point")).distinct()), "point").select(F.col("point").alias(c), "curve", F.col("block").alias(f"{c}_block")) for c in ("point", "other"))
+    apart = pairs.join(a, "point").join(b, ["other", "curve"]).groupBy("q", "_id").agg(F.min(F.abs(F.col("point_block") - F.col("other_block"))).alias("blocks"))
+    needed = sorted(r.blocks for r in apart.collect())  # CALIBRATION x k rows
+    reach = int(needed[min(len(needed) - 1, -int(-target * len(needed) // 1) - 1)]) if needed else 0
     return answer(asked_points, reach)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,13 @@ NO_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a folder of its own only where none is set."""
+    """The checkpoint folder that the session names. Where none is set, a local session gets one of its own; on a cluster that is an error, as no folder here is shared."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="faunaflux-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="faunaflux-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -25,6 +29,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rowed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row in __row: a 64-bit hash of its place in its file, or a number kept in a checkpoint where there is no file."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return durable(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

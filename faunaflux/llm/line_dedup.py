@@ -7,7 +7,8 @@ combined before the shuffle, so a window that a third of all documents hold cost
 Defined results: lines are split at newlines and compared as they are; a null text is an empty one; documents of fewer than three lines have no
 window; windows of blank lines do not count; a later occurrence that overlaps the first one in the same document leaves the first one's lines;
 rows that repeat an identifier are one document; rows without an identifier take no part and stay whole. An identifier that is a struct is taken as it
-is, in its own order.
+is, in its own order. Very long texts are windowed whole. Extra columns are carried as they are; only those with the names of the three result columns are replaced; names that begin with two underscores are the operator's own.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,20 +41,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs with three more columns: the text without covered lines, its lines before, and those removed."""
     docs = docs.drop(kept_col, lines_col, removed_col)
     if docs.schema[id_col].dataType.typeName() == "struct":
-        whole = docs.withColumn("__id", F.col(f"`{id_col}`"))
+        whole = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__none", F.lit(0))
         texts = whole.select(F.col("__id").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     else:
         whole = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)))
+        # rows without an identifier meet no range; they are spread by a number that no range has
+        whole = whole.withColumn("__none", F.when(F.col("__id") == NO_ID, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).otherwise(0).cast("int"))
         texts = keyed(docs, id_col, text_col).where(F.col("_id") != NO_ID)
-    found = covered_lines(texts).select(F.col("_id").alias("__id"), F.col("ranges").alias("__r"))
-    out = whole.join(found, "__id", "left")
+    found = covered_lines(texts).select(F.col("_id").alias("__id"), F.lit(0).alias("__none"), F.col("ranges").alias("__r"))
+    out = whole.join(found, ["__id", "__none"], "left")
     lines = F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("__r", lambda r: F.sequence(r["s"], r["e"]))))
     out = out.withColumn("__l", lines).withColumn("__k", F.when(F.col("__r").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), gone)))
     kept = F.when(F.col("__r").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform("__k", lambda i: F.col("__l")[i]), "\n"))
     out = out.withColumn(kept_col, kept).withColumn(lines_col, F.size("__l").cast("long"))
     out = out.withColumn(removed_col, F.when(F.col("__r").isNull(), 0).otherwise(F.size("__l") - F.size("__k")).cast("long"))
-    return out.drop("__id", "__r", "__l", "__k")
+    return out.drop("__id", "__none", "__r", "__l", "__k")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
