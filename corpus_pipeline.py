@@ -8,20 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faunaflux.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from faunaflux.llm.cluster import durable, keyed, shared_folder
-
-
-def rowed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row in __row: a 64-bit hash of its place in its file, or a number kept in a checkpoint where there is no file."""
-    try:
-        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        return durable(docs.withColumn("__row", F.monotonically_increasing_id()))
+from faunaflux.llm.cluster import durable, keyed, rowed, shared_folder
 
 
 def in_order():
