@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, written by checkpoint() to the shared folder that the session names; to a folder of its own only where none is set."""
+    """The rows, written by checkpoint() to the shared folder that the session names. Where none is set, a local session gets one of its own; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="faunaflux-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="faunaflux-"))
     return df.checkpoint(eager=True)

@@ -11,6 +11,7 @@ from ..functions.stats import paired_t_p, wilcoxon_p
 from .board import in_scenario, successful
 
 PAIR = ["model_a", "model_b"]
+BLOCKS = 32  # blocks of replicates that a group's values are sent to
 
 
 def paired(results: DataFrame, metric: str = "roc_auc", scenario: str | None = None, reference: str | None = None) -> DataFrame:
@@ -32,15 +33,18 @@ def paired_summary(pairs: DataFrame, tie_tolerance: float = 0.0) -> DataFrame:
 def bootstrap_ci(values: DataFrame, by: list[str], value: str, order: list[str], n_boot: int = 10_000, confidence: float = 0.95, seed: int = SEED, statistic: str = "mean") -> DataFrame:
     """Percentile interval of the mean or median over resamples of each group; null for fewer than two values.
 
-    Draw i of replicate r is row md5(seed|r|i) mod n of the group in the given order, so every engine draws the same rows. The rows of a group are
-    an array, looked up by position: nothing is joined or shuffled for the draws, and replicates are spread over tasks.
+    Draw i of replicate r is row md5(seed|r|i) mod n of the group in the given order, so every engine draws the same rows. The values of a group are
+    an array, which is sent once to each of BLOCKS blocks of replicates and looked up there by position: what is shuffled does not grow with n_boot.
     """
     if statistic not in ("mean", "median"):
         raise ValueError(f"unknown statistic {statistic!r}")
     rows = values.select(*by, *[F.col(c) for c in order], finite(value).alias("v")).where("v is not null")
     g = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "v"))), lambda s: s["v"]).alias("vs"))
     g = g.withColumn("n", F.size("vs"))
-    reps = g.where("n > 1").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition(F.col("rep"))
+    blocks = min(BLOCKS, n_boot)
+    spread = g.where("n > 1").withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*by, "__b")
+    first, last = F.floor(F.col("__b") * n_boot / blocks) + 1, F.floor((F.col("__b") + 1) * n_boot / blocks)
+    reps = spread.withColumn("rep", F.explode(F.sequence(first, last)))
     draw = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("vs", (md5_int(F.lit(seed), F.col("rep"), i) % F.col("n")).cast("int")))
     if statistic == "mean":
         stat = F.aggregate(draw, d(0), lambda a, x: a + x) / F.col("n")

@@ -38,13 +38,15 @@ def knn_edges(df: DataFrame, keys: list[str], node: str, axes: list[str], k: int
         out = []
         if len(q) and len(r):
             b, nb = np.stack(r["__v"].to_list()), r["__n"].to_numpy()
-            for name, v in zip(q["__n"], q["__v"], strict=True):
-                dist = np.sqrt(((b - v) ** 2).sum(1))
-                dist[nb == name] = np.inf
-                for i in np.argsort(dist, kind="stable")[:k]:
-                    if np.isfinite(dist[i]):
-                        out.append((name, nb[i], float(dist[i])))
-        res = pd.DataFrame(out, columns=["src", "dst", "dist"])
+            a, na = np.stack(q["__v"].to_list()), q["__n"].to_numpy()
+            step = max(1, (4 << 20) // b.size)
+            for at in range(0, len(a), step):
+                dist = np.sqrt(((a[at : at + step, None, :] - b[None]) ** 2).sum(2))
+                dist[na[at : at + step, None] == nb[None]] = np.inf
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                found = pd.DataFrame({"src": np.repeat(na[at : at + step], best.shape[1]), "dst": nb[best].ravel(), "dist": np.take_along_axis(dist, best, 1).ravel()})
+                out.append(found[np.isfinite(found["dist"])])
+        res = pd.concat(out) if out else pd.DataFrame(columns=["src", "dst", "dist"])
         for c in keys:
             res[c] = t[c].iloc[0]
         return res[[*keys, "src", "dst", "dist"]]

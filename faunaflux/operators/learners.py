@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import d
-from ..schemas import SkippableError
+from ..functions.scalar import clip, d, finite
+from ..lineage import durable
+from ..schemas import DataError, SkippableError
+from . import newton
 from .features import modality_weights
 from .metrics import compute_metrics, roc_auc
 from .resample import average_logits, stratified_folds
 
 SEED = 32639
+MOST_GROUPS = 10_000
 
 
 def dummy(train: DataFrame, test: DataFrame, keys: list[str], y: str = "occ") -> DataFrame:
@@ -49,10 +55,14 @@ def knn(train: DataFrame, test: DataFrame, keys: list[str], features: list[str],
         out = []
         if len(ref) and len(ask):
             x, labels, names = np.stack(ref["__v"].to_list()), ref["__y"].to_numpy(), ref["__row"].to_numpy()
-            for name, v in zip(ask["__row"], ask["__v"], strict=True):
-                dist = np.abs(x - v).sum(1) if metric == "manhattan" else np.sqrt(((x - v) ** 2).sum(1))
-                out += [(name, float(dist[i]), names[i], labels[i]) for i in np.argsort(dist, kind="stable")[:k]]
-        res = pd.DataFrame(out, columns=[row, "dist", "near", "label"])
+            q, who = np.stack(ask["__v"].to_list()), ask["__row"].to_numpy()
+            step = max(1, (4 << 20) // x.size)
+            for at in range(0, len(q), step):
+                gap = q[at : at + step, None, :] - x[None]
+                dist = np.abs(gap).sum(2) if metric == "manhattan" else np.sqrt((gap**2).sum(2))
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({row: np.repeat(who[at : at + step], best.shape[1]), "dist": np.take_along_axis(dist, best, 1).ravel(), "near": names[best].ravel(), "label": labels[best].ravel()}))
+        res = pd.concat(out) if out else pd.DataFrame(columns=[row, "dist", "near", "label"])
         for c in keys:
             res[c] = t[c].iloc[0]
         return res[[*keys, row, "dist", "near", "label"]]
@@ -131,12 +141,32 @@ def mllib(name: str, **options):
     raise KeyError(f"unknown estimator {name!r}")
 
 
+def logistic(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", c: float = 1.0) -> DataFrame:
+    """keys, row, p: logistic regression of each group on features scaled by its training rows, least (slopes squared) / 2 + c x log-loss, by grouped Newton steps.
+
+    Missing values of a feature count as the group's training mean, in both tables; a feature that does not vary counts 0. Groups of one class predict close to it.
+    """
+    moments = train.groupBy(*keys).agg(*[f(F.col(x)).alias(f"__{n}_{x}") for x in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = lambda t: t.join(moments, keys)
+    x = [F.when(F.col(f"__s_{f}") > 0, F.coalesce((finite(f) - F.col(f"__m_{f}")) / F.col(f"__s_{f}"), d(0))).otherwise(d(0)) for f in features]
+    beta = newton.fit(scaled(train), keys, x, F.col(y), ridge=1 / c)
+    return scaled(test).join(beta.drop("gradient"), keys).select(*keys, row, (d(1) / (d(1) + F.exp(-clip(newton.score(x), -500, 500)))).alias("p"))
+
+
+def imputed(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with missing and non-finite values of features as the training mean, so that no row is lost; 0 where training has no value."""
+    means = train.agg(*[F.avg(finite(f)).alias(f) for f in features]).first()
+    fill = lambda t: t.withColumns({f: F.coalesce(finite(f), d(means[f] or 0.0)) for f in features})
+    return fill(train), fill(test)
+
+
 def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str], row: str, y: str = "occ", **options) -> DataFrame:
-    """row, p of test rows by an MLlib estimator; scores of a margin go through a sigmoid."""
+    """row, p of all test rows by one MLlib estimator; missing values count as the training mean; scores of a margin go through a sigmoid."""
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    pack = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip")
+    train, test = imputed(train, test, features)
+    pack = VectorAssembler(inputCols=features, outputCol="__raw")
     a = pack.transform(train.withColumn("label", F.col(y).cast("double")))
     scaler = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(a)
     a = scaler.transform(a).select("features", "label")
@@ -151,6 +181,29 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str
     return out.select(row, (d(1) / (d(1) + F.exp(-F.get(vector_to_array("rawPrediction"), F.lit(1))))).alias("p"))
 
 
+def per_group(name: str, train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", threads: int = 8, **options) -> DataFrame:
+    """keys, row, p: an MLlib estimator for each group, fitted side by side; each fit is distributed, the driver only starts them.
+
+    Meant for tens to thousands of species; more than MOST_GROUPS is an error, and the set-based learners take any number. Groups of one class get its label.
+    """
+    own = [*keys, *features]
+    a, b = (durable(t.select(*dict.fromkeys([*own, *more]))) for t, more in ((train, [y]), (test, [row])))
+    groups = a.groupBy(*keys).agg(F.min(y).alias("__low"), F.max(y).alias("__high")).limit(MOST_GROUPS + 1).collect()
+    if len(groups) > MOST_GROUPS:
+        raise DataError(f"more than {MOST_GROUPS} groups")
+
+    def one(g) -> DataFrame:
+        here = lambda t: t.where(reduce(lambda m, k: m & F.col(k).eqNullSafe(F.lit(g[k])), keys, F.lit(True)))
+        p = here(b).select(row, d(float(g["__low"])).alias("p")) if g["__low"] == g["__high"] else fit_predict(name, here(a), here(b), features, row, y, **options)
+        return p.select(*[F.lit(g[k]).alias(k) for k in keys], row, "p")
+
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(one, groups))
+    if not parts:
+        return b.select(*keys, row, d(0).alias("p")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ensemble(members: DataFrame, test: DataFrame, keys: list[str], row: str, fit) -> DataFrame:
     """Mean of logits over members of p from fit(member training rows, member test rows, keys with member_id)."""
     k = members.select(*keys, "member_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, d, md5_order
+from ..functions.scalar import clip, d
 
 
 def _ce(z: str, y: str) -> Column:
@@ -28,14 +28,20 @@ def focal(df: DataFrame, keys: list[str], z: str = "z", y: str = "y", gamma: flo
     return df.groupBy(*keys).agg(F.avg(F.pow(d(1) - F.exp(-loss), gamma) * loss).alias("loss"))
 
 
-def pairwise_ranking(df: DataFrame, keys: list[str], row: str, z: str = "z", y: str = "y", margin: float = 1.0, most: int = 316, seed: int = 32639) -> DataFrame:
-    """Mean hinge over pairs of a presence and a background row. The objective itself draws at most `most` rows of each side of a group."""
-    w = Window.partitionBy(*keys, y).orderBy(md5_order(seed, F.col(row)), row)
-    t = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most)
-    pos = t.where(F.col(y) == 1).select(*keys, F.col(z).alias("a"))
-    neg = t.where(F.col(y) == 0).groupBy(*keys).agg(F.collect_list(z).alias("bs"))
-    hinge = F.aggregate("bs", d(0), lambda s, b: s + F.greatest(d(margin) - (F.col("a") - b), d(0)))
-    return pos.join(neg, keys).groupBy(*keys).agg((F.sum(hinge) / F.sum(F.size("bs"))).alias("loss"))
+def pairwise_ranking(df: DataFrame, keys: list[str], z: str = "z", y: str = "y", margin: float = 1.0) -> DataFrame:
+    """Mean hinge over all pairs of a presence and a background row of a group; null where a class is missing.
+
+    A pair counts where the background row is above the presence less the margin, so running counts and sums of sorted distinct scores give the mean
+    without a pair: no row of either class is left out, and none meets another.
+    """
+    v = F.col(z).cast("double")
+    # presences stand at their score less the margin, where what is above them in the background is what they lose to
+    rows = df.select(*keys, F.when(F.col(y) == 1, v - d(margin)).otherwise(v).alias("__v"), (F.col(y) == 1).cast("long").alias("__pos"), (F.col(y) == 0).cast("long").alias("__neg"))
+    at = rows.groupBy(*keys, "__v").agg(F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("__v")).rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("__c", F.coalesce(F.sum("__n").over(above), F.lit(0))).withColumn("__s", F.coalesce(F.sum(F.col("__v") * F.col("__n")).over(above), d(0)))
+    lost = F.sum(F.col("__p") * (F.col("__s") - F.col("__v") * F.col("__c")))
+    return at.groupBy(*keys).agg((lost / F.nullif(F.sum("__p").cast("double") * F.sum("__n"), d(0))).alias("loss"))
 
 
 def maxent(df: DataFrame, keys: list[str], z: str = "z", y: str = "y", beta: float = 0.0) -> DataFrame:
@@ -48,18 +54,23 @@ def maxent(df: DataFrame, keys: list[str], z: str = "z", y: str = "y", beta: flo
 
 
 def poisson(df: DataFrame, keys: list[str], z: str = "z", y: str = "y", area: float = 1.0) -> DataFrame:
-    """Point-process likelihood with log intensity z, clamped at 30; quadrature weights 1e-6 at presences, area / n elsewhere."""
+    """Point-process likelihood with log intensity z, which is clamped at 30 inside the exponential only; quadrature weights 1e-6 at presences, area / n elsewhere. 0 without background."""
     n = df.groupBy(*keys).agg(F.count_if(F.col(y) == 0).cast("double").alias("__n"))
-    v = clip(z, -30, 30)
-    q = F.when(F.col(y) == 1, d(1e-6)).otherwise(d(area) / F.col("__n"))
-    return df.join(n, keys).groupBy(*keys).agg(F.avg(q * F.exp(v) - F.col(y) * v).alias("loss"))
+    q = F.when(F.col(y) == 1, d(1e-6)).otherwise(d(area) / F.nullif("__n", d(0)))
+    loss = F.avg(q * F.exp(clip(z, -30, 30)) - F.col(y) * F.col(z))
+    return df.join(n, keys).groupBy(*keys).agg(F.when(F.first("__n") == 0, d(0)).otherwise(loss).alias("loss"))
+
 
+def deep_maxent(df: DataFrame, keys: list[str], species: str, z: str = "z", y: str = "y", penalty: float = 0.0) -> DataFrame:
+    """Mean over species of the log mean exponential of the background less the mean score of presences, plus a penalty on squares.
 
-def deep_maxent(df: DataFrame, keys: list[str], species: str, z: str = "z", y: str = "y") -> DataFrame:
-    """Mean over species of the negative mean log share that presences have of their species' total intensity; species of one row do not count."""
+    Scores are clamped at 30. Species of one row do not count, species without one of the classes count 0.
+    """
     v = clip(z, -30, 30)
-    g = df.groupBy(*keys, species).agg(F.count("*").alias("__n"), F.ln(F.sum(F.exp(v))).alias("__l"), F.avg(F.when(F.col(y) == 1, v)).alias("__p"))
-    return g.where("__n >= 2 and __p is not null").groupBy(*keys).agg(F.avg(F.col("__l") - F.col("__p")).alias("loss"))
+    none = F.col(y) == 0
+    g = df.groupBy(*keys, species).agg(F.count("*").alias("__n"), F.ln(F.sum(F.when(none, F.exp(v))) / F.count_if(none)).alias("__l"), F.avg(F.when(F.col(y) == 1, v)).alias("__p"), F.avg(v * v).alias("__q"))
+    loss = F.coalesce(F.col("__l") - F.col("__p") + d(penalty) * F.col("__q"), d(0))
+    return g.where("__n >= 2").groupBy(*keys).agg(F.avg(loss).alias("loss"))
 
 
 def point_probability(z: str = "z") -> Column:

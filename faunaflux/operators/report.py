@@ -41,10 +41,10 @@ def reproduction(reference: DataFrame, results: DataFrame, match: float = MATCH,
 
 
 def overall_status(report: DataFrame) -> DataFrame:
-    """One row: NOT RUN before MISMATCH before CLOSE before MATCH; PARTIAL where only some rows ran."""
+    """One row: NOT RUN if nothing ran, else the worst of MISMATCH, CLOSE and MATCH that is there; PARTIAL where none of them is."""
     has = lambda s: F.count_if(F.col("status") == s) > 0
-    n = F.count_if(F.col("status") == "NOT RUN")
-    return report.agg(F.when(n == F.count("*"), "NOT RUN").when(has("MISMATCH"), "MISMATCH").when(n > 0, "PARTIAL").when(has("CLOSE"), "CLOSE").otherwise("MATCH").alias("status"))
+    none = F.count_if(F.col("status") == "NOT RUN") == F.count("*")
+    return report.agg(F.when(none, "NOT RUN").when(has("MISMATCH"), "MISMATCH").when(has("CLOSE"), "CLOSE").when(has("MATCH"), "MATCH").otherwise("PARTIAL").alias("status"))
 
 
 def extra_models(reference: DataFrame, results: DataFrame, scenario: str = "nonspatial") -> DataFrame:

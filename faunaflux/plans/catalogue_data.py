@@ -27,13 +27,13 @@ def _test(spark, d):
     return _occ(spark, d).where("part = 'test'")
 
 
-@query("task_train_union", """, b AS (SELECT region, x, y FROM occ WHERE part = 'train' AND occ = 0 AND ord % 10 = 1), s AS (SELECT DISTINCT region, spid FROM occ),
+@query("task_train_union", """, b AS (SELECT region, x, y FROM occ WHERE part = 'train' AND occ = 0), s AS (SELECT DISTINCT region, spid FROM occ),
 u AS (SELECT region, spid, x, y, 1 AS occ FROM occ WHERE part = 'train' AND occ = 1 UNION ALL SELECT b.region, s.spid, x, y, 0 FROM b JOIN s USING (region))
 SELECT region, spid, occ, count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM u GROUP BY ALL""", OCC)
 def task_train_union(spark, d):
     train = _train(spark, d)
     po = train.where("occ = 1").select("region", "spid", "x", "y", "occ")
-    bg = train.where("occ = 0 and ord % 10 = 1").select("region", "x", "y")
+    bg = train.where("occ = 0").select("region", "x", "y")
     u = tasks.training_table(po, bg, _occ(spark, d).select(*G).distinct())
     return u.groupBy("region", "spid", "occ").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
 
@@ -62,9 +62,10 @@ def species_counts(spark, d):
     return tasks.species_counts(_train(spark, d), _test(spark, d))
 
 
-@query("both_classes_gate", "SELECT region, spid, prio FROM occ WHERE ord % 50 = 0 GROUP BY ALL HAVING count(*) FILTER (occ = 1) > 0 AND count(*) FILTER (occ = 0) > 0", OCC)
+@query("both_classes_gate", "SELECT region, spid, prio, floor(x / 4000) AS zone FROM occ GROUP BY ALL HAVING count(*) FILTER (occ = 1) > 0 AND count(*) FILTER (occ = 0) > 0", OCC)
 def both_classes_gate(spark, d):
-    return tasks.both_classes(_occ(spark, d).where("ord % 50 = 0"), ["region", "spid", "prio"])
+    zones = _occ(spark, d).withColumn("zone", F.floor(F.col("x") / 4000).cast("double"))
+    return tasks.both_classes(zones, ["region", "spid", "prio", "zone"])
 
 
 @query("pa_unpivot", ", w AS (SELECT ord, occ AS a, (ord % 2)::int AS b FROM occ) SELECT ord, 'a' AS spid, a AS occ FROM w UNION ALL SELECT ord, 'b', b FROM w", OCC)
@@ -208,9 +209,9 @@ def background_subsample(spark, d):
     return resample.background_subsample(_occ(spark, d), G, "ord", ratio=0.5).select(*G, "ord", "occ")
 
 
-@query("ensemble_balanced", f", m AS (SELECT occ.*, member_id FROM occ, range(0, 4) r(member_id)), k AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, member_id, occ ORDER BY md5((32639 + member_id)::varchar || '|' || ord::varchar), ord) AS k, sum(occ) OVER (PARTITION BY {KEY}, member_id) AS n FROM m) SELECT {KEY}, member_id::int AS member_id, ord, occ FROM k WHERE occ = 1 OR k <= n", OCC)
+@query("ensemble_balanced", f", m AS (SELECT occ.*, member_id FROM occ, range(0, 16) r(member_id)), k AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, member_id, occ ORDER BY md5((32639 + member_id)::varchar || '|' || ord::varchar), ord) AS k, sum(occ) OVER (PARTITION BY {KEY}, member_id) AS n FROM m) SELECT {KEY}, member_id::int AS member_id, ord, occ FROM k WHERE occ = 1 OR k <= n", OCC)
 def ensemble_balanced(spark, d):
-    return resample.balanced_members(_occ(spark, d), G, "ord", k=4).select(*G, "member_id", "ord", "occ")
+    return resample.balanced_members(_occ(spark, d), G, "ord").select(*G, "member_id", "ord", "occ")
 
 
 PARTS = f", b AS (SELECT *, (ntile(4) OVER (PARTITION BY {KEY} ORDER BY {_md5(32639)}, ord) - 1)::int AS member_id FROM occ WHERE occ = 0), m AS (SELECT {KEY}, member_id, ord, occ FROM b UNION ALL SELECT {KEY}, member_id, ord, occ FROM occ JOIN (SELECT DISTINCT {KEY}, member_id FROM b) USING ({KEY}) WHERE occ = 1)"
@@ -344,48 +345,48 @@ def fusion_early(spark, d):
     return t.select("ord", F.get(f, F.lit(0)).alias("f0"), F.get(f, F.lit(1)).alias("f1"))
 
 
-SOME = ", n AS (SELECT region, ord, x, y, age, price FROM occ WHERE spid = 'BUILDING' AND ord % 5 = 0)"
-SYM = "SELECT DISTINCT region, src, dst FROM (SELECT region, src, dst FROM e UNION ALL SELECT region, dst, src FROM e) WHERE src <> dst"
+SOME = ", n AS (SELECT region, spid, ord, x, y, age, price FROM occ)"
+SYM = "SELECT DISTINCT region, spid, src, dst FROM (SELECT region, spid, src, dst FROM e UNION ALL SELECT region, spid, dst, src FROM e) WHERE src <> dst"
 
 
 def _nodes(spark, d):
-    return _occ(spark, d).where("spid = 'BUILDING' and ord % 5 = 0").select("region", "ord", "x", "y", "age", "price")
+    return _occ(spark, d).select(*G, "ord", "x", "y", "age", "price")
 
 
 def _knn_sql(distance, k, frm="n"):
-    return f", e AS (SELECT region, src, dst FROM (SELECT a.region, a.ord AS src, b.ord AS dst, row_number() OVER (PARTITION BY a.region, a.ord ORDER BY {distance}, b.ord) AS k FROM {frm} a JOIN {frm} b ON a.region = b.region AND a.ord <> b.ord) WHERE k <= {k}) "
+    return f", e AS (SELECT region, spid, src, dst FROM (SELECT a.region, a.spid, a.ord AS src, b.ord AS dst, row_number() OVER (PARTITION BY a.ord ORDER BY {distance}, b.ord) AS k FROM {frm} a JOIN {frm} b ON a.region = b.region AND a.spid = b.spid AND a.ord <> b.ord) WHERE k <= {k}) "
 
 
 @query("graph_knn_geo", SOME + _knn_sql("sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))", 8) + SYM, OCC)
 def graph_knn_geo(spark, d):
-    return graphs.geographic_knn(_nodes(spark, d), ["region"], "ord")
+    return graphs.geographic_knn(_nodes(spark, d), G, "ord")
 
 
-Z = SOME + ", z AS (SELECT n.region, ord, (x - mx) / sx AS zx, (y - my) / sy AS zy, (age - ma) / sa AS za, (price - mp) / sp AS zp FROM n JOIN (SELECT region, avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy, avg(age) AS ma, stddev_samp(age) AS sa, avg(price) AS mp, stddev_samp(price) AS sp FROM n GROUP BY ALL) USING (region))"
+Z = SOME + ", z AS (SELECT n.region, n.spid, ord, (x - mx) / sx AS zx, (y - my) / sy AS zy, (age - ma) / sa AS za, (price - mp) / sp AS zp FROM n JOIN (SELECT region, spid, avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy, avg(age) AS ma, stddev_samp(age) AS sa, avg(price) AS mp, stddev_samp(price) AS sp FROM n GROUP BY ALL) USING (region, spid))"
 
 
 @query("graph_knn_env", Z + _knn_sql("round(sqrt((a.za - b.za) * (a.za - b.za) + (a.zp - b.zp) * (a.zp - b.zp)), 9)", 5, "z") + SYM, OCC)
 def graph_knn_env(spark, d):
-    return graphs.environmental_knn(_nodes(spark, d), ["region"], "ord", ["age", "price"], 5)
+    return graphs.environmental_knn(_nodes(spark, d), G, "ord", ["age", "price"], 5)
 
 
 @query("graph_hybrid", Z + _knn_sql("round(sqrt(0.5 * ((a.zx - b.zx) * (a.zx - b.zx) + (a.zy - b.zy) * (a.zy - b.zy)) + 0.5 * ((a.za - b.za) * (a.za - b.za) + (a.zp - b.zp) * (a.zp - b.zp))), 9)", 5, "z") + SYM, OCC)
 def graph_hybrid(spark, d):
-    return graphs.hybrid_knn(_nodes(spark, d), ["region"], "ord", ["age", "price"], 5)
+    return graphs.hybrid_knn(_nodes(spark, d), G, "ord", ["age", "price"], 5)
 
 
-RADIUS = SOME + ", e AS (SELECT a.region, a.ord AS src, b.ord AS dst FROM n a JOIN n b ON a.region = b.region AND a.ord <> b.ord AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 9000 * (1 + 1e-12))"
+RADIUS = SOME + ", e AS (SELECT a.region, a.spid, a.ord AS src, b.ord AS dst FROM n a JOIN n b ON a.region = b.region AND a.spid = b.spid AND a.ord <> b.ord AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 9000 * (1 + 1e-12))"
 
 
-@query("graph_radius", RADIUS + " SELECT region, src, dst FROM e", OCC)
+@query("graph_radius", RADIUS + " SELECT region, spid, src, dst FROM e", OCC)
 def graph_radius(spark, d):
-    return graphs.radius_edges(_nodes(spark, d), ["region"], "ord", 9000)
+    return graphs.radius_edges(_nodes(spark, d), G, "ord", 9000)
 
 
-@query("graph_degree_stats", RADIUS + ", g AS (SELECT n.region, n.ord, count(src) AS deg FROM n LEFT JOIN e ON e.region = n.region AND e.src = n.ord GROUP BY ALL) SELECT region, count(*) AS n_nodes, sum(deg)::bigint AS n_edges, round(sum(deg)::double / count(*), 6) AS mean_degree, count(*) FILTER (deg = 0) AS isolated_nodes FROM g GROUP BY ALL", OCC)
+@query("graph_degree_stats", RADIUS + ", g AS (SELECT n.region, n.spid, n.ord, count(src) AS deg FROM n LEFT JOIN e ON e.src = n.ord GROUP BY ALL) SELECT region, spid, count(*) AS n_nodes, sum(deg)::bigint AS n_edges, round(sum(deg)::double / count(*), 6) AS mean_degree, count(*) FILTER (deg = 0) AS isolated_nodes FROM g GROUP BY ALL", OCC)
 def graph_degree_stats(spark, d):
     n = _nodes(spark, d)
-    return graphs.degree_stats(graphs.radius_edges(n, ["region"], "ord", 9000), n, ["region"], "ord")
+    return graphs.degree_stats(graphs.radius_edges(n, G, "ord", 9000), n, G, "ord")
 
 
 @query("graph_user", "SELECT 0::bigint AS src, n_nationkey::bigint AS dst FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey::bigint, 0::bigint FROM nation WHERE n_nationkey > 0")
@@ -399,46 +400,6 @@ def graph_patch(spark, d):
     return graphs.patch_adjacency(_occ(spark, d), "ord", ["x", "y", "age"])[1]
 
 
-# The same jobs over the whole view, grouped by region and segment. The queries above that have SQL take the rows that their SQL takes.
-@query("task_train_union_whole", None)
-def task_train_union_whole(spark, d):
-    train = _train(spark, d)
-    po = train.where("occ = 1").select("region", "spid", "x", "y", "occ")
-    u = tasks.training_table(po, train.where("occ = 0").select("region", "x", "y"), _occ(spark, d).select(*G).distinct())
-    return u.groupBy("region", "spid", "occ").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
-
-
-@query("both_classes_gate_whole", None)
-def both_classes_gate_whole(spark, d):
-    return tasks.both_classes(_occ(spark, d), ["region", "spid", "prio"])
-
-
-@query("graph_knn_geo_whole", None)
-def graph_knn_geo_whole(spark, d):
-    return graphs.geographic_knn(_occ(spark, d), G, "ord")
-
-
-@query("graph_knn_env_whole", None)
-def graph_knn_env_whole(spark, d):
-    return graphs.environmental_knn(_occ(spark, d), G, "ord", ["age", "price"], 5)
-
-
-@query("graph_hybrid_whole", None)
-def graph_hybrid_whole(spark, d):
-    return graphs.hybrid_knn(_occ(spark, d), G, "ord", ["age", "price"], 5)
-
-
-@query("graph_radius_whole", None)
-def graph_radius_whole(spark, d):
-    return graphs.radius_edges(_occ(spark, d), G, "ord", 9000)
-
-
-@query("graph_degree_stats_whole", None)
-def graph_degree_stats_whole(spark, d):
-    n = _occ(spark, d)
-    return graphs.degree_stats(graphs.radius_edges(n, G, "ord", 9000), n, G, "ord")
-
-
 @query("scalar_functions", """SELECT ord, prio, regexp_replace(trim(regexp_replace(prio || ' / ' || region, '[^A-Za-z0-9._-]+', '-', 'g'), '-'), '^$', 'na') AS slug, lower(replace(region, '_', '-')) AS name, sha256(ord::varchar)[1:12] AS short,
 CASE WHEN abs(acct / 100000) <= 0.01 THEN 'MATCH' WHEN abs(acct / 100000) <= 0.025 THEN 'CLOSE' ELSE 'MISMATCH' END AS band, round(1 / (1 + exp(-acct / 1000)), 6) AS expit FROM occ""", OCC)
 def scalar_functions(spark, d):

@@ -223,16 +223,10 @@ def wilcoxon_w(spark, d):
 
 
 @query("bootstrap_ci", PAIRS + """, o AS (SELECT *, row_number() OVER (PARTITION BY model_a, model_b ORDER BY region, species_id) - 1 AS i, count(*) OVER (PARTITION BY model_a, model_b) AS n FROM p),
-g AS (SELECT DISTINCT model_a, model_b, n FROM o), k AS (SELECT model_a, model_b, n, rep, ('0x' || substr(md5('32639|' || rep || '|' || j), 1, 8))::bigint % n AS i FROM g, range(1, 501) r(rep), range(0, n) s(j)),
+g AS (SELECT DISTINCT model_a, model_b, n FROM o), k AS (SELECT model_a, model_b, n, rep, ('0x' || substr(md5('32639|' || rep || '|' || j), 1, 8))::bigint % n AS i FROM g, range(1, 10001) r(rep), range(0, n) s(j)),
 s AS (SELECT model_a, model_b, any_value(k.n) AS n, rep, avg(diff) AS v FROM k JOIN o USING (model_a, model_b, i) GROUP BY model_a, model_b, rep)
 SELECT model_a, model_b, max(n) AS n, round(quantile_cont(v, 0.025), 6) + 0 AS ci_low, round(quantile_cont(v, 0.975), 6) + 0 AS ci_high FROM s GROUP BY ALL""", RESULTS)
 def bootstrap_ci(spark, d):
-    return compare.bootstrap_ci(compare.paired(views.results(spark, d), scenario="nonspatial"), compare.PAIR, "diff", ["region", "species_id"], n_boot=500)
-
-
-@query("bootstrap_ci_whole", None)
-def bootstrap_ci_whole(spark, d):
-    """At the operator's own number of replicates; the query with SQL takes 500."""
     return compare.bootstrap_ci(compare.paired(views.results(spark, d), scenario="nonspatial"), compare.PAIR, "diff", ["region", "species_id"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from datetime import UTC, datetime
@@ -9,11 +10,15 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.scalar import job_id
+from .functions.scalar import SEED, job_id
+from .lineage import durable
 from .operators import audit, learners, metrics, recipe, report, spatial, tasks
 from .schemas import SkippableError, as_results
 
 KEYS = ["region", "spid"]
+#: Families of models, and settings that the protocol gives them.
+FAMILIES = {"dummy": "baseline", "gaussian-nb": "classical", "knn": "classical", "logistic-regression": "classical", "decision-tree": "classical", "linear-svc": "classical", "random-forest-mllib": "ensemble", "gradient-boosting": "boosting", "adaboost": "boosting", "mlp-mllib": "neural"}
+MODEL_OPTIONS = {"random-forest-mllib": {"numTrees": 100}, "gradient-boosting": {"maxIter": 50}, "adaboost": {"rounds": 50}, "knn": {"k": 5}}
 
 
 class Benchmark:
@@ -29,6 +34,7 @@ class Benchmark:
         train = spatial.apply_buffer(self.train, self.test, KEYS, self.buffer_m, self.geographic) if scenario == "spatial" else self.train
         whole = tasks.both_classes(train, KEYS).join(tasks.both_classes(self.test, KEYS), KEYS, "left_semi")
         train, test = (t.join(whole, KEYS, "left_semi") for t in (train, self.test))
+        # values that are missing count as the training mean, which is 0 once scaled
         r = recipe.SdmRecipe(KEYS, self.predictors).fit(train)
         return r.transform(train).na.fill(0.0, self.predictors), r.transform(test).na.fill(0.0, self.predictors)
 
@@ -37,32 +43,63 @@ class Benchmark:
         return audit.audit(train, self.test, KEYS, self.predictors, self.buffer_m if scenario == "spatial" else None, self.geographic)
 
     def predict(self, model: str, train: DataFrame, test: DataFrame) -> DataFrame:
+        """KEYS, siteid, p of a model for each region and species."""
         learners.require_available(model)
         if model == "dummy":
             return learners.dummy(train, test, KEYS).select(*KEYS, "siteid", "p")
-        fit = {"gaussian-nb": learners.gaussian_nb, "knn": learners.knn, "adaboost": learners.adaboost}.get(model)
-        if fit is None:
-            raise SkippableError(f"{model} is fitted one species at a time; use learners.fit_predict")
-        return fit(train, test, KEYS, self.predictors, "siteid")
+        fit = {"gaussian-nb": learners.gaussian_nb, "knn": learners.knn, "adaboost": learners.adaboost, "logistic-regression": learners.logistic}.get(model)
+        return fit(train, test, KEYS, self.predictors, "siteid") if fit else learners.per_group(model, train, test, KEYS, self.predictors, "siteid")
+
+    def tasks(self, species: list[str] | None = None, most: int | None = None) -> DataFrame:
+        """The (region, spid) that would run, in order: all, those asked for, or the first so many."""
+        out = self.test.select(*KEYS).distinct()
+        out = out if species is None else out.where(F.col("spid").isin(species))
+        return out.orderBy(*KEYS) if most is None else out.orderBy(*KEYS).limit(most)
+
+    def n_tasks(self, species: list[str] | None = None, most: int | None = None) -> int:
+        return self.tasks(species, most).count()
+
+    @staticmethod
+    def model_options(model: str) -> dict:
+        """Settings that the protocol gives a model; none for most."""
+        return dict(MODEL_OPTIONS.get(model, {}))
 
     def run(self, models: list[str], scenarios: tuple[str, ...] = ("nonspatial",), wanted=metrics.PUBLISHED, done: DataFrame | None = None, include_failed: bool = True) -> DataFrame:
-        """A result row for each job; models that are not available give typed skips; jobs that are done are left out."""
+        """A result row for each job; models that are not available give typed skips, models that raise an error FAILED rows; jobs that are done are left out.
+
+        A model's predictions are written before they are scored, so fit_seconds is the time to fit and predict all species, and an error stays with its model.
+        """
         run_id, parts = f"run-{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}", []
         species = self.test.select(*KEYS).distinct()
         for scenario in scenarios:
-            train, test = self.prepare(scenario)
-            state = self.audit(scenario).select(*KEYS, F.col("status").alias("audit_status"))
+            train, test = (durable(t) for t in self.prepare(scenario))
+            state = durable(self.audit(scenario).select(*KEYS, F.col("status").alias("audit_status")).join(self._sizes(train, test, scenario), KEYS, "left"))
             for model in models:
                 began = time.time()
                 try:
-                    p = self.predict(model, train, test).join(test.select(*KEYS, "siteid", F.col("occ").alias("y")), [*KEYS, "siteid"])
+                    p = durable(self.predict(model, train, test).select(*KEYS, "siteid", "p").join(test.select(*KEYS, "siteid", F.col("occ").alias("y")), [*KEYS, "siteid"]))
                     rows = species.join(metrics.compute_metrics(p, KEYS, wanted), KEYS, "left").join(p.groupBy(*KEYS).agg(F.count("*").alias("n_test")), KEYS, "left")
                     rows = rows.withColumn("status", F.when(F.col("n_test").isNull(), "SKIPPED_DATA").otherwise("OK"))
+                    rows = rows.withColumn("metrics_json", F.when(F.col("status") == "OK", F.to_json(F.struct(*wanted))))
                 except SkippableError as why:
                     rows = species.withColumn("status", F.lit(why.status)).withColumn("error", F.lit(str(why)))
-                rows = rows.join(state, KEYS, "left").withColumn("model_name", F.lit(model)).withColumn("scenario", F.lit(scenario)).withColumn("fit_seconds", F.lit(time.time() - began))
+                except Exception as why:  # one model's failure is its own row, not the end of the run
+                    rows = species.withColumn("status", F.lit("FAILED")).withColumn("error", F.lit(f"{type(why).__name__}: {str(why)[:500]}")).withColumn("error_class", F.lit(type(why).__name__))
+                took = time.time() - began
+                rows = rows.join(state, KEYS, "left").withColumn("model_name", F.lit(model)).withColumn("scenario", F.lit(scenario)).withColumn("fit_seconds", F.lit(took)).withColumn("total_seconds", F.lit(took))
+                rows = rows.withColumn("family", F.lit(FAMILIES.get(model, "other"))).withColumn("device", F.lit("cpu")).withColumn("seed", F.lit(SEED)).withColumn("split_id", F.lit(scenario)).withColumn("model_version", F.lit(rows.sparkSession.version))
+                rows = rows.withColumn("params", F.lit(json.dumps(self.model_options(model)))).withColumn("model_config_hash", F.lit(report.hash_json([model, self.model_options(model), self.predictors])))
                 parts.append(as_results(rows.withColumnRenamed("spid", "species_id").withColumn("run_id", F.lit(run_id)).withColumn("benchmark_id", F.lit(self.name)).withColumn("job_id", job_id(F.lit(self.name), "scenario", "region", "species_id", "model_name")).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out if done is None else report.pending(out, done, include_failed)
+
+    @staticmethod
+    def _sizes(train: DataFrame, test: DataFrame, scenario: str) -> DataFrame:
+        """Row counts by class, and a hash of the training sites that does not depend on their order; sums only, so no group is gathered."""
+        h = F.xxhash64("siteid", "occ")
+        digest = F.sha2(F.concat_ws("|", F.lit(scenario), F.count("*").cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string")), 256)
+        a = train.groupBy(*KEYS).agg(F.count("*").alias("n_train"), F.count_if(F.col("occ") == 1).alias("n_presence"), F.count_if(F.col("occ") == 0).alias("n_background"), digest.alias("split_hash"))
+        b = test.groupBy(*KEYS).agg(F.count_if(F.col("occ") == 1).alias("n_test_presence"), F.count_if(F.col("occ") == 0).alias("n_test_absence"))
+        return a.join(b, KEYS, "full")

@@ -22,8 +22,10 @@ class SkippableError(RuntimeError):
 
 
 METRIC_COLUMNS = ("roc_auc", "pr_auc", "calibration_slope", "calibration_intercept", "brier", "log_loss", "boyce", "balanced_accuracy", "sensitivity", "specificity")
+#: Columns of a full result row that the boards do not use; text where nothing else is said.
+_MORE = ("benchmark_version", "group", "split_id", "model_version", "error_class", "metrics_json", "compute_budget_json", "dataset_hash", "model_config_hash", "package_versions_json", "git_commit", "upstream_commit")
 _TEXT = ("job_id", "run_id", "benchmark_id", "scenario", "region", "species_id", "model_name", "family", "status", "error", "audit_status", "device", "params", "split_hash", "created_at")
-RESULT_SCHEMA = StructType([StructField(c, StringType()) for c in _TEXT] + [StructField(c, LongType()) for c in ("n_train", "n_test", "n_presence", "n_background")] + [StructField("repeat_id", IntegerType())] + [StructField(c, DoubleType()) for c in (*METRIC_COLUMNS, "fit_seconds", "predict_seconds")])
+RESULT_SCHEMA = StructType([StructField(c, StringType()) for c in _TEXT] + [StructField(c, LongType()) for c in ("n_train", "n_test", "n_presence", "n_background", "n_test_presence", "n_test_absence", "seed")] + [StructField("repeat_id", IntegerType())] + [StructField(c, DoubleType()) for c in (*METRIC_COLUMNS, "fit_seconds", "predict_seconds", "total_seconds", "peak_memory_mb")] + [StructField(c, StringType()) for c in _MORE])
 RESULT_COLUMNS = RESULT_SCHEMA.fieldNames()
 
 

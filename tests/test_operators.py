@@ -234,7 +234,12 @@ def test_stream_board(spark, tmp_path):
 def test_planner_and_registry():
     m = planner.Methodology("m", (planner.Modality("climate"), planner.Modality("soil")))
     p = planner.StagedPlanner(m, n_species=10, n_scenarios=2)
-    assert len(p.information()) == 3 and p.estimated_jobs(p.model()) == 220  # leaving one of two out is the other alone
+    assert [x.name for x in p.information()] == ["all-modalities", "only-climate", "only-soil"] and p.estimated_jobs(p.model()) == 220  # leaving one of two out is the other alone
+    two = planner.StagedPlanner(m, top_k=2)
+    nxt = two.next_stage("objective", [m, m.only("soil"), m.only("climate")])
+    assert len(nxt.plans) == 12 and nxt.baseline == m and not two.next_stage("fusion", [m.only("soil")]).plans
+    with pytest.raises(ValueError):
+        two.next_stage("model", [])
     assert m.validate() == [] and planner.Methodology("x", (planner.Modality("a", "raster", "pca", ()),), fusion="moe").validate()
     g = planner.experiment_graph(m, "d", "s", prefix="a/")
     planner.experiment_graph(m.only("climate"), "d", "s", g, "b/")

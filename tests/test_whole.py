@@ -30,7 +30,7 @@ def edges(spark, name):
     return {((r.region, r.spid), r.src, r.dst) for r in QUERIES[name](spark, SF).collect()}
 
 
-@pytest.mark.parametrize("name,k,columns,scaled,weights", [("graph_knn_geo_whole", 8, ["x", "y"], False, None), ("graph_knn_env_whole", 5, ["age", "price"], True, None), ("graph_hybrid_whole", 5, ["x", "y", "age", "price"], True, [0.5] * 4)])
+@pytest.mark.parametrize("name,k,columns,scaled,weights", [("graph_knn_geo", 8, ["x", "y"], False, None), ("graph_knn_env", 5, ["age", "price"], True, None), ("graph_hybrid", 5, ["x", "y", "age", "price"], True, [0.5] * 4)])
 def test_nearest(spark, groups, name, k, columns, scaled, weights):
     got = edges(spark, name)
     want = set()
@@ -52,8 +52,8 @@ def test_radius_and_degrees(spark, groups):
         np.fill_diagonal(near, False)
         want |= {(g, rows[i].ord, rows[j].ord) for i, j in zip(*np.nonzero(near), strict=True)}
         isolated[g] = (len(rows), int(near.sum()), int((~near.any(1)).sum()))
-    assert edges(spark, "graph_radius_whole") == want
-    stats = QUERIES["graph_degree_stats_whole"](spark, SF).collect()
+    assert edges(spark, "graph_radius") == want
+    stats = QUERIES["graph_degree_stats"](spark, SF).collect()
     assert {(r.region, r.spid): (r.n_nodes, r.n_edges, r.isolated_nodes) for r in stats} == isolated
 
 
@@ -61,11 +61,11 @@ def test_gate_and_union(spark, groups):
     classes, background = defaultdict(set), defaultdict(int)
     for (region, _), rows in groups.items():
         for r in rows:
-            classes[region, r.spid, r.prio].add(r.occ)
+            classes[region, r.spid, r.prio, r.x // 4000].add(r.occ)
             background[region] += r.part == "train" and r.occ == 0
-    got = {tuple(r[c] for c in ("region", "spid", "prio")) for r in QUERIES["both_classes_gate_whole"](spark, SF).collect()}
+    got = {tuple(r[c] for c in ("region", "spid", "prio", "zone")) for r in QUERIES["both_classes_gate"](spark, SF).collect()}
     assert got == {k for k, v in classes.items() if v == {0, 1}}
-    for r in QUERIES["task_train_union_whole"](spark, SF).where("occ = 0").collect():
+    for r in QUERIES["task_train_union"](spark, SF).where("occ = 0").collect():
         assert r.n == background[r.region]
 
 
