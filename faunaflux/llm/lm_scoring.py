@@ -1,15 +1,17 @@
-"""Language-model scores of whole documents by a sharded Elias-Fano bigram trie.
+"""Language-model scores of whole documents by a sharded Elias-Fano trigram trie.
 
 Unigram counts are summed within tasks and then by bucket. Documents are dealt into blocks of bounded size; a block asks, once for each distinct token, the
-bucket that owns it for its number and count, and, once for each distinct pair, the trie shard of its context for two quantised codes. Shards are built
-from the pairs that the blocks send, in the task that answers them, in a memory-mapped file that goes with the task: a lost executor costs a rerun, nothing else.
-Everything travels as packed arrays, one row for each block and bucket, so a frequent word costs one entry in each block.
+bucket that owns it for its number (frequent tokens have small ones) and count, and, once for each distinct pair and triple, the trie shard of its context for a quantised
+joint probability. Shards are built from the pairs and triples that the blocks send, in the task that answers them, in a memory-mapped file that goes with the task: a lost executor costs a rerun, nothing else.
+Everything travels as packed arrays, one row for each block and bucket. A context that is more frequent than a share of a bucket is dealt to shards by the word that follows, too, so no shard gets
+the whole of a frequent word or pair.
 
-p(w | v) = own(v, w) + backoff(v) (c(w) + 1) / (N + V + 1), with Witten-Bell weights own = c(v, w) / (c(v) + n(v)) and backoff = n(v) / (c(v) + n(v)); the first word
-follows an end. An unseen context backs off wholly.
+p(w | u v) = (c(u v w) + MU p(w | v)) / (c(u v) + MU), p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V + 1). The first word follows an end, the second
+one an end and the first.
 
 Defined results: a null text is an empty one and has one token, the end; a null identifier counts as the empty text for the held-out fold; repeated
-rows are documents of their own, in training too; an empty table gives an empty result. Tokens are known by 64-bit hashes.
+rows are documents of their own, in training too, and share no block for being alike; very long texts are scored whole; extra columns are not read, whatever their names;
+an empty table gives an empty result. Tokens are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .cluster import durable, keyed, partitions, real_id
+from .cluster import durable, keyed, partitions, real_id, rowed
 from .language_id import fold
 from .lm_trie import Trie, restore
-from .packing import pack, unpack
+from .packing import pack, pack_sorted, unpack, unpack_sorted
 
 BLOCK_BYTES = 8 << 20
 END = np.uint64(0x5E0FD0C5E0FD0C55)
+MU = 4.0  # weight of the shorter context
+SHARE = 4  # a context that is more frequent than a bucket's share over this is spread
+_SPREAD = bs.stream(3, 61)
 
 
 def _stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,16 +92,36 @@ class _Block:
         back[order] = np.arange(len(order))
         self.place = back[self.place]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of each token's context and of itself; the first of a document follows an end."""
+    def grams(self) -> None:
+        """pair, triple: distinct pairs and triples, as places of words, or of a pair and a word, in 32 bits each; pair_of and triple_of: each token's.
+
+        The first token of a document is in a pair with an end, and in no triple (-1).
+        """
+        end = self.place[self.at[1] - 1]
         before = np.empty_like(self.place)
         before[1:] = self.place[:-1]
-        before[self.at[:-1]] = self.place[self.at[1] - 1]
-        return before, self.place
-
-    def distinct_pairs(self):
-        before, here = self.pairs()
-        return np.unique(before.astype(np.uint64) << np.uint64(32) | here.astype(np.uint64), return_inverse=True)
+        before[self.at[:-1]] = end
+        self.pair, self.pair_of = np.unique(before.astype(np.uint64) << np.uint64(32) | self.place.astype(np.uint64), return_inverse=True)
+        inner = np.ones(len(self.place), bool)
+        inner[self.at[:-1]] = False
+        later = np.flatnonzero(inner)
+        self.triple, where = np.unique(self.pair_of[later - 1].astype(np.uint64) << np.uint64(32) | self.place[later].astype(np.uint64), return_inverse=True)
+        self.triple_of = np.full(len(self.place), -1)
+        self.triple_of[later] = where
+
+    def asked(self, number: np.ndarray, count: np.ndarray, hot: float, buckets: int):
+        """For pairs and for triples: their words' numbers, their order by bucket and words, the buckets that occur and where each begins."""
+        high = lambda x: (x >> np.uint64(32)).astype(np.int64)
+        low = lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        u, v = high(self.pair), low(self.pair)
+        pair_key = number[u] * _SPREAD[0] + np.where(count[u] > hot, number[v] * _SPREAD[1], np.uint64(0))
+        of, w = high(self.triple), low(self.triple)
+        triple_key = number[u][of] * _SPREAD[0] + number[v][of] * _SPREAD[1] + np.where(np.minimum(count[u], count[v])[of] > hot, number[w] * _SPREAD[2], np.uint64(0))
+        for words, key in (((number[u], number[v]), pair_key), ((number[u][of], number[v][of], number[w]), triple_key)):
+            bucket = (bs.mix(key) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((*words[::-1], bucket))
+            some, first = np.unique(bucket[order], return_index=True)
+            yield words, order, some, np.append(first, len(order))
 
     def answers(self, replies: pa.Table, kind: int) -> list[np.ndarray]:
         """The replies of one kind, put together in the order of buckets."""
@@ -104,90 +129,133 @@ class _Block:
         return [np.concatenate([unpack(r[c]) for r in rows]) if rows else np.zeros(0, np.uint64) for c in (1, 2)]
 
 
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the ones before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _distinct(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows in order, their summed counts, and where each row is among them."""
+    order = np.lexsort(columns[::-1])
+    columns, count = [c[order] for c in columns], count[order]
+    heads = _heads(*columns) if len(order) else np.zeros(0, np.int64)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    return [c[heads] for c in columns], np.add.reduceat(count, heads) if len(heads) else count, where
+
+
 _REPLY = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int64(), "a": pa.binary(), "b": pa.binary()}
+_ASKED = {"bucket": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "packed": pa.list_(pa.binary()), "last": pa.binary(), "counts": pa.binary()}
 _REPLY_DDL = "block long, kind int, bucket long, a binary, b binary"
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: _id, _train, n_tokens, n_known, train_tokens, base_score, score. train: which rows are learned from."""
     spark = docs.sparkSession
-    texts = docs.withColumn("__train", F.coalesce(train, F.lit(False)))
-    texts = keyed(texts, id_col, text_col, "__train")
+    texts = rowed(docs.withColumn("__train", F.coalesce(train, F.lit(False))).drop("__row"))
+    texts = keyed(texts, id_col, text_col, "__train", "__row")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     blocks = buckets = max(partitions(spark), -(-size // BLOCK_BYTES))
     words = durable(unigrams(texts.where("__train"), buckets))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("_id", F.substring("_text", 1, 64)), F.lit(blocks)))
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("__row"), F.lit(blocks))).drop("__row")
+    hot = n / (SHARE * buckets)
 
     def ask(t: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t.column("_text"), buckets)
         return _table({"bucket": pa.int64(), "block": pa.int64(), "hashes": pa.binary()}, [(int(k), block, pack(b.distinct[b.first[i] : b.first[i + 1]])) for i, k in enumerate(b.some)])
 
     def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
-        """Numbers (all tokens of the bucket in order of hash) and training counts."""
+        """Numbers (all tokens of the bucket, the most frequent first) and training counts."""
         rows = list(zip(*(asked.column(c).to_pylist() for c in ("bucket", "block", "hashes")), strict=True))
         asked_for = [unpack(r[2]) for r in rows]
         every = np.unique(np.concatenate(asked_for)) if rows else np.zeros(0, np.uint64)
         count = np.zeros(len(every), np.uint64)
         for h, c in zip(known.column("hashes").to_pylist(), known.column("counts").to_pylist(), strict=True):
             count[np.searchsorted(every, unpack(h))] = unpack(c)  # every training token is asked for by its own block
+        rank = np.empty(len(every), np.uint64)
+        rank[np.lexsort((every, -count.astype(np.int64)))] = np.arange(len(every), dtype=np.uint64)
         out = []
         for (bucket, block, _), h in zip(rows, asked_for, strict=True):
             at = np.searchsorted(every, h)
-            out.append((block, 1, bucket, pack(at.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)), pack(count[at])))
+            out.append((block, 1, bucket, pack(rank[at]), pack(count[at])))
         return _table(_REPLY, out)
 
-    def ask_pairs(t: pa.Table, replies: pa.Table) -> pa.Table:
+    def numbers(b: _Block, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Number and count of each distinct token of a block."""
+        rank, count = b.answers(replies, 1)
+        return rank * np.uint64(buckets) + np.repeat(b.some, np.diff(b.first)).astype(np.uint64), count
+
+    def ask_grams(t: pa.Table, replies: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t.column("_text"), buckets)
-        number, _ = b.answers(replies, 1)
-        pair, where = b.distinct_pairs()
+        b.grams()
         taught = np.repeat(t.column("__train").to_numpy().astype(bool), np.diff(b.at))
-        count = np.bincount(where[taught], minlength=len(pair)).astype(np.uint64)
-        first, second = number[(pair >> np.uint64(32)).astype(np.int64)], number[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        order, some, at = _by_bucket(first, buckets)
+        seen = (np.bincount(b.pair_of[taught], minlength=len(b.pair)), np.bincount(b.triple_of[taught & (b.triple_of >= 0)], minlength=len(b.triple)))
         rows = []
-        for i, k in enumerate(some):
-            own = order[at[i] : at[i + 1]]
-            # runs of equal contexts
-            new = np.flatnonzero(np.append(True, first[own][1:] != first[own][:-1]))
-            rows.append((int(k), block, pack(first[own][new]), pack(np.diff(np.append(new, len(own))).astype(np.uint64)), pack(second[own]), pack(count[own])))
-        return _table({"bucket": pa.int64(), "block": pa.int64(), "context": pa.binary(), "runs": pa.binary(), "word": pa.binary(), "counts": pa.binary()}, rows)
+        for k, (words_, order, some, at) in enumerate(b.asked(*numbers(b, replies), hot, buckets)):
+            for i, bucket in enumerate(some.tolist()):
+                own = order[at[i] : at[i + 1]]
+                cols = [w[own] for w in words_]
+                # runs of equal first words, of equal pairs
+                heads = _heads(cols[0])
+                packed = [pack_sorted(cols[0][heads]), pack(np.diff(np.append(heads, len(own))))]
+                if k:
+                    inner = _heads(cols[0], cols[1])
+                    packed[1:] = [pack(np.diff(np.append(np.flatnonzero(np.isin(inner, heads)), len(inner)))), pack(cols[1][inner]), pack(np.diff(np.append(inner, len(own))))]
+                rows.append((bucket, block, 2 + k, packed, pack(cols[-1]), pack(seen[k][own])))
+        return _table(_ASKED, rows)
+
+    def asked_columns(kind: int, packed: list[bytes], last: bytes) -> list[np.ndarray]:
+        first = np.repeat(unpack_sorted(packed[0]), unpack(packed[1]).astype(np.int64))
+        if kind == 2:
+            return [first, unpack(last)]
+        run = unpack(packed[3]).astype(np.int64)
+        return [np.repeat(first, run), np.repeat(unpack(packed[2]), run), unpack(last)]
 
     def shard(t: pa.Table) -> pa.Table:
-        rows = [(bucket, block, np.repeat(unpack(c), unpack(r).astype(np.int64)), unpack(w), unpack(n)) for bucket, block, c, r, w, n in zip(*(x.to_pylist() for x in (t.column(k) for k in ("bucket", "block", "context", "runs", "word", "counts"))), strict=True)]
-        seen = [(c[n > 0], w[n > 0], n[n > 0]) for _, _, c, w, n in rows]
-        context, word, count = (np.concatenate([s[k] for s in seen]) for k in range(3))
-        order = np.lexsort((word, context))
-        context, word, count = context[order], word[order], count[order]
-        new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(context) else np.zeros(0, np.int64)
-        trie = Trie(context[new], word[new], np.add.reduceat(count, new) if len(new) else count)
-        out = []
-        for bucket, block, c, w, _ in rows:
-            back, own = trie.lookup(c, w)
-            out.append((block, 2, bucket, pack(back), pack(own)))
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("bucket", "block", "kind", "packed", "last", "counts")), strict=True))
+        asked, trained, place = {}, {}, {}
+        for kind in (2, 3):
+            mine = [r for r in rows if r[2] == kind]
+            parts = [asked_columns(kind, r[3], r[4]) for r in mine]
+            cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.uint64) for c in range(kind)]
+            some, count, where = _distinct(cols, np.concatenate([unpack(r[5]) for r in mine]) if mine else np.zeros(0, np.uint64))
+            place[kind] = np.split(where, np.cumsum([len(p[0]) for p in parts])[:-1]) if parts else []
+            asked[kind] = some
+            trained[kind] = tuple(c[count > 0] for c in some) + (count[count > 0] / max(n, 1),)
+        trie = Trie(trained[2], trained[3])
+        codes = {2: trie.pairs(*asked[2]), 3: trie.triples(*asked[3])}
         trie.close()
+        out = []
+        for kind in (2, 3):
+            out += [(r[1], kind, r[0], pack(codes[kind][w]), pack(np.zeros(0, np.uint64))) for r, w in zip([r for r in rows if r[2] == kind], place[kind], strict=True)]
         return _table(_REPLY, out)
 
     def final(t: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(t.column("_text"), buckets)
-        number, count = b.answers(replies, 1)
-        back, own = b.answers(replies, 2)
-        pair, where = b.distinct_pairs()
-        order, _, _ = _by_bucket(number[(pair >> np.uint64(32)).astype(np.int64)], buckets)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        at = place[where]
+        number, count = numbers(b, replies)
+        b.grams()
+        joint = []
+        for k, (_, order, _, _) in enumerate(b.asked(number, count, hot, buckets)):
+            p = np.empty(len(order))
+            p[order] = restore(b.answers(replies, 2 + k)[0]) * n
+            joint.append(p)
         low = (count[b.place].astype(np.float64) + 1) / (n + v + 1)
-        weight = np.where(back[at] > 0, restore(back[at]), 1.0)
-        p = np.log10(restore(own[at]) + weight * low)
+        context = count[(b.pair >> np.uint64(32)).astype(np.int64)].astype(np.float64)
+        two = (joint[0][b.pair_of] + MU * low) / (context[b.pair_of] + MU)
+        some = np.flatnonzero(b.triple_of >= 0)
+        p = two.copy()
+        p[some] = (joint[1][b.triple_of[some]] + MU * two[some]) / (joint[0][b.pair_of[some - 1]] + MU)
         starts = b.at[:-1]
-        return pa.table({"_id": t.column("_id"), "_train": t.column("__train"), "n_tokens": pa.array(np.diff(b.at)), "n_known": pa.array(np.add.reduceat((count[b.place] > 0).astype(np.int64), starts)), "train_tokens": pa.array([n] * t.num_rows, pa.int64()), "base_score": pa.array(np.add.reduceat(np.log10(low), starts)), "score": pa.array(np.add.reduceat(p, starts))})
+        return pa.table({"_id": t.column("_id"), "_train": t.column("__train"), "n_tokens": pa.array(np.diff(b.at)), "n_known": pa.array(np.add.reduceat((count[b.place] > 0).astype(np.int64), starts)), "train_tokens": pa.array([n] * t.num_rows, pa.int64()), "base_score": pa.array(np.add.reduceat(np.log10(low), starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts))})
 
     dealt = texts.groupBy("block")
     asked = dealt.applyInArrow(ask, "bucket long, block long, hashes binary")
     told = asked.groupBy("bucket").cogroup(words.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(tell, _REPLY_DDL)
-    pairs = dealt.cogroup(told.groupBy("block")).applyInArrow(ask_pairs, "bucket long, block long, context binary, runs binary, word binary, counts binary")
-    coded = pairs.groupBy("bucket").applyInArrow(shard, _REPLY_DDL)
+    grams = dealt.cogroup(told.groupBy("block")).applyInArrow(ask_grams, "bucket long, block long, kind int, packed array<binary>, last binary, counts binary")
+    coded = grams.groupBy("bucket").applyInArrow(shard, _REPLY_DDL)
     return dealt.cogroup(told.unionByName(coded).groupBy("block")).applyInArrow(final, "_id long, _train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

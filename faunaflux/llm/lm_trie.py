@@ -1,9 +1,10 @@
 """An Elias-Fano n-gram trie in memory-mapped levels, one shard of contexts to a file.
 
-Level 1 holds the contexts of the shard, level 2 the words that follow each of them. A word's place in level 2 is stored relative to its
-context: rank of the context x size of the vocabulary + word, so the whole level is one rising sequence, kept as Elias-Fano: low bits packed, high bits in unary.
-The pointers from a context to its successors are a second such sequence. A lookup goes to the words with the same high bits and searches on to the first one that is not smaller.
-Probabilities are quantised on a logarithmic grid.
+Level 1 holds the first words of the shard, level 2 the words that follow each of them, level 3 the words that follow each pair. A word's place in a level is stored
+relative to its context: rank of the context x size of the vocabulary + word, so a whole level is one rising sequence, kept as Elias-Fano: low bits packed, high
+bits in unary, with a count of ones for every 64 bits. Pointers from a context to its successors are such sequences, too. A lookup finds the context, takes from the pointers where
+its successors begin and end, and searches the first one that is not smaller among those with the same high bits; nothing is expanded. Joint
+probabilities of pairs and triples are quantised on a logarithmic grid of 16 bits.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 
 BITS = 16  # of a quantised probability; code 0: none
 LEAST = -12.0  # log10 of the least probability on the grid
+U = np.uint64
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -28,95 +30,148 @@ def restore(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) * step + LEAST), 0.0)
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Bits in 64-bit words, the first the lowest, with a word to spare."""
+    packed = np.packbits(bits, bitorder="little")
+    return np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(U)
+
+
 def elias_fano(x: np.ndarray) -> dict[str, np.ndarray]:
-    """A rising sequence of unsigned integers: header (length, low bits, highest), packed low bits, unary high bits."""
+    """A rising sequence of unsigned integers: header (length, low bits), packed low bits, unary high bits, and ones before each word of those."""
     n, top = len(x), int(x[-1]) + 1 if len(x) else 1
     low = max(0, (top // max(n, 1)).bit_length() - 1)
-    lows = ((x[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
-    high = (x >> np.uint64(low)).astype(np.int64)
+    lows = ((x[:, None] >> np.arange(low, dtype=U)) & U(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
+    high = (x >> U(low)).astype(np.int64)
     unary = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
     unary[high + np.arange(n)] = 1
-    return {"head": np.array([n, low, len(unary)], np.int64), "low": np.packbits(lows.ravel()), "high": np.packbits(unary)}
+    words = _words(unary)
+    return {"head": np.array([n, low, len(unary)], np.int64), "low": _words(lows.ravel()), "high": words, "ones": np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])}
 
 
 class EliasFano:
     """Reads a sequence from mapped arrays."""
 
-    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray):
-        self.n, self.bits, width = (int(v) for v in head)
-        self.low = low
-        ones = np.flatnonzero(np.unpackbits(high, count=width))
-        self.high = ones - np.arange(self.n)
-        # where the elements of each high part begin
-        self.begin = np.searchsorted(self.high, np.arange((int(self.high[-1]) if self.n else 0) + 2))
+    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.bits, self.width = (int(v) for v in head)
+        self.low, self.high, self.ones = low, high, ones
+        self.zeros = 64 * np.arange(len(ones), dtype=np.int64) - ones
+
+    def _select(self, r: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the r-th (from 0) set bit, or of the r-th unset one."""
+        at = np.searchsorted(before, r, "right") - 1
+        word, left, place = self.high[at], (r - before[at]).astype(np.int64), at * 64
+        word = ~word if flip else word
+        for step in (32, 16, 8, 4, 2, 1):
+            inside = np.bitwise_count(word & U((1 << step) - 1)).astype(np.int64)
+            on = left >= inside
+            left -= np.where(on, inside, 0)
+            word = np.where(on, word >> U(step), word)
+            place = place + np.where(on, step, 0)
+        return place
+
+    def lows(self, i: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(i), U)
+        at = i.astype(np.int64) * self.bits
+        word, shift = at >> 6, (at & 63).astype(U)
+        value = self.low[word] >> shift
+        over = self.low[word + 1] << (U(63) - shift) << U(1)
+        return (value | over) & U((1 << self.bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        value = self.high[i].astype(np.uint64) << np.uint64(self.bits)
-        at = i.astype(np.int64) * self.bits
-        for b in range(self.bits):
-            p = at + b
-            value |= ((self.low[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
-        return value
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element that is not smaller, n if there is none."""
-        high = (x >> np.uint64(self.bits)).astype(np.int64)
-        last = len(self.begin) - 1
-        lo, hi = self.begin[np.minimum(high, last)], self.begin[np.minimum(high + 1, last)]
+        i = i.astype(np.int64)
+        return (self._select(i, self.ones, False) - i).astype(U) << U(self.bits) | self.lows(i)
+
+    def _begin(self, high: np.ndarray) -> np.ndarray:
+        """Elements whose high part is smaller."""
+        most = self.width - self.n  # zeros in the unary part
+        h = np.minimum(high, most)
+        out = np.zeros(len(h), np.int64)
+        some = h > 0
+        out[some] = self._select(h[some] - 1, self.zeros, True) - (h[some] - 1)
+        return np.where(high > most, self.n, out)
+
+    def successor(self, x: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first element of start to stop that is not smaller, stop (or the length) if there is none."""
+        high, low = (x >> U(self.bits)).astype(np.int64), x & U((1 << self.bits) - 1)
+        lo, hi = self._begin(high), self._begin(high + 1)
+        if start is not None:
+            lo, hi = np.clip(lo, start, stop), np.clip(hi, start, stop)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 return lo
             mid = (lo[open_] + hi[open_]) // 2
-            less = self.get(mid) < x[open_]
+            less = self.lows(mid) < low[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
 
+    def find(self, x: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Index of the element, -1 if it is not there. Elements are distinct."""
+        if not self.n:
+            return np.full(len(x), -1)
+        i = self.successor(x, start, stop)
+        there = i < (self.n if stop is None else np.minimum(stop, self.n))
+        there[there] = self.get(i[there]) == x[there]
+        return np.where(there, i, -1)
+
 
 class Trie:
-    """Built from distinct (context, word) in order with their counts; probabilities are Witten-Bell's, without the lower order."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray):
-        contexts, first = np.unique(context, return_index=True)
-        n = np.diff(np.append(first, len(context)))
-        total = np.add.reduceat(count, first) if len(first) else count
-        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), n)
-        self.size = int(word.max()) + 1 if len(word) else 1
-        parts = {f"1.{k}": v for k, v in elias_fano(contexts).items()} | {f"p.{k}": v for k, v in elias_fano(np.append(first, len(context)).astype(np.uint64)).items()}
-        parts |= {f"2.{k}": v for k, v in elias_fano(rank * np.uint64(self.size) + word).items()}
-        parts["q1"], parts["q2"] = quantise(n / (total + n)), quantise(count / np.repeat(total + n, n))
+    """pairs and triples: arrays of first, second (and third) words, distinct and in order, with their probabilities. Levels hold what either of them needs."""
+
+    def __init__(self, pairs: tuple, triples: tuple):
+        (u, v, p2), (a, b, c, p3) = pairs, triples
+        self.size = 1 + max((int(x.max()) for x in (u, v, a, b, c) if len(x)), default=0)
+        first = np.unique(np.concatenate([u, a]))
+        size = U(self.size)
+        rank = lambda some, x: np.searchsorted(some, x).astype(U)
+        own, path = rank(first, u) * size + v, rank(first, a) * size + b
+        second = np.unique(np.concatenate([own, path]))
+        q2 = np.zeros(len(second), np.uint16)
+        q2[np.searchsorted(second, own)] = quantise(p2)
+        third = rank(second, path) * size + c
+        edges = lambda level, n: np.searchsorted(level, np.arange(n + 1, dtype=U) * size).astype(U)
+        seqs = {"1": first, "p": edges(second, len(first)), "2": second, "r": edges(third, len(second)), "3": third}
+        parts = {f"{s}.{k}": x for s, seq in seqs.items() for k, x in elias_fano(seq).items()} | {"q2": q2, "q3": quantise(p3)}
         self.file, at, spans = tempfile.NamedTemporaryFile(prefix="trie-"), 0, {}
-        for k, v in parts.items():
-            self.file.write(v.tobytes())
-            spans[k] = (at, v.dtype, v.size)
-            pad = -(v.nbytes) % 8
+        for k, x in parts.items():
+            self.file.write(x.tobytes())
+            spans[k] = (at, x.dtype, x.size)
+            pad = -x.nbytes % 8
             self.file.write(b"\0" * pad)
-            at += v.nbytes + pad
+            at += x.nbytes + pad
         self.file.flush()
-        level = {k: np.memmap(self.file.name, t, "r", o, (s,)) if s else np.zeros(0, t) for k, (o, t, s) in spans.items()}
+        level = {k: np.memmap(self.file.name, t, "r", o, (n,)) if n else np.zeros(0, t) for k, (o, t, n) in spans.items()}
         self.bytes = os.path.getsize(self.file.name)
-        self.contexts, self.pointers, self.words = (EliasFano(level[f"{x}.head"], level[f"{x}.low"], level[f"{x}.high"]) for x in "1p2")
-        self.backoff, self.chance = level["q1"], level["q2"]
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the back-off weight (0: context not seen) and of the word's own probability (0: not seen after the context)."""
-        back, own = np.zeros(len(context), np.uint16), np.zeros(len(context), np.uint16)
-        if not self.contexts.n or not len(context):
-            return back, own
-        some, where = np.unique(context, return_inverse=True)
-        i = self.contexts.successor(some)
-        there = i < self.contexts.n
-        there[there] = self.contexts.get(i[there]) == some[there]
-        known = np.flatnonzero(there[where] & (word < self.size))
-        seen = there[where]
-        back[seen] = self.backoff[i[where[seen]]]
-        c = i[where[known]]
-        target = c.astype(np.uint64) * np.uint64(self.size) + word[known]
-        j = self.words.successor(target)
-        ok = (j < self.pointers.get(c + 1).astype(np.int64)) & (j < self.words.n)
-        ok[ok] = self.words.get(j[ok]) == target[ok]
-        own[known[ok]] = self.chance[j[ok]]
-        return back, own
+        self.first, self.to_second, self.second, self.to_third, self.third = (EliasFano(*(level[f"{s}.{k}"] for k in ("head", "low", "high", "ones"))) for s in "1p2r3")
+        self.q2, self.q3 = level["q2"], level["q3"]
+
+    def _child(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Index in a level of a word after its context, -1 if there is none."""
+        out = np.full(len(parent), -1)
+        ok = np.flatnonzero((parent >= 0) & (word < self.size))
+        if len(ok):
+            some, where = np.unique(parent[ok], return_inverse=True)
+            start, stop = (pointers.get(some + k).astype(np.int64)[where] for k in (0, 1))
+            out[ok] = level.find(parent[ok].astype(U) * U(self.size) + word[ok], start, stop)
+        return out
+
+    def _pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        some, where = np.unique(u, return_inverse=True)
+        return self._child(self.second, self.to_second, self.first.find(some)[where], v)
+
+    def pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Codes of the probabilities of pairs; 0: not seen."""
+        i = self._pair(u, v)
+        return np.where(i >= 0, self.q2[np.maximum(i, 0)] if len(self.q2) else 0, 0).astype(np.uint16)
+
+    def triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Codes of the probabilities of triples; 0: not seen."""
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])  # triples of one pair come one after another
+        heads = np.flatnonzero(new)
+        i = self._child(self.third, self.to_third, self._pair(u[heads], v[heads])[np.cumsum(new) - 1], w)
+        return np.where(i >= 0, self.q3[np.maximum(i, 0)] if len(self.q3) else 0, 0).astype(np.uint16)
 
     def close(self) -> None:
         self.file.close()

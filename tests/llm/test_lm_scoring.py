@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from faunaflux.llm import lm_scoring, lm_trie
 
@@ -14,18 +15,19 @@ def brute(rows):
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     c = Counter(w for x, h in zip(words, held, strict=True) if not h for w in x)
     pair = Counter(p for x, h in zip(words, held, strict=True) if not h for p in zip([None, *x[:-1]], x, strict=True))
-    total, kinds = Counter(), Counter()
-    for (a, _), n in pair.items():
-        total[a] += n
-        kinds[a] += 1
-    n, v = sum(c.values()), len(c)
+    triple = Counter(p for x, h in zip(words, held, strict=True) if not h for p in zip([None, *x], x, x[1:]))
+    n, v, mu = sum(c.values()), len(c), lm_scoring.MU
     for (i, _), x, h in zip(rows, words, held, strict=True):
-        lower = [(c[w] + 1) / (n + v + 1) for w in x]
-        full = [(pair[a, b] + kinds[a] * q) / (total[a] + kinds[a]) if total[a] else q for (a, b), q in zip(zip([None, *x[:-1]], x, strict=True), lower, strict=True)]
-        yield i, (h, len(x), sum(c[w] > 0 for w in x), n, sum(map(math.log10, lower)), sum(map(math.log10, full)))
+        low = [(c[w] + 1) / (n + v + 1) for w in x]
+        two = [(pair[a, b] + mu * q) / (c[a] + mu) for a, b, q in zip([None, *x[:-1]], x, low, strict=True)]
+        full = two[:1] + [(triple[u, a, b] + mu * q) / (pair[u, a] + mu) for u, a, b, q in zip([None, *x], x, x[1:], two[1:])]
+        yield i, (h, len(x), sum(c[w] > 0 for w in x), n, sum(map(math.log10, low)), sum(map(math.log10, full)))
 
 
-def test_equals_brute_force(spark, table):
+@pytest.mark.parametrize("share", [4, 10**6])
+def test_equals_brute_force(spark, table, monkeypatch, share):
+    """With few contexts spread over shards, and with all of them."""
+    monkeypatch.setattr(lm_scoring, "SHARE", share)
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(["The", "the", "cat", "sat\ton", "é", "mat", "x" * 30], size=rng.integers(0, 40)))) for i in range(120)] + [(900, None), (901, ""), (902, "new words only")]
     got = {r.doc_id: r for r in lm_scoring.op3_lm_scoring(spark, table(rows, "doc_id long, text string")).collect()}
@@ -39,20 +41,45 @@ def test_empty_table(spark, table):
     assert lm_scoring.op3_lm_scoring(spark, table([], "doc_id long, text string")).count() == 0
 
 
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, table):
+    """Rows without an identifier and equal rows are documents of their own; the names of extra columns do not matter."""
+    text = "one two three one two"
+    rows = [(None, text, 1, "x")] * 30 + [(None, "other words", 1, "x"), (5, text, 2, "y"), (5, text, 2, "y"), (6, "long text " * 200_000, 3, "z"), (7, None, 4, None)]
+    got = lm_scoring.op3_lm_scoring(spark, table(rows, "doc_id long, text string, block int, kind string")).collect()
+    assert len(got) == len(rows)
+    want = [w for _, w in brute([("" if r[0] is None else r[0], r[1]) for r in rows])]
+    mine = sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got)
+    assert mine == sorted((*w[:4], round(w[4], 4)) for w in want)
+    for a, b in zip(sorted((r.n_tokens, r.score) for r in got), sorted((w[1], w[5]) for w in want), strict=True):
+        assert abs(a[1] - b[1]) < 2e-4 * a[0]
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(6)
+    for top, size in ((10, 5), (1 << 40, 2000), (300, 300), (5000, 1), (1, 0)):
+        x = np.unique(rng.integers(0, top, size).astype(np.uint64))
+        ef = lm_trie.EliasFano(*(lm_trie.elias_fano(x)[k] for k in ("head", "low", "high", "ones")))
+        assert (ef.get(np.arange(len(x))) == x).all()
+        asked = np.concatenate([x, rng.integers(0, 2 * top, 500).astype(np.uint64), np.array([0, 1 << 62], np.uint64)])
+        assert (ef.successor(asked) == np.searchsorted(x, asked)).all()
+        known = {int(v): i for i, v in enumerate(x)}
+        assert ef.find(asked).tolist() == [known.get(int(v), -1) for v in asked]
+
+
 def test_trie_round_trip():
     rng = np.random.default_rng(2)
-    x = np.unique(rng.integers(0, 5000, size=(3000, 2)).astype(np.uint64), axis=0)
-    count = rng.integers(1, 9, len(x)).astype(np.uint64)
-    trie = lm_trie.Trie(x[:, 0], x[:, 1], count)
-    asked = np.concatenate([x, rng.integers(0, 9000, size=(2000, 2)).astype(np.uint64)])
-    back, own = trie.lookup(asked[:, 0], asked[:, 1])
-    known = {tuple(p): int(c) for p, c in zip(x.tolist(), count, strict=True)}
-    total, kinds = Counter(), Counter()
-    for (a, _), c in known.items():
-        total[a] += c
-        kinds[a] += 1
-    for (a, b), p, q in zip(asked.tolist(), lm_trie.restore(back), lm_trie.restore(own), strict=True):
-        want = known.get((a, b), 0) / (total[a] + kinds[a]) if total[a] else 0
-        assert math.isclose(q, want, rel_tol=1e-3)
-        assert math.isclose(p, kinds[a] / (total[a] + kinds[a]) if total[a] else 0, rel_tol=1e-3)
+    x = np.unique(rng.integers(0, 60, size=(4000, 3)).astype(np.uint64), axis=0)
+    pairs = np.unique(rng.integers(0, 60, size=(900, 2)).astype(np.uint64), axis=0)
+    p2, p3 = rng.uniform(1e-6, 1, len(pairs)), rng.uniform(1e-6, 1, len(x))
+    trie = lm_trie.Trie((pairs[:, 0], pairs[:, 1], p2), (x[:, 0], x[:, 1], x[:, 2], p3))
+    asked = np.unique(np.concatenate([x, rng.integers(0, 90, size=(3000, 3)).astype(np.uint64)]), axis=0)
+    two, three = ({tuple(k): q for k, q in zip(keys.tolist(), p, strict=True)} for keys, p in ((pairs, p2), (x, p3)))
+    for k, q in zip(asked.tolist(), lm_trie.restore(trie.triples(*asked.T)), strict=True):
+        assert math.isclose(q, three.get(tuple(k), 0), rel_tol=1e-3)
+    for k, q in zip(asked.tolist(), lm_trie.restore(trie.pairs(asked[:, 0], asked[:, 1])), strict=True):
+        assert math.isclose(q, two.get(tuple(k[:2]), 0), rel_tol=1e-3)
+    assert trie.bytes < 12 * (len(x) + len(pairs))
     trie.close()
+    empty = lm_trie.Trie((x[:0, 0], x[:0, 0], p2[:0]), (x[:0, 0],) * 3 + (p3[:0],))
+    assert not empty.triples(*asked.T).any() and not empty.pairs(asked[:, 0], asked[:, 1]).any()
+    empty.close()
