@@ -2,8 +2,8 @@
 
 All strings are read from the right, one symbol of each in every round. A round inserts, for each string, the suffix that is one symbol longer:
 its place follows from the symbol's rank in the transform so far, and its common prefixes with its two neighbours are one more than the least common prefix between
-the places where the symbol occurred before and occurs next. Transform and prefixes are read from one file and written to the next in order; the files are spooled, so that those of small
-collections stay in memory. Common prefixes are capped, as only whether they reach a length matters.
+the places where the symbol occurred before and occurs next. Transform and prefixes are read from one file and written to the next, both from front to end, in the task's temporary
+folder; a task that is lost writes its files anew. Common prefixes are capped, as only whether they reach a length matters.
 """
 
 from __future__ import annotations
@@ -12,19 +12,22 @@ import tempfile
 
 import numpy as np
 
-SPOOL = 16 << 20
-
+STEP = 8 << 20  # bytes that are read or written at once
 
 class _File:
     """A sequential file of bytes that is written once and read once."""
 
     def __init__(self, x: np.ndarray):
-        self.f = tempfile.SpooledTemporaryFile(SPOOL)
-        self.f.write(x.data if x.size else b"")
+        self.f = tempfile.TemporaryFile(buffering=0)
+        for at in range(0, x.size, STEP):
+            self.f.write(x[at : at + STEP].data)
+        self.n = x.size
 
     def read(self) -> np.ndarray:
+        x = np.empty(self.n, np.uint8)
         self.f.seek(0)
-        x = np.frombuffer(self.f.read(), np.uint8)
+        for at in range(0, self.n, STEP):
+            self.f.readinto(x[at : at + STEP].data)
         self.f.close()
         return x
 

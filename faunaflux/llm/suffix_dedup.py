@@ -7,10 +7,11 @@ share 50 bytes, and answers with the least document of each string. Blocks mark
 the whole anchor piece, so for sorting the piece is coded as two symbols that stand for its 24 bytes in that collection, and 50 bytes are 28 symbols.
 
 All exchanges are packed arrays, one row for each block and bucket; what many documents share is sent once by each block. An anchor with more than HOT
-documents is not kept together: its strings are sent one by one, by their own hash. Nothing is capped: equal strings always meet.
+strings is not kept together: its strings are sent one by one, by their own hash. Nothing is capped: equal strings always meet.
 
 Defined results: a null text is an empty one; texts under 50 bytes lose nothing; rows that repeat an identifier are one document, so they lose nothing to each other;
-rows without an identifier take no part and stay whole. Texts are valid UTF-8, which has no byte 255.
+rows without an identifier take no part and stay whole, and are spread over blocks by their place, as all rows are; very long texts are searched whole, in overlapping parts; of equal
+strings the one of the least identifier stays; extra columns are not read, whatever their names; an empty table gives an empty result. Texts are valid UTF-8, which has no byte 255.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs, bwt
-from .cluster import NO_ID, keyed, partitions, real_id
+from .cluster import NO_ID, keyed, partitions, real_id, rowed
 from .lm_scoring import _by_bucket, _table
-from .packing import narrow, pack, unpack
+from .packing import narrow, pack, pack_sorted, unpack, unpack_sorted
 
 LENGTH, PIECE = 50, 24
 SPAN = LENGTH - PIECE + 1  # places of a piece in a string
@@ -34,7 +35,7 @@ CODE = 2  # symbols that stand for a piece, each one of DIGITS
 DIGITS = 250
 BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20  # bytes that are scanned at once
-HOT = 20_000
+HOT = 200_000
 COLLECTION = 8_192  # strings that are sorted together, or those of one anchor
 _FACTOR = bs.stream(6, 51)
 _SPREAD = bs.stream(WIDEST, 52)
@@ -101,14 +102,14 @@ class _Block:
         self.start, self.count, self.anchor, self.piece, self.doc = (x[some] for x in (self.start, self.count, self.anchor, self.piece, self.doc))
 
     def anchors(self):
-        """Distinct (bucket, short hash) of anchors in order, where each segment's is, and in how many documents each is."""
+        """Distinct (bucket, short hash) of anchors in order, where each segment's is, in how many documents each is, and how many strings have it."""
         short = self.anchor >> np.uint64(32)
         key = (self.anchor % np.uint64(self.buckets)) << np.uint64(32) | short
         distinct, where = np.unique(key, return_inverse=True)
         ids = self.ids[self.doc]
         order = np.lexsort((ids, where))
         new = np.append(True, (where[order][1:] != where[order][:-1]) | (ids[order][1:] != ids[order][:-1]))[: len(order)]
-        return distinct, where, np.bincount(where[order][new], minlength=len(distinct))
+        return distinct, where, np.bincount(where[order][new], minlength=len(distinct)), np.bincount(where, self.count, len(distinct)).astype(np.int64)
 
     def strings(self, mask: np.ndarray, where: np.ndarray):
         """The segments to send: start, length, document, key, content hash and place of the piece, cut into single strings where the anchor is hot."""
@@ -172,32 +173,32 @@ _ANSWER_DDL = "block long, kind int, bucket long, a binary, b binary, c binary"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """For each row of docs: _id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the kept bytes, _kept."""
     spark = docs.sparkSession
-    texts = keyed(docs, id_col, text_col)
+    texts = keyed(rowed(docs.drop("__row")), id_col, text_col, "__row")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     blocks = buckets = max(partitions(spark), -(-size // BLOCK_BYTES))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("_id", F.substring("_text", 1, 64)), F.lit(blocks)))
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("__row"), F.lit(blocks))).drop("__row")
 
     def ask(t: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t, buckets)
-        key, _, n = b.anchors()
+        key, _, n, strings = b.anchors()
         owner = (key >> np.uint64(32)).astype(np.int64)
         some, first = np.unique(owner, return_index=True)
         first = np.append(first, len(key))
-        return _table({"bucket": pa.int64(), "block": pa.int64(), "short": pa.binary(), "docs": pa.binary()}, [(int(k), block, pack(key[first[i] : first[i + 1]] & np.uint64(0xFFFFFFFF)), pack(n[first[i] : first[i + 1]])) for i, k in enumerate(some)])
+        return _table({"bucket": pa.int64(), "block": pa.int64(), "short": pa.binary(), "docs": pa.binary(), "strings": pa.binary()}, [(int(k), block, pack_sorted(key[first[i] : first[i + 1]] & np.uint64(0xFFFFFFFF)), pack(n[first[i] : first[i + 1]]), pack(strings[first[i] : first[i + 1]])) for i, k in enumerate(some)])
 
     def tell(t: pa.Table) -> pa.Table:
-        """1 for anchors of more than one document, 2 for those of very many."""
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("bucket", "block", "short", "docs")), strict=True))
-        asked = [unpack(r[2]) for r in rows]
+        """1 for anchors of more than one document, 2 for those of very many strings."""
+        rows = list(zip(*(t.column(c).to_pylist() for c in ("bucket", "block", "short", "docs", "strings")), strict=True))
+        asked = [unpack_sorted(r[2]) for r in rows]
         every, where = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(where, np.concatenate([unpack(r[3]) for r in rows]).astype(np.float64))
-        code = np.where(total > HOT, 2, np.where(total > 1, 1, 0)).astype(np.uint8)
+        total, strings = (np.bincount(where, np.concatenate([unpack(r[c]) for r in rows]).astype(np.float64)) for c in (3, 4))
+        code = np.where(total < 2, 0, np.where(strings > HOT, 2, 1)).astype(np.uint8)
         cut = np.cumsum([len(a) for a in asked])
-        return _table(_ANSWER, [(block, 1, bucket, pack(c), None, None) for (bucket, block, _, _), c in zip(rows, np.split(code[where], cut[:-1]), strict=True)])
+        return _table(_ANSWER, [(block, 1, bucket, pack(c), None, None) for (bucket, block, *_), c in zip(rows, np.split(code[where], cut[:-1]), strict=True)])
 
     def send(t: pa.Table, replies: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t, buckets)
-        _, where, _ = b.anchors()
+        _, where, *_ = b.anchors()
         start, size, doc, key, content, piece = b.strings(_mask(replies), where)
         distinct, first, same = np.unique(content, return_index=True, return_inverse=True)
         low = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -256,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = np.array(replies.column("kind").to_pylist(), np.int64)
         masks, answers = replies.filter(pa.array(kinds == 1)), replies.filter(pa.array(kinds == 2))
         if answers.num_rows:
-            _, where, _ = b.anchors()
+            _, where, *_ = b.anchors()
             start, size, doc, key, content, _ = b.strings(_mask(masks), where)
             _, first, same = np.unique(content, return_index=True, return_inverse=True)
             order, _, _ = _by_bucket(key[first], buckets)
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(cols | ({"_kept": pa.array(kept, pa.binary())} if keep_text else {}))
 
     dealt = texts.groupBy("block")
-    told = dealt.applyInArrow(ask, "bucket long, block long, short binary, docs binary").groupBy("bucket").applyInArrow(tell, _ANSWER_DDL)
+    told = dealt.applyInArrow(ask, "bucket long, block long, short binary, docs binary, strings binary").groupBy("bucket").applyInArrow(tell, _ANSWER_DDL)
     sent = dealt.cogroup(told.groupBy("block")).applyInArrow(send, "bucket long, block long, bytes binary, sizes binary, keys binary, docs binary, pieces binary")
     sorted_ = sent.groupBy("bucket").applyInArrow(sort, _ANSWER_DDL)
     return dealt.cogroup(told.unionByName(sorted_).groupBy("block")).applyInArrow(final, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", _kept binary" * keep_text)
