@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import d, unit_sphere
+from ..functions.scalar import chord, d, unit_sphere
 from .recipe import standard_scale
 
 K, ALPHA = 8, 0.5
@@ -101,6 +101,21 @@ def radius_edges(df: DataFrame, keys: list[str], node: str, radius: float, x: st
     return p.join(q, [*keys, "cx", "cy"]).where(near & (F.col("src") != F.col("dst"))).select(*keys, "src", "dst")
 
 
+def geographic_radius(df: DataFrame, keys: list[str], node: str, metres: float, x: str = "x", y: str = "y") -> DataFrame:
+    """All pairs within so many metres on the sphere: cells of the chord's size in three dimensions, so no seam and no poles, checked by the chord."""
+    if metres <= 0:
+        raise ValueError("the radius must be positive")
+    r = chord(metres)
+    a, b, c = unit_sphere(x, y)
+    p = df.select(*keys, F.col(node).alias("src"), a.alias("ax"), b.alias("ay"), c.alias("az"))
+    p = p.withColumns({f"c{v}": F.floor(F.col(f"a{v}") / r) for v in "xyz"})
+    q = p.select(*keys, F.col("src").alias("dst"), F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("az").alias("bz"), "cx", "cy", "cz")
+    for v in "xyz":
+        q = q.withColumn(f"c{v}", F.explode(F.array(*[F.col(f"c{v}") + i for i in (-1, 0, 1)])))
+    far = F.sqrt(sum(((F.col(f"a{v}") - F.col(f"b{v}")) ** 2 for v in "xyz"), d(0)))
+    return p.join(q, [*keys, "cx", "cy", "cz"]).where((far <= r * (1 + 1e-12)) & (F.col("src") != F.col("dst"))).select(*keys, "src", "dst")
+
+
 def user_graph(edges: DataFrame, n_nodes: int) -> DataFrame:
     """Given edges (src, dst), checked against the number of nodes, in both directions."""
     if edges.where((F.col("src") < 0) | (F.col("dst") < 0) | (F.col("src") >= n_nodes) | (F.col("dst") >= n_nodes)).limit(1).count():

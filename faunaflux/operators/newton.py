@@ -37,7 +37,7 @@ def fit(df: DataFrame, keys: list[str], x: list[Column], y: Column, ridge: float
 
     def solve(batches):
         for t in batches:
-            g, h, b = (np.stack(t[c].to_list()) if len(t) else np.zeros((0, n)) for c, n in (("g", p), ("h", p * p), ("beta", p)))
+            g, h, b = (np.stack(t[c].to_list()) if len(t) else np.zeros((0, n)) for c, n in (("__g", p), ("__h", p * p), ("beta", p)))
             hess = h.reshape(-1, p, p) + np.diag([1e-9] + [ridge + 1e-9] * (p - 1))
             grad = g - b * np.array([0.0] + [ridge] * (p - 1))
             move = np.linalg.solve(hess, grad[:, :, None])[:, :, 0] if len(t) else grad
@@ -51,9 +51,9 @@ def fit(df: DataFrame, keys: list[str], x: list[Column], y: Column, ridge: float
     for k in range(rounds):
         q = d(1) / (d(1) + F.exp(-clip(score(cols[1:]), -35, 35)))
         t = rows.join(beta, keys).withColumn("__r", F.col("__y") - q).withColumn("__w", q * (d(1) - q))
-        g = F.array(*[F.sum(F.col("__r") * c) for c in cols]).alias("g")
+        g = F.array(*[F.sum(F.col("__r") * c) for c in cols]).alias("__g")
         upper = {(i, j): F.sum(F.col("__w") * cols[i] * cols[j]) for i in range(p) for j in range(i, p)}
-        h = F.array(*[upper[min(i, j), max(i, j)] for i in range(p) for j in range(p)]).alias("h")
+        h = F.array(*[upper[min(i, j), max(i, j)] for i in range(p) for j in range(p)]).alias("__h")
         beta = t.groupBy(*keys).agg(F.first("beta").alias("beta"), g, h).mapInPandas(solve, ddl)
         # one row for each group is kept, so that a step does not run those before it again
         beta = durable(beta)

@@ -7,9 +7,10 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalar import finite, reproduction_status
-from ..schemas import RESULT_COLUMNS, as_results
+from ..schemas import RESULT_COLUMNS, RESULT_SCHEMA, as_results
 
 #: Published mean ROC-AUC and calibration slope by model and scenario.
 PUBLISHED = (
@@ -74,6 +75,17 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*RESULT_COLUMNS)
 
 
+def write_leakage(audits: DataFrame, path: str, mode: str = "append") -> None:
+    """Audit findings by job, as JSON by scenario."""
+    audits.write.mode(mode).partitionBy("scenario").json(path)
+
+
+def scan_results(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows of JSON files, one object a line, in a batch; lines that cannot be read are left out, columns that are missing are null."""
+    rows = spark.read.schema(StructType([*RESULT_SCHEMA.fields, StructField("_broken", StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return as_results(rows.where("_broken is null and job_id is not null"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

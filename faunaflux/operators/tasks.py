@@ -130,6 +130,35 @@ def guess_roles(profile: DataFrame) -> DataFrame:
     return profile.withColumn("role", role.otherwise("predictor")).withColumn("confidence", sure.otherwise(F.lit(0.6))).withColumn("modality", hint)
 
 
+def inspect(profile: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Guessed roles, and warnings about the table as a whole."""
+    guesses = guess_roles(profile)
+    n = {r.role: (r.n, r.cols) for r in guesses.groupBy("role").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("column")).alias("cols")).collect()}  # a row for each role
+    out = []
+    if ("longitude" in n) != ("latitude" in n):
+        out.append("only one coordinate was found; places need both")
+    if "target" not in n:
+        out.append("no binary target was found; name one")
+    elif n["target"][0] > 1:
+        out.append(f"several columns look like targets: {', '.join(n['target'][1])}; name one")
+    if not {"predictor", "categorical"} & set(n):
+        out.append("no predictor was found")
+    return guesses, out
+
+
+def infer_categorical(df: DataFrame, predictors: list[str], most: int = 12) -> list[str]:
+    """Predictors that are text, or whole numbers of at most so many values; one aggregate over the table."""
+    kinds = dict(df.dtypes)
+    whole = [c for c in predictors if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    few = df.agg(*[F.count_distinct(c).alias(c) for c in whole]).first() if whole else {}
+    return [c for c in predictors if kinds[c] == "string" or (c in whole and few[c] <= most)]
+
+
+def categorical_indices(features: list[str], categorical: list[str]) -> list[int]:
+    """Places of the categorical columns among the features, in order."""
+    return sorted(features.index(c) for c in set(categorical) if c in features)
+
+
 def draft_schema(guesses: DataFrame) -> DataFrame:
     """The most certain column of each role that takes one."""
     return guesses.where("role not in ('predictor', 'categorical')").groupBy("role").agg(F.min_by("column", F.struct(-F.col("confidence"), "column")).alias("column"), F.max("confidence").alias("confidence"))

@@ -6,7 +6,7 @@ import importlib.metadata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from ..operators import features, graphs, learners, objectives, recipe
+from ..operators import encoders, features, graphs, learners, objectives
 
 
 @dataclass(frozen=True)
@@ -59,12 +59,13 @@ class Registry:
 
 
 ENCODERS, FUSIONS, GRAPHS, OBJECTIVES, MODELS = (Registry(k) for k in ("encoder", "fusion", "graph", "objective", "model"))
-for _n, _f, _a in (("raw", None, ("tabular", "embedding")), ("standardized", recipe.standard_scale, ("tabular",)), ("categorical", recipe.one_hot, ("categorical",)), ("pca", recipe.pca, ("tabular", "embedding")), ("ica", features.fast_ica, ("tabular",)), ("identity-embedding", None, ("embedding",)), ("patch-statistics", features.patch_statistics, ("raster",)), ("temporal-summary", features.temporal_summary, ("sequence",))):
-    ENCODERS.add(_n, _f, accepts=_a)
+for _n, _c in encoders.ENCODERS.items():
+    ENCODERS.add(_n, _c, accepts=tuple(dict.fromkeys((*_c.accepts, *(("embedding",) if _n in ("raw", "pca") else ())))))
+ENCODERS.add("ica", features.fast_ica, accepts=("tabular",))
 for _n, _a in (("autoencoder", "tabular"), ("vae", "tabular"), ("contrastive", "tabular"), ("masked-feature", "tabular"), ("cnn-patch", "raster"), ("multiscale-cnn", "raster"), ("vision-backbone", "raster"), ("recurrent", "sequence"), ("temporal-cnn", "sequence"), ("temporal-transformer", "sequence")):
     ENCODERS.add(_n, None, accepts=(_a,), note="SKIPPED_DEPENDENCY")
-for _n, _f in (("concat", features.concat_fusion), ("early", recipe.standard_scale), ("late", features.modality_weights), ("weighted", features.block_weights)):
-    FUSIONS.add(_n, _f)
+for _n, _c in encoders.FUSIONS.items():
+    FUSIONS.add(_n, _c)
 for _n in ("gated", "cross-attention", "moe"):
     FUSIONS.add(_n, None, note="SKIPPED_DEPENDENCY")
 for _n, _f in (("geographic-knn", graphs.geographic_knn), ("geographic-radius", graphs.radius_edges), ("environmental-knn", graphs.environmental_knn), ("hybrid", graphs.hybrid_knn), ("patch-adjacency", graphs.patch_adjacency), ("user", graphs.user_graph)):
@@ -72,10 +73,37 @@ for _n, _f in (("geographic-knn", graphs.geographic_knn), ("geographic-radius",
 for _n, _f in (("bce", objectives.bce), ("weighted-bce", objectives.weighted_bce), ("focal", objectives.focal), ("pairwise-ranking", objectives.pairwise_ranking), ("maxent", objectives.maxent), ("poisson", objectives.poisson), ("deepmaxent", objectives.deep_maxent)):
     OBJECTIVES.add(_n, _f)
 for _n in learners.AVAILABLE:
-    MODELS.add(_n, getattr(learners, _n.replace("-", "_"), learners.fit_predict), accepts=("tabular",))
+    MODELS.add(_n, learners.logistic if _n == "logistic-regression" else getattr(learners, _n.replace("-", "_"), learners.per_group), accepts=("tabular",))
 for _n, _s in learners.UNAVAILABLE.items():
     MODELS.add(_n, None, accepts=("tabular", "graph") if _n in ("gcn", "graphsage", "gatv2", "graph-transformer") else ("tabular",), note=_s)
 
+@dataclass(frozen=True)
+class ModalityDefinition:
+    """What a modality usually is: its kind, variables and encoder."""
+
+    name: str
+    kind: str
+    variables: tuple[str, ...] = ()
+    encoder: str = "raw"
+    notes: str = ""
+
+
+#: Usual modalities.
+STANDARD_MODALITIES = {
+    m.name: m
+    for m in (
+        ModalityDefinition("climate", "tabular", ("temperature", "precipitation"), "standardized"),
+        ModalityDefinition("terrain", "raster", ("elevation", "slope", "aspect"), "patch-statistics"),
+        ModalityDefinition("soil", "tabular", ("ph", "texture"), "standardized"),
+        ModalityDefinition("vegetation", "categorical", ("class",), "categorical"),
+        ModalityDefinition("landcover", "categorical", ("class",), "categorical"),
+        ModalityDefinition("hydrology", "tabular", ("distance to water",), "standardized"),
+        ModalityDefinition("imagery", "raster", ("bands",), "patch-statistics"),
+        ModalityDefinition("phenology", "sequence", ("greenness",), "temporal-summary"),
+        ModalityDefinition("embedding", "embedding", (), "identity-embedding"),
+    )
+}
+
 #: Sets of models by name.
 MODEL_SETS = {"standard": ("logistic-regression", "random-forest-mllib", "gradient-boosting", "knn", "gaussian-nb", "dummy"), "classical": ("logistic-regression", "knn", "decision-tree", "gaussian-nb"), "boosting": ("gradient-boosting", "adaboost", "xgboost", "lightgbm", "catboost"), "graph": ("gcn", "graphsage", "gatv2", "graph-transformer"), "published": ("maxnet", "random-forest", "brt", "gam", "tabpfn-sdm")}
 

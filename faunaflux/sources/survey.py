@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,30 @@ class SurveyDataset:
             env = env.withColumn(order, F.col("siteid"))
         return tasks.test_table(self.table("pa"), env, order)
 
+    def species_of(self, regions: list[str] | None = None, names: list[str] | None = None, most: int | None = None) -> DataFrame:
+        """region, spid of tasks in order of region and species: of some regions or species, or the first so many."""
+        if unknown := sorted({r.upper() for r in regions or ()} - set(REGIONS)):
+            raise DataError(f"unknown regions: {', '.join(unknown)}; known: {', '.join(REGIONS)}")
+        t = self.species()
+        t = t if regions is None else t.where(F.col("region").isin([r.upper() for r in regions]))
+        t = t if names is None else t.where(F.col("spid").isin(names))
+        return t.orderBy("region", "spid") if most is None else t.orderBy("region", "spid").limit(most)
+
+    def iter_tasks(self, regions: list[str] | None = None, names: list[str] | None = None, most: int | None = None, order: str = "_ord") -> tuple[DataFrame, DataFrame]:
+        """Training and test rows of those tasks, all in two tables."""
+        wanted = self.species_of(regions, names, most)
+        return self.training().join(wanted, ["region", "spid"], "left_semi"), self.testing(order).join(wanted, ["region", "spid"], "left_semi")
+
+    def n_tasks(self, regions: list[str] | None = None, most: int | None = None) -> int:
+        return self.species_of(regions, None, most).count()
+
+    def is_available(self) -> bool:
+        """Whether all tables can be read."""
+        try:
+            return all(self.table(n).columns for n in TABLES)
+        except AnalysisException:
+            return False
+
     def metadata(self, path: str) -> DataFrame:
         return self.spark.read.option("multiLine", "true").json(path)
 
@@ -67,7 +92,14 @@ def read_csv(spark: SparkSession, path: str, target: str = "presence", coordinat
         raise DataError(f"target {target!r} is missing")
     names = predictors or [c for c in raw.columns if c not in (target, *coordinates)]
     place = [(F.col(c).cast("double") if c in raw.columns else F.lit(None).cast("double")).alias(n) for c, n in zip(coordinates, ("x", "y"), strict=True)]
-    return raw.withColumn("_ord", F.monotonically_increasing_id()).select(F.lit(region).alias("region"), F.lit(species).alias("spid"), F.concat(F.lit("row"), F.col("_ord").cast("string")).alias("siteid"), "_ord", *place, binary_label(target).alias("occ"), *names)
+    # a number for each row in the order of the file, whatever its splits: rows of partitions before it, and its place
+    raw = raw.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
+    before, offsets = 0, []
+    for r in sorted(raw.groupBy("_part").count().collect()):  # a row for each partition
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    raw = raw.join(F.broadcast(spark.createDataFrame(offsets, "_part long, _off long")), "_part").withColumn("_ord", F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1))
+    return raw.select(F.lit(region).alias("region"), F.lit(species).alias("spid"), F.concat(F.lit("row"), F.col("_ord").cast("string")).alias("siteid"), "_ord", *place, binary_label(target).alias("occ"), *names)
 
 
 def species_groups(metadata: DataFrame, column: str, species: list[str]) -> DataFrame:
