@@ -25,7 +25,7 @@ from . import bytescan as bs
 from .cluster import durable, keyed, partitions, real_id, rowed
 from .language_id import fold
 from .lm_trie import Trie, restore
-from .packing import pack, pack_sorted, unpack, unpack_sorted
+from .packing import narrow, pack, pack_sorted, unpack, unpack_sorted
 
 BLOCK_BYTES = 8 << 20
 END = np.uint64(0x5E0FD0C5E0FD0C55)
@@ -114,14 +114,21 @@ class _Block:
         high = lambda x: (x >> np.uint64(32)).astype(np.int64)
         low = lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
         u, v = high(self.pair), low(self.pair)
-        pair_key = number[u] * _SPREAD[0] + np.where(count[u] > hot, number[v] * _SPREAD[1], np.uint64(0))
-        of, w = high(self.triple), low(self.triple)
-        triple_key = number[u][of] * _SPREAD[0] + number[v][of] * _SPREAD[1] + np.where(np.minimum(count[u], count[v])[of] > hot, number[w] * _SPREAD[2], np.uint64(0))
-        for words, key in (((number[u], number[v]), pair_key), ((number[u][of], number[v][of], number[w]), triple_key)):
-            bucket = (bs.mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((*words[::-1], bucket))
-            some, first = np.unique(bucket[order], return_index=True)
-            yield words, order, some, np.append(first, len(order))
+        nu, nv, frequent = number[u], number[v], count > hot
+        key = nu * _SPREAD[0] + np.where(frequent[u], nv * _SPREAD[1], np.uint64(0))
+        sorted_pairs = _order(nu, nv)
+        yield (nu, nv), *_dealt(key, sorted_pairs, buckets)
+        of, nw = high(self.triple), number[low(self.triple)]
+        rank = np.empty(len(u), np.uint64)
+        rank[sorted_pairs] = np.arange(len(u), dtype=np.uint64)
+        both = (nu * _SPREAD[0] + nv * _SPREAD[1])[of]
+        key = np.where((frequent[u] & frequent[v])[of], both + nw * _SPREAD[2], both)
+        yield (nu[of], nv[of], nw), *_dealt(key, _order(rank[of], nw), buckets)
+
+    def codes(self, replies: pa.Table, kind: int) -> np.ndarray:
+        """The codes of one kind, put together in the order of buckets."""
+        rows = sorted((b, x, y) for k, b, x, y in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "a", "b")), strict=True) if k == kind)
+        return np.concatenate([unpack(r[2])[narrow(r[1])] for r in rows]) if rows else np.zeros(0, np.uint64)
 
     def answers(self, replies: pa.Table, kind: int) -> list[np.ndarray]:
         """The replies of one kind, put together in the order of buckets."""
@@ -136,14 +143,30 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _distinct(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows in order, their summed counts, and where each row is among them."""
-    order = np.lexsort(columns[::-1])
-    columns, count = [c[order] for c in columns], count[order]
-    heads = _heads(*columns) if len(order) else np.zeros(0, np.int64)
+def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Order by a, then b: one sort of both in 64 bits where they fit."""
+    wide = int(b.max(initial=0)).bit_length()
+    if int(a.max(initial=0)).bit_length() + wide <= 64:
+        return np.argsort(a << np.uint64(wide) | b)
+    return np.lexsort((b, a))
+
+
+def _dealt(key: np.ndarray, order: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order dealt out to buckets by key: order, the buckets that occur and where each begins."""
+    bucket = (bs.mix(key[order]) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    by = np.argsort(bucket, kind="stable")
+    some, first = np.unique(bucket[by], return_index=True)
+    return order[by], some, np.append(first, len(order))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b) in order, their summed counts, and where each row is among them."""
+    order = _order(a, b)
+    a, b = a[order], b[order]
+    heads = _heads(a, b) if len(order) else np.zeros(0, np.int64)
     where = np.empty(len(order), np.int64)
     where[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-    return [c[heads] for c in columns], np.add.reduceat(count, heads) if len(heads) else count, where
+    return a[heads], b[heads], np.add.reduceat(count[order], heads) if len(heads) else count, where
 
 
 _REPLY = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int64(), "a": pa.binary(), "b": pa.binary()}
@@ -171,7 +194,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         """Numbers (all tokens of the bucket, the most frequent first) and training counts."""
         rows = list(zip(*(asked.column(c).to_pylist() for c in ("bucket", "block", "hashes")), strict=True))
         asked_for = [unpack(r[2]) for r in rows]
-        every = np.unique(np.concatenate(asked_for)) if rows else np.zeros(0, np.uint64)
+        every = np.sort(np.concatenate(asked_for)) if rows else np.zeros(0, np.uint64)
+        every = every[np.append(True, every[1:] != every[:-1])[: len(every)]]
         count = np.zeros(len(every), np.uint64)
         for h, c in zip(known.column("hashes").to_pylist(), known.column("counts").to_pylist(), strict=True):
             count[np.searchsorted(every, unpack(h))] = unpack(c)  # every training token is asked for by its own block
@@ -207,30 +231,31 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 rows.append((bucket, block, 2 + k, packed, pack(cols[-1]), pack(seen[k][own])))
         return _table(_ASKED, rows)
 
-    def asked_columns(kind: int, packed: list[bytes], last: bytes) -> list[np.ndarray]:
-        first = np.repeat(unpack_sorted(packed[0]), unpack(packed[1]).astype(np.int64))
-        if kind == 2:
-            return [first, unpack(last)]
-        run = unpack(packed[3]).astype(np.int64)
-        return [np.repeat(first, run), np.repeat(unpack(packed[2]), run), unpack(last)]
-
     def shard(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("bucket", "block", "kind", "packed", "last", "counts")), strict=True))
-        asked, trained, place = {}, {}, {}
-        for kind in (2, 3):
-            mine = [r for r in rows if r[2] == kind]
-            parts = [asked_columns(kind, r[3], r[4]) for r in mine]
-            cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.uint64) for c in range(kind)]
-            some, count, where = _distinct(cols, np.concatenate([unpack(r[5]) for r in mine]) if mine else np.zeros(0, np.uint64))
-            place[kind] = np.split(where, np.cumsum([len(p[0]) for p in parts])[:-1]) if parts else []
-            asked[kind] = some
-            trained[kind] = tuple(c[count > 0] for c in some) + (count[count > 0] / max(n, 1),)
-        trie = Trie(trained[2], trained[3])
-        codes = {2: trie.pairs(*asked[2]), 3: trie.triples(*asked[3])}
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("kind", "block", "bucket", "packed", "last", "counts")), strict=True))
+        two, three = ([r for r in rows if r[0] == k] for k in (2, 3))
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        u = join([np.repeat(unpack_sorted(r[3][0]), unpack(r[3][1]).astype(np.int64)) for r in two])
+        pu, pv, pn, p_at = _distinct(u, join([unpack(r[4]) for r in two]), join([unpack(r[5]) for r in two]))
+        # the pairs of triples, once for each block; then triples by the pair's place and their last word
+        heads = join([np.repeat(unpack_sorted(r[3][0]), unpack(r[3][1]).astype(np.int64)) for r in three])
+        run = join([unpack(r[3][3]) for r in three]).astype(np.int64)
+        tu, tv, _, t_at = _distinct(heads, join([unpack(r[3][2]) for r in three]), np.zeros(len(heads), np.uint64))
+        pair, word, n3, w_at = _distinct(np.repeat(t_at, run).astype(np.uint64), join([unpack(r[4]) for r in three]), join([unpack(r[5]) for r in three]))
+        pair = pair.astype(np.int64)
+        p, w = pn > 0, n3 > 0
+        trie = Trie((pu[p], pv[p], pn[p] / max(n, 1)), (tu[pair[w]], tv[pair[w]], word[w], n3[w] / max(n, 1)))
+        codes = trie.pairs(pu, pv)[p_at], trie.triples(tu[pair], tv[pair], word)[w_at]
         trie.close()
         out = []
-        for kind in (2, 3):
-            out += [(r[1], kind, r[0], pack(codes[kind][w]), pack(np.zeros(0, np.uint64))) for r, w in zip([r for r in rows if r[2] == kind], place[kind], strict=True)]
+        for mine, code in zip((two, three), codes, strict=True):
+            at = 0
+            for r in mine:
+                k = len(narrow(r[5]))
+                # what occurs is few different codes: their list, and places in it
+                some, where = np.unique(code[at : at + k], return_inverse=True)
+                out.append((r[1], r[0], r[2], pack(where), pack(some)))
+                at += k
         return _table(_REPLY, out)
 
     def final(t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -240,7 +265,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         joint = []
         for k, (_, order, _, _) in enumerate(b.asked(number, count, hot, buckets)):
             p = np.empty(len(order))
-            p[order] = restore(b.answers(replies, 2 + k)[0]) * n
+            p[order] = restore(b.codes(replies, 2 + k)) * n
             joint.append(p)
         low = (count[b.place].astype(np.float64) + 1) / (n + v + 1)
         context = count[(b.pair >> np.uint64(32)).astype(np.int64)].astype(np.float64)

@@ -16,6 +16,7 @@ import numpy as np
 
 BITS = 16  # of a quantised probability; code 0: none
 LEAST = -12.0  # log10 of the least probability on the grid
+NEAR = 2  # elements that are looked at one after another before a search by halves
 U = np.uint64
 
 
@@ -24,28 +25,35 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((np.log10(np.maximum(p, 1e-300)) - LEAST) / step) + 1, 1, (1 << BITS) - 1).astype(np.uint16)
 
 
+_GRID = np.concatenate([[0.0], 10.0 ** (np.arange((1 << BITS) - 1) * (-LEAST / ((1 << BITS) - 2)) + LEAST)])
+
+
 def restore(code: np.ndarray) -> np.ndarray:
     """Probability of a code; 0 for none."""
-    step = -LEAST / ((1 << BITS) - 2)
-    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) * step + LEAST), 0.0)
+    return _GRID[code.astype(np.int64)]
 
 
-def _words(bits: np.ndarray) -> np.ndarray:
-    """Bits in 64-bit words, the first the lowest, with a word to spare."""
-    packed = np.packbits(bits, bitorder="little")
-    return np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(U)
+def _put(values: np.ndarray, at: np.ndarray, width: int, total: int) -> np.ndarray:
+    """Values of so many bits at rising bit places that do not overlap, in 64-bit words, the first bit the lowest, with a word to spare."""
+    out = np.zeros((total >> 6) + 2, U)
+    if width and len(values):
+        word, shift = at >> 6, (at & 63).astype(U)
+        heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out[word[heads]] = np.bitwise_or.reduceat(values << shift, heads)
+        over = np.flatnonzero(shift + U(width) > U(64))  # at most one for a word
+        out[word[over] + 1] |= values[over] >> (U(64) - shift[over])
+    return out
 
 
 def elias_fano(x: np.ndarray) -> dict[str, np.ndarray]:
     """A rising sequence of unsigned integers: header (length, low bits), packed low bits, unary high bits, and ones before each word of those."""
     n, top = len(x), int(x[-1]) + 1 if len(x) else 1
     low = max(0, (top // max(n, 1)).bit_length() - 1)
-    lows = ((x[:, None] >> np.arange(low, dtype=U)) & U(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
+    place = np.arange(n, dtype=np.int64)
     high = (x >> U(low)).astype(np.int64)
-    unary = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
-    unary[high + np.arange(n)] = 1
-    words = _words(unary)
-    return {"head": np.array([n, low, len(unary)], np.int64), "low": _words(lows.ravel()), "high": words, "ones": np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])}
+    width = n + (int(high[-1]) if n else 0) + 1
+    words = _put(np.ones(n, U), high + place, 1, width)
+    return {"head": np.array([n, low, width], np.int64), "low": _put(x & U((1 << low) - 1), place * low, low, n * low), "high": words, "ones": np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])}
 
 
 class EliasFano:
@@ -59,15 +67,17 @@ class EliasFano:
     def _select(self, r: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the r-th (from 0) set bit, or of the r-th unset one."""
         at = np.searchsorted(before, r, "right") - 1
-        word, left, place = self.high[at], (r - before[at]).astype(np.int64), at * 64
+        word, left = self.high[at], (r - before[at]).astype(np.uint8)
         word = ~word if flip else word
+        place = np.zeros(len(at), np.uint8)
         for step in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(word & U((1 << step) - 1)).astype(np.int64)
-            on = left >= inside
-            left -= np.where(on, inside, 0)
-            word = np.where(on, word >> U(step), word)
-            place = place + np.where(on, step, 0)
-        return place
+            inside = np.bitwise_count(word & U((1 << step) - 1))
+            on = (left >= inside).astype(np.uint8)
+            left -= inside * on
+            on *= np.uint8(step)
+            word >>= on.astype(U)
+            place += on
+        return at * 64 + place
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -107,13 +117,59 @@ class EliasFano:
             hi[open_] = np.where(less, hi[open_], mid)
 
     def find(self, x: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
-        """Index of the element, -1 if it is not there. Elements are distinct."""
+        """Index of the element, -1 if it is not there, or not from start to stop. Elements are distinct.
+
+        Those with the high part of x are ones in a row after the zeros of smaller ones; the search goes on along them to the first whose low part is not smaller.
+        """
+        out = np.full(len(x), -1)
         if not self.n:
-            return np.full(len(x), -1)
-        i = self.successor(x, start, stop)
-        there = i < (self.n if stop is None else np.minimum(stop, self.n))
-        there[there] = self.get(i[there]) == x[there]
-        return np.where(there, i, -1)
+            return out
+        high, low = (x >> U(self.bits)).astype(np.int64), x & U((1 << self.bits) - 1)
+        i, open_ = self._begin(high), np.flatnonzero(high <= self.width - self.n)
+        i, low, at = i[open_], low[open_], high[open_]
+        for _ in range(NEAR):
+            if not len(open_):
+                break
+            place = at + i
+            there = np.flatnonzero((self.high[place >> 6] >> (place & 63).astype(U)) & U(1))
+            open_, i, low, at = open_[there], i[there], low[there], at[there]
+            value = self.lows(i)
+            same = np.flatnonzero(value == low)
+            out[open_[same]] = i[same]
+            on = np.flatnonzero(value < low)
+            open_, i, low, at = open_[on], i[on] + 1, low[on], at[on]
+        if len(open_):
+            # many words of one context share their high part: by halves
+            hi = self._begin(at + 1)
+            end = hi.copy()
+            left = np.arange(len(open_))
+            while len(left := left[i[left] < hi[left]]):
+                mid = (i[left] + hi[left]) // 2
+                less = self.lows(mid) < low[left]
+                i[left] = np.where(less, mid + 1, i[left])
+                hi[left] = np.where(less, hi[left], mid)
+            there = np.flatnonzero(i < end)
+            there = there[self.lows(i[there]) == low[there]]
+            out[open_[there]] = i[there]
+        return out if start is None else np.where((out >= start) & (out < stop), out, -1)
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Which elements differ from the one before."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = np.sort(np.concatenate([a, b]))
+    return x[_new(x)]
+
+
+def _ranks(some: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x, whose equal elements come in a row, among some."""
+    heads = np.flatnonzero(_new(x))
+    return np.repeat(np.searchsorted(some, x[heads]).astype(U), np.diff(np.append(heads, len(x))))
 
 
 class Trie:
@@ -122,14 +178,15 @@ class Trie:
     def __init__(self, pairs: tuple, triples: tuple):
         (u, v, p2), (a, b, c, p3) = pairs, triples
         self.size = 1 + max((int(x.max()) for x in (u, v, a, b, c) if len(x)), default=0)
-        first = np.unique(np.concatenate([u, a]))
         size = U(self.size)
-        rank = lambda some, x: np.searchsorted(some, x).astype(U)
-        own, path = rank(first, u) * size + v, rank(first, a) * size + b
-        second = np.unique(np.concatenate([own, path]))
+        first = _union(u[_new(u)], a[_new(a)])
+        own = _ranks(first, u) * size + v
+        heads = np.flatnonzero(_new(a) | _new(b))
+        path = _ranks(first, a[heads]) * size + b[heads]
+        second = _union(own, path)
         q2 = np.zeros(len(second), np.uint16)
         q2[np.searchsorted(second, own)] = quantise(p2)
-        third = rank(second, path) * size + c
+        third = np.repeat(np.searchsorted(second, path).astype(U), np.diff(np.append(heads, len(a)))) * size + c
         edges = lambda level, n: np.searchsorted(level, np.arange(n + 1, dtype=U) * size).astype(U)
         seqs = {"1": first, "p": edges(second, len(first)), "2": second, "r": edges(third, len(second)), "3": third}
         parts = {f"{s}.{k}": x for s, seq in seqs.items() for k, x in elias_fano(seq).items()} | {"q2": q2, "q3": quantise(p3)}
@@ -151,14 +208,18 @@ class Trie:
         out = np.full(len(parent), -1)
         ok = np.flatnonzero((parent >= 0) & (word < self.size))
         if len(ok):
-            some, where = np.unique(parent[ok], return_inverse=True)
-            start, stop = (pointers.get(some + k).astype(np.int64)[where] for k in (0, 1))
+            # the words of one context come one after another; the next context begins where one ends
+            new = _new(parent[ok])
+            some = parent[ok][new]
+            both = _union(some, some + 1)
+            edge = pointers.get(both).astype(np.int64)
+            start, stop = (edge[np.searchsorted(both, some + k)][np.cumsum(new) - 1] for k in (0, 1))
             out[ok] = level.find(parent[ok].astype(U) * U(self.size) + word[ok], start, stop)
         return out
 
     def _pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        some, where = np.unique(u, return_inverse=True)
-        return self._child(self.second, self.to_second, self.first.find(some)[where], v)
+        new = _new(u)
+        return self._child(self.second, self.to_second, self.first.find(u[new])[np.cumsum(new) - 1], v)
 
     def pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Codes of the probabilities of pairs; 0: not seen."""
@@ -167,8 +228,7 @@ class Trie:
 
     def triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Codes of the probabilities of triples; 0: not seen."""
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])  # triples of one pair come one after another
+        new = _new(u) | _new(v)  # triples of one pair come one after another
         heads = np.flatnonzero(new)
         i = self._child(self.third, self.to_third, self._pair(u[heads], v[heads])[np.cumsum(new) - 1], w)
         return np.where(i >= 0, self.q3[np.maximum(i, 0)] if len(self.q3) else 0, 0).astype(np.uint16)
