@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import finite
+from ..functions.scalar import d, finite
 from ..functions.stats import t_critical
+from ..lineage import durable
 from .metrics import DIRECTIONS
 
 
@@ -18,18 +21,25 @@ def in_scenario(results: DataFrame, scenario: str | None) -> DataFrame:
     return results if scenario is None else results.where(F.col("scenario") == scenario)
 
 
-def _critical(df: DataFrame, confidence: float) -> DataFrame:
-    """df with column t_crit for its degrees of freedom, n - 1; the table of critical values has one row for each distinct n."""
-    spark = df.sparkSession
-    ns = [r[0] for r in df.select("n").distinct().collect()]  # numbers of species, not rows
-    t = spark.createDataFrame([(n, t_critical(n - 1, confidence) if n > 1 else None) for n in ns if n is not None], "n long, t_crit double")
-    return df.join(F.broadcast(t), "n", "left")
+TABLED = 300  # degrees of freedom whose critical values are in a table; beyond, four terms of the expansion about the normal one are exact to 1e-11
+
+
+def critical_value(n: Column, confidence: float) -> Column:
+    """Critical t of n - 1 degrees of freedom; null below 1. An expression, so no job runs to plan it."""
+    df = (n - 1).cast("double")
+    z = NormalDist().inv_cdf((1 + confidence) / 2)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    far = d(z)
+    for k, c in enumerate(terms):
+        far = far + d(c) / F.pow(df, d(k + 1))
+    table = F.array(*[d(t_critical(k, confidence)) for k in range(1, TABLED + 1)])
+    return F.when(n < 2, None).when(n <= TABLED + 1, F.get(table, (n - 2).cast("int"))).otherwise(far)
 
 
 def summarise(df: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
     """n, mean, median, sd, se and the t interval of finite values; only mean and median for one value."""
     x = df.select(*by, finite(value).alias("v")).groupBy(*by).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.stddev_samp("v").alias("sd"))
-    x = _critical(x, confidence).withColumn("se", F.col("sd") / F.sqrt("n"))
+    x = x.withColumn("t_crit", critical_value(F.col("n"), confidence)).withColumn("se", F.col("sd") / F.sqrt("n"))
     return x.select(*by, "n", "mean", "median", "sd", "se", (F.col("mean") - F.col("t_crit") * F.col("se")).alias("ci_low"), (F.col("mean") + F.col("t_crit") * F.col("se")).alias("ci_high"))
 
 
@@ -74,7 +84,7 @@ def _species_means(results: DataFrame, metric: str, scenario: str | None) -> Dat
 
 def common_species(results: DataFrame, metric: str = "roc_auc", scenario: str | None = None) -> DataFrame:
     """Summary and rank over the species for which every model has a value."""
-    means = _species_means(results, metric, scenario)
+    means = durable(_species_means(results, metric, scenario))  # read three times below, and small: a row for each species and model
     n = means.select(F.count_distinct("model_name").alias("models"))
     whole = means.groupBy("region", "species_id").agg(F.count("*").alias("have")).join(F.broadcast(n), F.col("have") == F.col("models"), "left_semi")
     return ranked(summarise(means.join(whole, ["region", "species_id"], "left_semi"), ["model_name"], "v"), direction_key(F.col("mean"), metric))

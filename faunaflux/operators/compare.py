@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import SEED, d, finite, md5_int
 from ..functions.stats import paired_t_p, wilcoxon_p
+from ..lineage import durable
 from .board import in_scenario, successful
 
 PAIR = ["model_a", "model_b"]
@@ -99,7 +100,7 @@ def verdict(n, low, high, p, mean, alpha: float = 0.05):
 
 def compare_models(results: DataFrame, metric: str = "roc_auc", scenario: str | None = None, reference: str | None = None, correction: str = "holm", n_boot: int = 10_000, tie_tolerance: float = 0.0) -> DataFrame:
     """All of the above for all pairs, or all against a reference, sorted by mean difference."""
-    pairs = paired(results, metric, scenario, reference)
+    pairs = durable(paired(results, metric, scenario, reference))  # four branches read it
     out = paired_summary(pairs, tie_tolerance).join(bootstrap_ci(pairs, PAIR, "diff", ["region", "species_id"], n_boot).drop("n"), PAIR, "left").join(wilcoxon_w(pairs), PAIR, "left").join(p_values(pairs), PAIR, "left")
     out = adjust(out, "wilcoxon_p", correction)
     return out.withColumn("verdict", verdict("n", "ci_low", "ci_high", "wilcoxon_p", "mean_difference")).orderBy(F.desc("mean_difference"), *PAIR)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import audit, features, graphs, recipe, resample, spatial, tasks
+from ..sources import survey
 from . import views
 from .catalogue import query
 from .views import OCC, PREDICTORS, SERIES
@@ -68,6 +69,61 @@ def both_classes_gate(spark, d):
     return tasks.both_classes(zones, ["region", "spid", "prio", "zone"])
 
 
+@query("survey_group", """, pa AS (SELECT region, spid, ord, CASE ord % 3 WHEN 0 THEN 'birds' WHEN 1 THEN 'plants' ELSE 'other' END AS "group", occ FROM occ), w AS (SELECT * FROM (VALUES ('BUILDING', 'birds'), ('MACHINERY', 'nowhere'), ('FURNITURE', 'plants')) t(spid, want)),
+j AS (SELECT pa.*, want, max(CASE WHEN "group" = want THEN 1 ELSE 0 END) OVER (PARTITION BY region, pa.spid) AS seen FROM pa LEFT JOIN w ON w.spid = pa.spid) SELECT region, spid, ord, "group", occ FROM j WHERE seen = 0 OR "group" = want""", OCC)
+def survey_group(spark, d):
+    """Rows of the species' survey group, where any row of the species has it."""
+    g = F.when(F.col("ord") % 3 == 0, "birds").when(F.col("ord") % 3 == 1, "plants").otherwise("other")
+    pa = _occ(spark, d).select("region", "spid", "ord", g.alias("group"), "occ")
+    groups = spark.createDataFrame([("BUILDING", "birds"), ("MACHINERY", "nowhere"), ("FURNITURE", "plants")], "spid string, want string")
+    return tasks.in_group(pa, groups).select("region", "spid", "ord", "group", "occ")
+
+
+@query("standardise_presences", "SELECT 'AWT' AS region, CAST(NULL AS varchar) AS \"group\", row_number() OVER (ORDER BY ord)::varchar AS siteid, spid, x, y, 1 AS occ, price FROM occ WHERE part = 'train' AND occ = 1", OCC)
+def standardise_presences(spark, d):
+    po = _train(spark, d).where("occ = 1").select("ord", "spid", "x", "y", "price")
+    return tasks.standardise(po, "AWT", "po", "ord").drop("ord")
+
+
+@query("sample_background", f""", c AS (SELECT ord AS cell, x, y, price FROM occ), f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM occ e WHERE e.part = 'test' AND e.occ = 1 AND sqrt((c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y)) <= 1500 * (1 + 1e-12))) SELECT cell, x, y FROM f ORDER BY md5('32639|' || cell::varchar), cell LIMIT 500""", OCC)
+def sample_background(spark, d):
+    """500 cells in a seeded order, away from presences."""
+    cells = _occ(spark, d).select(F.col("ord").alias("cell"), "x", "y")
+    return resample.sample_background(cells, 500, exclude=_test(spark, d).where("occ = 1"), radius=1500)
+
+
+@query("score_cells", """, c AS (SELECT ord // 300 AS row, ord % 300 AS col, any_value(price ORDER BY ord) AS price, any_value(CASE WHEN ord % 7 > 0 THEN acct END ORDER BY ord) AS acct FROM occ GROUP BY ALL) SELECT row, col, (row // 512)::varchar || ':' || (col // 512)::varchar AS block, round(CASE WHEN price IS NOT NULL AND acct IS NOT NULL THEN price / 1000 + acct END, 6) AS value FROM c""", OCC)
+def score_cells(spark, d):
+    cells = _occ(spark, d).select(F.floor(F.col("ord") / 300).alias("row"), (F.col("ord") % 300).alias("col"), "price", F.when(F.col("ord") % 7 > 0, F.col("acct")).alias("acct"))
+    return survey.score_cells(cells, ["price", "acct"], F.col("price") / 1000 + F.col("acct"))
+
+
+@query("extract_at_points", """, c AS (SELECT (ord // 300)::bigint AS r, (ord % 300)::bigint AS k, price FROM occ) SELECT p.ord, round(c.price, 6) AS band FROM occ p LEFT JOIN c ON c.k = floor((p.x - 0) / 333.4)::bigint AND c.r = floor((100000 - p.y) / 333.4)::bigint""", OCC)
+def extract_at_points(spark, d):
+    o = _occ(spark, d)
+    cells = o.select(F.floor(F.col("ord") / 300).alias("row"), (F.col("ord") % 300).alias("col"), F.col("price").alias("band"))
+    return survey.extract_at_points(cells, o.select("ord", "x", "y"), 0.0, 100000.0, 333.4, 333.4, ["band"]).select("ord", "band")
+
+
+@query("species_groups", "SELECT r_name AS spid, CASE WHEN r_regionkey % 2 = 0 THEN NULL ELSE 'g' || r_regionkey::varchar END AS \"group\" FROM region")
+def species_groups(spark, d):
+    r = views.table(spark, d, "region")
+    value = F.when(F.col("r_regionkey") % 2 == 0, "NA").otherwise(F.concat(F.lit("g"), F.col("r_regionkey").cast("string")))
+    meta = r.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", value)))).alias("groups"))
+    return survey.species_groups(meta, "groups", [])
+
+
+@query("infer_categorical", "SELECT unnest(['prio', 'occ']) AS \"column\"")
+def infer_categorical(spark, d):
+    return spark.createDataFrame([(c,) for c in tasks.infer_categorical(_occ(spark, d), ["price", "prio", "occ", "ord"])], "column string")
+
+
+@query("geographic_radius_graph", f""", g AS (SELECT *, x * 3.6 / 1000 - 180 AS lon, y * 1.6 / 1000 - 80 AS lat FROM occ), u AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS a, cos(radians(lat)) * sin(radians(lon)) AS b, sin(radians(lat)) AS c FROM g)
+SELECT p.region, p.spid, p.ord AS src, q.ord AS dst FROM u p JOIN u q ON q.region = p.region AND q.spid = p.spid AND p.ord <> q.ord AND sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) <= {scalar.chord(700_000)!r} * (1 + 1e-12)""", OCC)
+def geographic_radius_graph(spark, d):
+    return graphs.geographic_radius(_lonlat(_occ(spark, d)), G, "ord", 700_000)
+
+
 @query("pa_unpivot", ", w AS (SELECT ord, occ AS a, (ord % 2)::int AS b FROM occ) SELECT ord, 'a' AS spid, a AS occ FROM w UNION ALL SELECT ord, 'b', b FROM w", OCC)
 def pa_unpivot(spark, d):
     return tasks.unpivot_presence_absence(_occ(spark, d).select("ord", F.col("occ").alias("a"), (F.col("ord") % 2).cast("int").alias("b")), ["ord"], ["a", "b"])

@@ -31,5 +31,9 @@ def windowed_events(events: DataFrame, window: str = "1 hour", delay: str = "2 h
     return events.withWatermark("ts", delay).groupBy(F.window("ts", window), "user_id").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
 
 
-def start_board(results: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    return running_board(results).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_board(results: DataFrame, name: str, checkpoint: str, path: str | None = None) -> StreamingQuery:
+    """The running board, kept as Parquet under a path (a row for each model, replaced with each batch), or in memory for a look at it."""
+    out = running_board(results).writeStream.outputMode("complete").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if path is None:
+        return out.format("memory").start()
+    return out.foreachBatch(lambda board, _: board.write.mode("overwrite").parquet(path)).start()
