@@ -11,6 +11,34 @@ def _spark() -> SparkSession:
     return SparkSession.builder.appName("faunaflux").getOrCreate()
 
 
+def _benchmark(spark: SparkSession, a):
+    """Runs a benchmark over a survey. The file's settings come first, then the options that were given; results and manifest go to the run directory, whose finished jobs are not done again."""
+    from pyspark.errors import AnalysisException
+
+    from .operators import report
+    from .plans.benchmarks import RunConfig
+    from .provenance import load_config
+    from .sources.survey import SurveyDataset
+
+    many = lambda x: [v.strip() for v in x.split(",")] if x else None
+    given = {"benchmark": a.benchmark, "models": a.models, "scenarios": many(a.scenarios), "predictors": many(a.predictors), "regions": many(a.regions), "species": many(a.species), "most": int(a.most) if a.most else None, "root": a.root}
+    values = {"benchmark": "multi-region", "models": "standard"} | load_config(spark, a.config, given)
+    config = RunConfig.from_dict(values)
+    data = SurveyDataset(spark, config.extra["root"])
+    train, test = data.iter_tasks(config.extra.get("regions"), config.extra.get("species"), config.extra.get("most"))
+    predictors = config.extra.get("predictors") or [c for c, t in train.dtypes if t in ("double", "float", "int", "bigint") and c in test.columns and c not in ("x", "y", "occ")]
+    if not a.run_dir:
+        return config.run(train, test, predictors)
+    try:
+        done = report.read_results(spark, f"{a.run_dir}/results")
+    except AnalysisException:
+        done = None
+    report.write_results(config.run(train, test, predictors, done), f"{a.run_dir}/results")
+    rows = report.read_results(spark, f"{a.run_dir}/results")
+    report.manifest(spark, rows.agg({"run_id": "max"}).first()[0], config.benchmark, {k: str(v) for k, v in values.items()}, {r.status: r["count"] for r in rows.groupBy("status").count().collect()}).write.mode("append").json(f"{a.run_dir}/manifest")
+    return rows
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="faunaflux")
     verbs = p.add_subparsers(dest="verb", required=True)
@@ -20,6 +48,10 @@ def main(argv: list[str] | None = None) -> int:
         "report": ("--results",),
         "inspect": ("--csv",),
         "benchmark-csv": ("--csv", "--target", "--models", "--output"),
+        "benchmark": ("--root", "--config", "--benchmark", "--models", "--scenarios", "--predictors", "--regions", "--species", "--most", "--run-dir"),
+        "reproduce": ("--root", "--config", "--benchmark", "--models", "--scenarios", "--predictors", "--regions", "--species", "--most", "--run-dir"),
+        "benchmarks": (),
+        "provenance": (),
         "data-info": ("--root",),
         "models": (),
         "plan": (),
@@ -28,11 +60,13 @@ def main(argv: list[str] | None = None) -> int:
         v = verbs.add_parser(verb)
         for o in options:
             v.add_argument(o)
+        if verb in ("leaderboard", "compare", "report"):
+            v.add_argument("--run-dir")
         if verb == "leaderboard":
             v.add_argument("--common-species", action="store_true")
     a = p.parse_args(argv)
     from .operators import board, compare, report, resample, tasks
-    from .plans import planner, registry
+    from .plans import benchmarks, planner, registry
 
     if a.verb == "models":
         for n in registry.MODELS:
@@ -43,8 +77,23 @@ def main(argv: list[str] | None = None) -> int:
         for stage, plans in planner.StagedPlanner(base).everything().items():
             print(stage, len(plans))
         return 0
+    if a.verb == "benchmarks":
+        for n in benchmarks.BENCHMARKS:
+            r = benchmarks.BENCHMARKS.get(n).make
+            print(n, ",".join(r.scenarios), f"buffer {r.buffer_m:g} m", f"{r.n_folds} folds" if r.n_folds else "given test rows")
+        return 0
     spark = _spark()
-    if a.verb == "env":
+    if getattr(a, "run_dir", None) and a.verb in ("leaderboard", "compare", "report") and not a.results:
+        a.results = f"{a.run_dir}/results"
+    if a.verb == "provenance":
+        print(board.render(benchmarks.provenance(spark).orderBy("key"), ["key", "value", "provenance", "verified"], 30))
+    elif a.verb in ("benchmark", "reproduce"):
+        rows = _benchmark(spark, a)
+        if a.verb == "reproduce":
+            print(board.render(report.reproduction(benchmarks.BENCHMARKS.get(a.benchmark or "multi-region").make.published(spark), rows), ["model_name", "scenario", "metric", "published", "reproduced", "status"]))
+        else:
+            print(board.markdown(board.leaderboard(rows)))
+    elif a.verb == "env":
         print("spark", spark.version, "python", spark.sparkContext.pythonVer, "master", spark.sparkContext.master)
     elif a.verb == "leaderboard":
         rows, metric = report.read_results(spark, a.results), a.metric or "roc_auc"
