@@ -270,18 +270,18 @@ def ensemble_balanced(spark, d):
     return resample.balanced_members(_occ(spark, d), G, "ord").select(*G, "member_id", "ord", "occ")
 
 
-PARTS = f", b AS (SELECT *, (ntile(4) OVER (PARTITION BY {KEY} ORDER BY {_md5(32639)}, ord) - 1)::int AS member_id FROM occ WHERE occ = 0), m AS (SELECT {KEY}, member_id, ord, occ FROM b UNION ALL SELECT {KEY}, member_id, ord, occ FROM occ JOIN (SELECT DISTINCT {KEY}, member_id FROM b) USING ({KEY}) WHERE occ = 1)"
+PARTS = f", b AS (SELECT *, (ntile(16) OVER (PARTITION BY {KEY} ORDER BY {_md5(32639)}, ord) - 1)::int AS member_id FROM occ WHERE occ = 0), m AS (SELECT {KEY}, member_id, ord, occ FROM b UNION ALL SELECT {KEY}, member_id, ord, occ FROM occ JOIN (SELECT DISTINCT {KEY}, member_id FROM b) USING ({KEY}) WHERE occ = 1)"
 
 
 @query("ensemble_partition", PARTS + f" SELECT {KEY}, member_id, ord, occ FROM m", OCC)
 def ensemble_partition(spark, d):
-    return resample.partition_members(_occ(spark, d), G, "ord", k=4).select(*G, "member_id", "ord", "occ")
+    return resample.partition_members(_occ(spark, d), G, "ord").select(*G, "member_id", "ord", "occ")
 
 
-@query("ensemble_cap", PARTS + f", c AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, member_id ORDER BY occ DESC, {_md5(32639)}, ord) AS k FROM m) SELECT {KEY}, member_id, count(*) FILTER (occ = 1) AS n_presence, count(*) FILTER (occ = 0) AS n_background FROM c WHERE k <= 100 GROUP BY ALL", OCC)
+@query("ensemble_cap", PARTS + f", c AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, member_id ORDER BY occ DESC, {_md5(32639)}, ord) AS k FROM m) SELECT {KEY}, member_id, count(*) FILTER (occ = 1) AS n_presence, count(*) FILTER (occ = 0) AS n_background FROM c WHERE k <= 40 GROUP BY ALL", OCC)
 def ensemble_cap(spark, d):
-    m = resample.partition_members(_occ(spark, d), G, "ord", k=4)
-    return resample.member_counts(resample.cap_members(m, G, "ord", cap=100), G)
+    m = resample.partition_members(_occ(spark, d), G, "ord")
+    return resample.member_counts(resample.cap_members(m, G, "ord", cap=40), G)
 
 
 @query("average_logits", ", l AS (SELECT scenario, row, avg(ln(greatest(least(p, 1 - 1e-7), 1e-7) / (1 - greatest(least(p, 1 - 1e-7), 1e-7)))) AS z FROM pred GROUP BY ALL) SELECT scenario, row, round(1 / (1 + exp(-z)), 6) AS p FROM l", views.PRED)

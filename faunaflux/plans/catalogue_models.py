@@ -86,7 +86,7 @@ def model_subsample_ensemble(spark, d):
 @query("inner_cv_tuning", None)
 def inner_cv_tuning(spark, d):
     fit = lambda a, b, keys, k: learners.knn(a, b, keys, PREDICTORS, "ord", k=k)
-    return learners.best_setting(learners.tune(_train(spark, d), G, "ord", [{"k": 3}, {"k": 9}], fit, n_folds=3), G)
+    return learners.best_setting(learners.tune(_train(spark, d), G, "ord", [{"k": 3}, {"k": 9}], fit), G)
 
 
 @query("late_fusion", None)
