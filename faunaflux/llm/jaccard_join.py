@@ -9,6 +9,7 @@ Buckets with many members are cut into blocks, and each pair of blocks is a grou
 Defined results: a null text is an empty one; a document without words links to nothing; one with fewer than five words is one shingle of all of
 them; rows that repeat an identifier are expected to repeat its text, and count as copies; a null identifier is kept as null and its documents form classes as others do. Classes are known by a 64-bit hash of the shingle set, identifiers are only labels:
 rows that share one, null among them, but not their words are apart. A label is the least identifier that is not null, and null only where all are.
+Very long texts are joined whole; a similarity of exactly the threshold is a link; extra columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
