@@ -20,6 +20,7 @@ from .resample import average_logits, stratified_folds
 
 SEED = 32639
 MOST_GROUPS = 10_000
+ONE_PARTITION = 100_000  # training rows of a group below which it is fitted in one partition
 
 
 def dummy(train: DataFrame, test: DataFrame, keys: list[str], y: str = "occ") -> DataFrame:
@@ -188,12 +189,14 @@ def per_group(name: str, train: DataFrame, test: DataFrame, keys: list[str], fea
     """
     own = [*keys, *features]
     a, b = (durable(t.select(*dict.fromkeys([*own, *more]))) for t, more in ((train, [y]), (test, [row])))
-    groups = a.groupBy(*keys).agg(F.min(y).alias("__low"), F.max(y).alias("__high")).limit(MOST_GROUPS + 1).collect()
+    groups = a.groupBy(*keys).agg(F.min(y).alias("__low"), F.max(y).alias("__high"), F.count("*").alias("__n")).limit(MOST_GROUPS + 1).collect()
     if len(groups) > MOST_GROUPS:
         raise DataError(f"more than {MOST_GROUPS} groups")
 
     def one(g) -> DataFrame:
-        here = lambda t: t.where(reduce(lambda m, k: m & F.col(k).eqNullSafe(F.lit(g[k])), keys, F.lit(True)))
+        of = lambda t: t.where(reduce(lambda m, k: m & F.col(k).eqNullSafe(F.lit(g[k])), keys, F.lit(True)))
+        # a small group is one partition: its many short rounds would be mostly scheduling
+        here = lambda t: of(t).coalesce(1) if g["__n"] <= ONE_PARTITION else of(t)
         p = here(b).select(row, d(float(g["__low"])).alias("p")) if g["__low"] == g["__high"] else fit_predict(name, here(a), here(b), features, row, y, **options)
         return p.select(*[F.lit(g[k]).alias(k) for k in keys], row, "p")
 

@@ -66,15 +66,16 @@ def logistic_gradient(spark, d):
     return t.groupBy(*G).agg(F.round(F.greatest(F.abs(F.sum("r")), *slopes), 5).alias("gradient"))
 
 
-def _mllib(name):
+def _mllib(name, keys):
     @query(f"model_{name.replace('-', '_')}", None)
     def run(spark, d):
-        """A model for each region and segment."""
-        return learners.per_group(name, _train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
+        """A model for each group of keys."""
+        return learners.per_group(name, _train(spark, d), _test(spark, d), keys, PREDICTORS, "ord")
 
 
-for _name in ("decision-tree", "random-forest-mllib", "gradient-boosting", "mlp-mllib", "linear-svc"):
-    _mllib(_name)
+# those of many short rounds have a model for each region, the others one for each region and segment
+for _name, _keys in (("decision-tree", G), ("random-forest-mllib", G), ("mlp-mllib", G), ("gradient-boosting", G[:1]), ("linear-svc", G[:1])):
+    _mllib(_name, _keys)
 
 
 @query("model_subsample_ensemble", None)

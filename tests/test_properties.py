@@ -45,7 +45,7 @@ def test_every_test_row_gets_a_probability(spark, occ, monkeypatch, name):
     monkeypatch.setattr(learners, "fit_predict", lambda model, *a, **o: real(model, *a, **(CHEAP.get(model, {}) | o)))
     got = rows(spark, name)
     both = {g for g in {(r.region, r.spid) for r in occ} if {r.part for r in occ if (r.region, r.spid) == g} == {"train", "test"}}
-    want = {r.ord for r in occ if r.part == "test" and (name == "late_fusion" or (r.region, r.spid) in both)}
+    want = {r.ord for r in occ if r.part == "test" and (name in ("late_fusion", "model_gradient_boosting", "model_linear_svc") or (r.region, r.spid) in both)}
     assert {r.ord for r in got} == want and len(got) == len(want)
     assert all(r.p is not None and 0 <= r.p <= 1 for r in got)
 
