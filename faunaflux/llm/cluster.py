@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table of Parquet files in the shared folder, of which only the columns asked for are read. delete() removes it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(table: DataFrame) -> None:
+    """Removes the files of a table of written() that nothing will read again."""
+    jvm = table.sparkSession._jvm
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for f in folders:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def rowed(docs: DataFrame) -> DataFrame:
     """docs with a key of each row in __row: a 64-bit hash of its place in its file, or a number kept in a checkpoint where there is no file."""
     try:
