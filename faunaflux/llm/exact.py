@@ -6,21 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMB = 32  # bits of a limb: 2**31 tasks can add theirs in a long
 CELLS = "cell long, limb int, value long"
 
 
-def usable(table: DataFrame, vec_col: str) -> DataFrame:
-    """Rows of table whose vector is not null, holds no null or non-finite component and has the length of most (the shortest of lengths equally common), with it as __v, array of doubles."""
+def usable(table: DataFrame, vec_col: str, *kept: Column) -> DataFrame:
+    """The columns kept, and v (array of doubles), of rows whose vector is not null, holds no null or non-finite component and has the length of most (the shortest of lengths equally common)."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = table.withColumn("__v", F.col(f"`{vec_col}`").cast("array<double>"))
-    rows = rows.where((F.size("__v") > 0) & F.forall("__v", fine))
+    rows = table.select(*kept, F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
+    rows = rows.where((F.size("v") > 0) & F.forall("v", fine))
     # one row
-    common = rows.groupBy(F.size("__v").alias("__d")).count().orderBy(F.desc("count"), "__d").limit(1).select("__d")
-    return rows.join(F.broadcast(common), F.size("__v") == F.col("__d")).drop("__d")
+    common = rows.groupBy(F.size("v").alias("_d")).count().orderBy(F.desc("count"), "_d").limit(1).select("_d")
+    return rows.join(F.broadcast(common), F.size("v") == F.col("_d")).drop("_d")
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -127,13 +127,13 @@ def find_splitters(rows: DataFrame, total: int, goals: list[tuple[int, int]], to
     return Splitters([c[0] for c in cuts], [c[2] for c in cuts], [c[1] for c in cuts], rounds)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __key, __size and __crc; texts are hashed as UTF-8."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """key, size, crc, _id and with carry _row, the whole row; texts are hashed as UTF-8."""
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
+    rows = rowed(docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *whole))
     half = lambda c: F.unhex(F.substring(F.md5(c.cast("binary")), 1, 16))
-    place = F.unhex(F.lpad(F.hex("__row"), 16, "0"))
-    key = F.concat(half(text), half(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), place)
-    return rowed(docs).withColumns({"__key": key, "__size": F.octet_length(text).cast("long") + OVERHEAD, "__crc": F.crc32(text.cast("binary"))}).drop("__row")
+    key = F.concat(half(F.col("text")), half(F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.unhex(F.lpad(F.hex("__row"), 16, "0")))
+    return rows.select(key.alias("key"), (F.octet_length("text").cast("long") + OVERHEAD).alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"), "_id", *(["_row"] if carry else []))
 
 
 def _placed(rows: DataFrame, total: int, n_rows: int, shards: int, tolerance: float, pieces: int) -> tuple[DataFrame, Splitters]:
@@ -160,9 +160,7 @@ def _placed(rows: DataFrame, total: int, n_rows: int, shards: int, tolerance: fl
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.0, pieces: int | None = None, carry: bool = False) -> DataFrame:
     """_id, size, crc, shard, slot of each row of docs, and with carry the whole row as _row. tolerance: share of a shard that its ends may be off, 0 for as near as whole rows allow."""
     spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
-    slim = durable(keyed.select(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__crc").alias("crc"), F.col(f"`{id_col}`").alias("_id"), *whole))
+    slim = durable(_keyed(docs, id_col, text_col, carry))
     total, n = slim.agg(F.sum("size"), F.count("*")).first()
     if not n:
         none = slim.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})

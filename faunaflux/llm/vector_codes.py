@@ -113,7 +113,7 @@ _STATE = "x binary, code binary, place binary, key binary, tally binary"
 def fit(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", parts: int = 16, entries: int = 64, rounds: int = 2, scale: float = 256.0) -> Codes | None:
     """Codes of the vectors of table, components floor(scale x component); entries at most 256. None if there is no vector."""
     spark = table.sparkSession
-    rows = exact.usable(table, vec_col).select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").alias("_label"), F.col("__v").alias("v"))
+    rows = exact.usable(table, vec_col, F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").alias("_label"))
     label = rows.schema["_label"].dataType.simpleString()
     seeds = rows.orderBy(F.col("_id").asc_nulls_last(), "v").limit(entries).select("v").toArrow()
     if not seeds.num_rows:

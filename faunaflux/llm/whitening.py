@@ -29,7 +29,7 @@ from .cluster import durable
 
 BLOCK = 8192  # vectors of a product: 2**13, so limbs of 20 bits keep sums of products below 2**53
 LIMB = 20
-RANK = 1e-12
+RANK = 1e-15  # of the largest variance; extended precision tells smaller ones from none
 EDGE = 2.0**62
 
 
@@ -111,7 +111,7 @@ def refined(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(table: DataFrame, vec_col: str = "embedding", components: int = 16, scale: float = 64.0, shift: int = 1_000_000) -> Whitening | None:
     """What whitens the vectors of table. None if there is no vector."""
-    rows = exact.usable(table, vec_col).select(F.col("__v").alias("v"))
+    rows = exact.usable(table, vec_col)
 
     def pack(batches):
         for b in batches:
@@ -208,7 +208,7 @@ def _identity_error(distinct: DataFrame, w: Whitening, d: int, shift: int) -> fl
 
 def whiten(table: DataFrame, w: Whitening, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0, shift: int = 1_000_000) -> DataFrame:
     """_id, deviation (long), whitened (array of double) of each row with a usable vector."""
-    rows = exact.usable(table, vec_col).select(F.col(f"`{id_col}`").alias("_id"), F.col("__v").alias("v"))
+    rows = exact.usable(table, vec_col, F.col(f"`{id_col}`").alias("_id"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
