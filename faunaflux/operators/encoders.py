@@ -161,7 +161,7 @@ class TemporalSummary(Encoder):
 
 
 class Fusion:
-    """Several encoded modalities (key, value) as one; rows must be the same in all of them. Modalities keep the order of fitting; absent ones drop out, new ones come last."""
+    """Several encoded modalities (key, value) as one; their keys must be the same in all of them, once each. Modalities keep the order of fitting; absent ones drop out, new ones come last."""
 
     name, trainable, supervised = "fusion", False, False
 
@@ -200,9 +200,11 @@ class Fusion:
     def _check(self, encoded) -> None:
         if not encoded:
             raise DataError("fusion needs a modality")
-        sizes = {n: df.count() for n, df in encoded.items()}
-        if len(set(sizes.values())) > 1:
-            raise DataError(f"modalities have other rows: {sizes}")
+        # one pass over all keys: each must come once from every modality
+        keys = reduce(DataFrame.unionByName, [df.select(F.col(self.key).alias("k"), F.lit(n).alias("n")) for n, df in encoded.items()])
+        uneven = keys.groupBy("k").agg(F.count("*").alias("rows"), F.count_distinct("n").alias("names")).where((F.col("rows") != len(encoded)) | (F.col("names") != len(encoded)) | F.col("k").isNull())
+        if odd := uneven.limit(3).collect():
+            raise DataError(f"modalities have other rows, or rows more than once: {', '.join(str(r.k) for r in odd)}")
 
     def _skill(self, encoded, y) -> dict[str, float]:
         """Area under the curve of a learner on each modality alone, on training rows."""
@@ -220,7 +222,7 @@ class Concat(Fusion):
 
 
 class Early(Fusion):
-    """Concatenation of z-scores, by the training rows."""
+    """Concatenation of z-scores, by the training rows; a modality that they did not have comes as it is."""
 
     name, trainable = "early", True
 
@@ -231,8 +233,8 @@ class Early(Fusion):
             self.moments[n] = [(r.m, r.s or 1.0) for r in t.orderBy("i").collect()]  # a row for each dimension
 
     def apply(self, t, names):
-        z = [F.array(*[(F.get(f"v_{n}", F.lit(i)) - d(m)) / d(s) for i, (m, s) in enumerate(self.moments[n])]) for n in names if n in self.moments]
-        return t.select(self.key, F.concat(*z).alias("value"))
+        scaled = lambda n: F.array(*[(F.get(f"v_{n}", F.lit(i)) - d(m)) / d(s) for i, (m, s) in enumerate(self.moments[n])])
+        return t.select(self.key, F.concat(*[scaled(n) if n in self.moments else F.col(f"v_{n}") for n in names]).alias("value"))
 
 
 class Weighted(Fusion):
@@ -248,23 +250,29 @@ class Weighted(Fusion):
 
 
 class Late(Fusion):
-    """A learner for each modality; value is its one probability, weighed by skill above chance."""
+    """A learner for each modality, fitted once; value is the one probability, the mean of those of the modalities that are there, weighed by skill above chance."""
 
     name, trainable, supervised = "late", True, True
 
     def learn(self, encoded, y):
         self.weights = features.modality_weights(self._skill(encoded, y))
-        self.train = {n: (df, y) for n, df in encoded.items()}
+        self.models = {}
+        for n, df in encoded.items():
+            width = df.agg(F.max(F.size("value"))).first()[0] or 0
+            cols = [f"f{i}" for i in range(width)]
+            self.models[n] = (cols, learners.logistic_fit(self._flat(df, "value", cols).join(y.select(self.key, "occ"), self.key), ["g"], cols))
+
+    def _flat(self, t, value, cols):
+        return t.select(self.key, *[F.get(value, F.lit(i)).alias(c) for i, c in enumerate(cols)]).withColumn("g", F.lit(1))
 
     def apply(self, t, names):
-        out = None
+        names = [n for n in names if n in self.models]
+        if not names:
+            raise DataError("late fusion has no modality that it was fitted on")
+        total, out = max(sum(self.weights[n] for n in names), 1e-12), None
         for n in names:
-            df, y = self.train[n]
-            width = df.agg(F.max(F.size("value"))).first()[0] or 0
-            cols = [f"f{i}" for i in range(width)]
-            flat = lambda x, v: x.select(self.key, *[F.get(v, F.lit(i)).alias(c) for i, c in enumerate(cols)]).withColumn("g", F.lit(1))
-            a = flat(df, "value").join(y.select(self.key, "occ"), self.key)
-            p = learners.logistic(a, flat(t, f"v_{n}"), ["g"], cols, self.key).select(self.key, (F.col("p") * d(self.weights[n])).alias("p"))
+            cols, model = self.models[n]
+            p = learners.logistic_apply(model, self._flat(t, f"v_{n}", cols), ["g"], cols, self.key).select(self.key, (F.col("p") * d(self.weights[n] / total)).alias("p"))
             out = p if out is None else out.unionByName(p)
         return out.groupBy(self.key).agg(F.array(F.sum("p")).alias("value"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, d, finite
 from ..lineage import durable
 from ..schemas import DataError, SkippableError
-from . import newton
+from . import newton, penalised, trees
 from .features import modality_weights
 from .metrics import compute_metrics, roc_auc
 from .resample import average_logits, stratified_folds
@@ -129,29 +129,33 @@ def mllib(name: str, **options):
     n = options.pop("n_train", None)
     if name == "logistic-regression":
         return c.LogisticRegression(maxIter=200, elasticNetParam=0.0, standardization=False, regParam=1.0 / n if n else 0.0, **options)
-    if name == "decision-tree":
-        return c.DecisionTreeClassifier(seed=SEED, **options)
-    if name == "random-forest-mllib":
-        return c.RandomForestClassifier(seed=SEED, **({"numTrees": 100} | options))
-    if name == "gradient-boosting":
-        return c.GBTClassifier(seed=SEED, **({"maxIter": 50} | options))
     if name == "mlp-mllib":
         return c.MultilayerPerceptronClassifier(seed=SEED, **options)
-    if name == "linear-svc":
-        return c.LinearSVC(**options)
     raise KeyError(f"unknown estimator {name!r}")
 
 
-def logistic(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", c: float = 1.0) -> DataFrame:
-    """keys, row, p: logistic regression of each group on features scaled by its training rows, least (slopes squared) / 2 + c x log-loss, by grouped Newton steps.
+def logistic_fit(train: DataFrame, keys: list[str], features: list[str], y: str = "occ", c: float = 1.0) -> DataFrame:
+    """keys, moments of the features and beta: logistic regression of each group on features scaled by its training rows, least (slopes squared) / 2 + c x log-loss, by grouped Newton steps.
 
-    Missing values of a feature count as the group's training mean, in both tables; a feature that does not vary counts 0. Groups of one class predict close to it.
+    Missing values of a feature count as the group's training mean; a feature that does not vary counts 0. Groups of one class predict close to it.
     """
-    moments = train.groupBy(*keys).agg(*[f(F.col(x)).alias(f"__{n}_{x}") for x in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    scaled = lambda t: t.join(moments, keys)
-    x = [F.when(F.col(f"__s_{f}") > 0, F.coalesce((finite(f) - F.col(f"__m_{f}")) / F.col(f"__s_{f}"), d(0))).otherwise(d(0)) for f in features]
-    beta = newton.fit(scaled(train), keys, x, F.col(y), ridge=1 / c)
-    return scaled(test).join(beta.drop("gradient"), keys).select(*keys, row, (d(1) / (d(1) + F.exp(-clip(newton.score(x), -500, 500)))).alias("p"))
+    moments = train.groupBy(*keys).agg(*[f(finite(x)).alias(f"__{n}_{x}") for x in features for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    beta = newton.fit(train.join(moments, keys), keys, _scaled(features), F.col(y), ridge=1 / c)
+    return durable(moments.join(beta.drop("gradient"), keys))
+
+
+def _scaled(features: list[str]) -> list:
+    return [F.when(F.col(f"__s_{f}") > 0, F.coalesce((finite(f) - F.col(f"__m_{f}")) / F.col(f"__s_{f}"), d(0))).otherwise(d(0)) for f in features]
+
+
+def logistic_apply(model: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str) -> DataFrame:
+    """keys, row, p by a model of logistic_fit()."""
+    return test.join(model, keys).select(*keys, row, (d(1) / (d(1) + F.exp(-clip(newton.score(_scaled(features)), -500, 500)))).alias("p"))
+
+
+def logistic(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", c: float = 1.0) -> DataFrame:
+    """keys, row, p: logistic regression of each group, fitted on train and applied to test."""
+    return logistic_apply(logistic_fit(train, keys, features, y, c), test, keys, features, row)
 
 
 def imputed(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -207,6 +211,19 @@ def per_group(name: str, train: DataFrame, test: DataFrame, keys: list[str], fea
     return reduce(DataFrame.unionByName, parts)
 
 
+def predict(name: str, train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, **options) -> DataFrame:
+    """keys, row, p by any model that is available; options are the learner's own."""
+    require_available(name)
+    if name == "dummy":
+        return dummy(train, test, keys).select(*keys, row, "p")
+    if name in trees.SPECS:
+        return trees.fit_predict(name, train, test, keys, features, row, **options)
+    if name in penalised.LEARNERS:
+        return penalised.fit_predict(name, train, test, keys, features, row, **options)
+    fit = {"gaussian-nb": gaussian_nb, "knn": knn, "adaboost": adaboost, "logistic-regression": logistic}.get(name)
+    return fit(train, test, keys, features, row, **options) if fit else per_group(name, train, test, keys, features, row, **options)
+
+
 def ensemble(members: DataFrame, test: DataFrame, keys: list[str], row: str, fit) -> DataFrame:
     """Mean of logits over members of p from fit(member training rows, member test rows, keys with member_id)."""
     k = members.select(*keys, "member_id").distinct()
@@ -228,10 +245,10 @@ def graph_smoothed(df: DataFrame, edges: DataFrame, keys: list[str], node: str,
 
 #: Models that need what is not in this environment, and why.
 UNAVAILABLE = {
-    **dict.fromkeys(["extra-trees", "svm", "xgboost", "lightgbm", "catboost", "residual-mlp", "wide-and-deep", "ft-transformer", "autoencoder", "vae", "contrastive", "gcn", "graphsage", "gatv2", "graph-transformer", "autogluon", "h2o", "flaml", "maxnet", "brt", "random-forest", "gam", "maxent-java", "mlp"], "SKIPPED_DEPENDENCY"),
+    **dict.fromkeys(["xgboost", "lightgbm", "catboost", "residual-mlp", "wide-and-deep", "ft-transformer", "autoencoder", "vae", "contrastive", "gcn", "graphsage", "gatv2", "graph-transformer", "autogluon", "h2o", "flaml", "maxent-java", "mlp"], "SKIPPED_DEPENDENCY"),
     **dict.fromkeys(["tabpfn", "tabpfn-real", "tabpfn-balanced", "tabpfn-subsample", "tabpfn-sdm", "tabpfn-sdm-spatial"], "SKIPPED_LICENSE"),
 }
-AVAILABLE = ("dummy", "gaussian-nb", "knn", "adaboost", "logistic-regression", "decision-tree", "random-forest-mllib", "gradient-boosting", "mlp-mllib", "linear-svc")
+AVAILABLE = ("dummy", "gaussian-nb", "knn", "adaboost", "logistic-regression", "decision-tree", "random-forest-mllib", "random-forest", "extra-trees", "gradient-boosting", "brt", "maxnet", "gam", "svm", "linear-svc", "mlp-mllib")
 
 
 def require_available(name: str) -> None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import graphs, learners, metrics, newton, objectives, report, resample, tasks
+from ..operators import graphs, grouped, learners, metrics, newton, objectives, penalised, report, resample, tasks, trees
 from . import views
 from .benchmarks import RunConfig, provenance
 from .catalogue import query
@@ -66,16 +67,102 @@ def logistic_gradient(spark, d):
     return t.groupBy(*G).agg(F.round(F.greatest(F.abs(F.sum("r")), *slopes), 5).alias("gradient"))
 
 
-def _mllib(name, keys):
+def _model(name):
     @query(f"model_{name.replace('-', '_')}", None)
     def run(spark, d):
-        """A model for each group of keys."""
-        return learners.per_group(name, _train(spark, d), _test(spark, d), keys, PREDICTORS, "ord")
+        """A model for each region and species."""
+        return learners.predict(name, _train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
 
 
-# those of many short rounds have a model for each region, the others one for each region and segment
-for _name, _keys in (("decision-tree", G), ("random-forest-mllib", G), ("mlp-mllib", G), ("gradient-boosting", G[:1]), ("linear-svc", G[:1])):
-    _mllib(_name, _keys)
+for _name in ("decision-tree", "random-forest-mllib", "random-forest", "extra-trees", "gradient-boosting", "brt", "maxnet", "gam", "svm", "linear-svc", "mlp-mllib"):
+    _model(_name)
+
+
+LONG = ", v AS (SELECT region, spid, occ, unnest([0, 1, 2]) AS f, unnest([price, acct, age]) AS x FROM occ WHERE part = 'train'), n AS (SELECT *, row_number() OVER (PARTITION BY region, spid, f ORDER BY x) AS r, count(*) OVER w AS n, max(x) OVER w AS top FROM v WINDOW w AS (PARTITION BY region, spid, f))"
+
+
+#: The tree of one split: of all cuts at 63 quantiles of each feature, the one that takes most from the squared error.
+@query("tree_stump", LONG + """, e AS (SELECT DISTINCT region, spid, f, x AS cut FROM n JOIN (SELECT unnest(range(1, 64)) AS k) q ON r = ceil(k * n / 64.0) WHERE x < top),
+s AS (SELECT e.region, e.spid, e.f, cut, sum(occ) FILTER (x <= cut)::double AS sl, count(*) FILTER (x <= cut) AS wl, sum(occ)::double AS st, count(*) AS wt FROM e JOIN v ON e.region = v.region AND e.spid = v.spid AND e.f = v.f GROUP BY ALL),
+g AS (SELECT *, sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) - st * st / wt AS gain FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY region, spid ORDER BY round(gain / top, 9) DESC, f, cut) AS best FROM (SELECT *, max(gain) OVER (PARTITION BY region, spid) AS top FROM g))
+SELECT region, spid, f::int AS feature, round(cut, 6) AS cut, round(sl / wl, 6) AS p_low, round((st - sl) / (wt - wl), 6) AS p_high, wl::double AS n_low FROM b WHERE best = 1 AND gain > 1e-9""", OCC)
+def tree_stump(spark, d):
+    t = trees.fit(_train(spark, d), G, PREDICTORS, "ord", trees.Spec(depth=1)).where(F.size("value") > 1)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return t.select(*G, at("feature", 0).alias("feature"), at("threshold", 0).alias("cut"), at("value", 1).alias("p_low"), at("value", 2).alias("p_high"), at("cover", 1).alias("n_low"))
+
+
+def _draw_sql(tree):
+    a, c = trees.draw_numbers(scalar.SEED, tree)
+    return f"(h * {a} + {c}) % {trees.PRIME} + 0.5"
+
+
+#: How many background rows and presences the first three trees of a down-sampled forest take, by the draws' arithmetic.
+@query("forest_draws", ", r AS (SELECT region, spid, occ, ('0x' || md5('32639|' || ord::varchar)[:8])::bigint % 2147483647 AS h FROM occ WHERE part = 'train'), c AS (SELECT region, spid, sum(occ)::double AS p, count(*) - sum(occ) AS b FROM r GROUP BY ALL), u AS (" + " UNION ALL ".join(f"SELECT *, {t} AS tree, ({_draw_sql(t)}) / 2147483647 AS u FROM r" for t in range(3)) + """),
+m AS (SELECT u.*, CASE WHEN occ = 1 THEN 1.0::double ELSE p / greatest(b, 1) END AS l FROM u JOIN c USING (region, spid)), t AS (SELECT region, spid, tree, occ, list_sum(list_transform(range(1, 21), lambda k: CASE WHEN u >= list_sum(list_transform(range(0, k), lambda j: exp(-l) * pow(l, j) / factorial(j::int))) THEN 1 ELSE 0 END)) AS times FROM m)
+SELECT region, spid, tree::int AS tree, sum(times) FILTER (occ = 1)::double AS presences, coalesce(sum(times) FILTER (occ = 0), 0)::double AS background FROM t GROUP BY ALL HAVING sum(occ) > 0""", OCC)
+def forest_draws(spark, d):
+    spec = trees.Spec(trees=3, draw="balanced", depth=0)
+    train = _train(spark, d)
+    n = train.groupBy(*G).agg(F.sum("occ").cast("double").alias("__p"), F.count_if(F.col("occ") == 0).cast("double").alias("__b"))
+    rows = train.join(n, G).select(*G, "occ", "__p", "__b", trees.row_hash("ord").alias("h"))
+
+    def take(batches):
+        for t in batches:
+            for tree in range(3):
+                out = t[[*G, "occ"]].copy()
+                out["tree"] = tree
+                mean = np.where(t["occ"] == 1, 1.0, t["__p"] / np.maximum(t["__b"], 1))
+                out["times"] = trees.poisson(trees.uniform(t["h"].to_numpy(), spec.seed, tree), mean)
+                yield out
+
+    t = rows.mapInPandas(take, "region string, spid string, occ int, tree int, times double")
+    sums = t.groupBy(*G, "tree").agg(F.sum(F.when(F.col("occ") == 1, F.col("times"))).alias("presences"), F.coalesce(F.sum(F.when(F.col("occ") == 0, F.col("times"))), F.lit(0.0)).alias("background"))
+    return sums.where("presences is not null")
+
+
+def _rest(spark, d, name, off):
+    """How far the fitted model of each group is from where its penalised likelihood is greatest, per presence, at four digits: off(learner, model, x, y)."""
+    learner = penalised.LEARNERS[name]()
+    train = _train(spark, d)
+    model = grouped.fit(train, G, PREDICTORS, learner)
+    by = lambda t: t.groupBy(*G)
+
+    def run(rows, of):
+        y = rows["occ"].to_numpy(float)
+        out = rows[G].iloc[:1].copy()
+        out["n"], out["rest"] = len(rows), round(off(learner, np.asarray(of["beta"].iloc[0]), rows[PREDICTORS].to_numpy(float), y) / max(y.sum(), 1), 4) + 0.0
+        return out
+
+    return by(train).cogroup(by(model)).applyInPandas(run, "region string, spid string, n long, rest double")
+
+
+REST = ", g AS (SELECT region, spid, count(*) AS n FROM occ WHERE part = 'train' GROUP BY ALL) SELECT region, spid, n, 0.0::double AS rest FROM g"
+
+
+@query("maxnet_rest", REST, OCC)
+def maxnet_rest(spark, d):
+    """By how much the conditions of the L1-penalised optimum are missed."""
+
+    def off(learner, model, x, y):
+        f, beta = learner.design(model, x), learner.parts(model, 3)[5]
+        q = penalised.expit(f @ beta)
+        moments = np.stack([f[y == 1].sum(0), (f[y == 1] ** 2).sum(0)])[:, 1:]
+        return penalised.kkt(beta, f.T @ (y - (y + penalised.BACKGROUND) * q), np.r_[0, learner.penalties(moments, y.sum())])
+
+    return _rest(spark, d, "maxnet", off)
+
+
+@query("gam_rest", REST, OCC)
+def gam_rest(spark, d):
+    """The largest part of the penalised likelihood's gradient."""
+
+    def off(learner, model, x, y):
+        ends, strength, beta = learner.parts(model, 3)
+        f = learner.design(x, ends)
+        return np.abs(f.T @ (y - penalised.expit(f @ beta)) - np.tensordot(strength, learner.penalty(3), 1) @ beta).max()
+
+    return _rest(spark, d, "gam", off)
 
 
 @query("model_subsample_ensemble", None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.metadata
 from collections.abc import Callable, Iterator
+from functools import partial
 from dataclasses import dataclass
 
 from ..operators import encoders, features, graphs, learners, objectives
@@ -73,7 +74,7 @@ for _n, _f in (("geographic-knn", graphs.geographic_knn), ("geographic-radius",
 for _n, _f in (("bce", objectives.bce), ("weighted-bce", objectives.weighted_bce), ("focal", objectives.focal), ("pairwise-ranking", objectives.pairwise_ranking), ("maxent", objectives.maxent), ("poisson", objectives.poisson), ("deepmaxent", objectives.deep_maxent)):
     OBJECTIVES.add(_n, _f)
 for _n in learners.AVAILABLE:
-    MODELS.add(_n, learners.logistic if _n == "logistic-regression" else getattr(learners, _n.replace("-", "_"), learners.per_group), accepts=("tabular",))
+    MODELS.add(_n, partial(learners.predict, _n), accepts=("tabular",))
 for _n, _s in learners.UNAVAILABLE.items():
     MODELS.add(_n, None, accepts=("tabular", "graph") if _n in ("gcn", "graphsage", "gatv2", "graph-transformer") else ("tabular",), note=_s)
 

@@ -17,8 +17,15 @@ from .schemas import SkippableError, as_results
 
 KEYS = ["region", "spid"]
 #: Families of models, and settings that the protocol gives them.
-FAMILIES = {"dummy": "baseline", "gaussian-nb": "classical", "knn": "classical", "logistic-regression": "classical", "decision-tree": "classical", "linear-svc": "classical", "random-forest-mllib": "ensemble", "gradient-boosting": "boosting", "adaboost": "boosting", "mlp-mllib": "neural"}
-MODEL_OPTIONS = {"random-forest-mllib": {"numTrees": 100}, "gradient-boosting": {"maxIter": 50}, "adaboost": {"rounds": 50}, "knn": {"k": 5}}
+FAMILIES = {
+    **dict.fromkeys(["dummy"], "baseline"),
+    **dict.fromkeys(["gaussian-nb", "knn", "logistic-regression", "decision-tree", "svm", "linear-svc"], "classical"),
+    **dict.fromkeys(["random-forest", "random-forest-mllib", "extra-trees"], "ensemble"),
+    **dict.fromkeys(["gradient-boosting", "adaboost", "brt"], "boosting"),
+    **dict.fromkeys(["maxnet", "gam"], "statistical"),
+    "mlp-mllib": "neural",
+}
+MODEL_OPTIONS = {"random-forest-mllib": {"trees": 100}, "random-forest": {"trees": 1000}, "extra-trees": {"trees": 1000}, "gradient-boosting": {"trees": 50}, "brt": {"trees": 10_000, "rate": 0.001, "bag": 0.75, "folds": 5}, "maxnet": {"classes": "lqpht", "multiplier": 1.0}, "gam": {"k": 10}, "adaboost": {"rounds": 50}, "knn": {"k": 5}}
 
 
 class Benchmark:
@@ -42,13 +49,9 @@ class Benchmark:
         train = spatial.apply_buffer(self.train, self.test, KEYS, self.buffer_m, self.geographic) if scenario == "spatial" else self.train
         return audit.audit(train, self.test, KEYS, self.predictors, self.buffer_m if scenario == "spatial" else None, self.geographic)
 
-    def predict(self, model: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    def predict(self, model: str, train: DataFrame, test: DataFrame, **options) -> DataFrame:
         """KEYS, siteid, p of a model for each region and species."""
-        learners.require_available(model)
-        if model == "dummy":
-            return learners.dummy(train, test, KEYS).select(*KEYS, "siteid", "p")
-        fit = {"gaussian-nb": learners.gaussian_nb, "knn": learners.knn, "adaboost": learners.adaboost, "logistic-regression": learners.logistic}.get(model)
-        return fit(train, test, KEYS, self.predictors, "siteid") if fit else learners.per_group(model, train, test, KEYS, self.predictors, "siteid")
+        return learners.predict(model, train, test, KEYS, self.predictors, "siteid", **options)
 
     def tasks(self, species: list[str] | None = None, most: int | None = None) -> DataFrame:
         """The (region, spid) that would run, in order: all, those asked for, or the first so many."""
@@ -64,36 +67,50 @@ class Benchmark:
         """Settings that the protocol gives a model; none for most."""
         return dict(MODEL_OPTIONS.get(model, {}))
 
-    def run(self, models: list[str], scenarios: tuple[str, ...] = ("nonspatial",), wanted=metrics.PUBLISHED, done: DataFrame | None = None, include_failed: bool = True) -> DataFrame:
-        """A result row for each job; models that are not available give typed skips, models that raise an error FAILED rows; jobs that are done are left out.
+    def run(self, models: list[str], scenarios: tuple[str, ...] = ("nonspatial",), wanted=metrics.PUBLISHED, done: DataFrame | None = None, include_failed: bool = True, options: dict[str, dict] | None = None) -> DataFrame:
+        """A result row for each job that is not done: models that are not available give typed skips, models that raise an error FAILED rows.
 
-        A model's predictions are written before they are scored, so fit_seconds is the time to fit and predict all species, and an error stays with its model.
+        Jobs of done are taken away before anything is fitted: a model sees the rows of species it still has to do, and is not started if there are none. options: of models by name, over
+        those of the protocol. A model's predictions are written before they are scored, so fit_seconds is the time to fit and predict all species, and an error stays with its model.
         """
         run_id, parts = f"run-{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}", []
         species = self.test.select(*KEYS).distinct()
+        finished = None if done is None else durable(report.completed(done, include_failed).select("job_id"))
         for scenario in scenarios:
             train, test = (durable(t) for t in self.prepare(scenario))
             state = durable(self.audit(scenario).select(*KEYS, F.col("status").alias("audit_status")).join(self._sizes(train, test, scenario), KEYS, "left"))
             for model in models:
+                settings = {**self.model_options(model), **(options or {}).get(model, {})}
+                todo, a, b = species, train, test
+                if finished is not None:
+                    job = job_id(F.lit(self.name), F.lit(scenario), "region", "spid", F.lit(model))
+                    todo = durable(species.withColumn("job_id", job).join(finished, "job_id", "left_anti").drop("job_id"))
+                    if todo.isEmpty():
+                        continue
+                    a, b = (t.join(todo, KEYS, "left_semi") for t in (train, test))
                 began = time.time()
                 try:
-                    p = durable(self.predict(model, train, test).select(*KEYS, "siteid", "p").join(test.select(*KEYS, "siteid", F.col("occ").alias("y")), [*KEYS, "siteid"]))
-                    rows = species.join(metrics.compute_metrics(p, KEYS, wanted), KEYS, "left").join(p.groupBy(*KEYS).agg(F.count("*").alias("n_test")), KEYS, "left")
+                    p = durable(self.predict(model, a, b, **settings).select(*KEYS, "siteid", "p").join(b.select(*KEYS, "siteid", F.col("occ").alias("y")), [*KEYS, "siteid"]))
+                    rows = todo.join(metrics.compute_metrics(p, KEYS, wanted), KEYS, "left").join(p.groupBy(*KEYS).agg(F.count("*").alias("n_test")), KEYS, "left")
                     rows = rows.withColumn("status", F.when(F.col("n_test").isNull(), "SKIPPED_DATA").otherwise("OK"))
                     rows = rows.withColumn("metrics_json", F.when(F.col("status") == "OK", F.to_json(F.struct(*wanted))))
                 except SkippableError as why:
-                    rows = species.withColumn("status", F.lit(why.status)).withColumn("error", F.lit(str(why)))
+                    rows = todo.withColumn("status", F.lit(why.status)).withColumn("error", F.lit(str(why)))
                 except Exception as why:  # one model's failure is its own row, not the end of the run
-                    rows = species.withColumn("status", F.lit("FAILED")).withColumn("error", F.lit(f"{type(why).__name__}: {str(why)[:500]}")).withColumn("error_class", F.lit(type(why).__name__))
+                    rows = todo.withColumn("status", F.lit("FAILED")).withColumn("error", F.lit(f"{type(why).__name__}: {str(why)[:500]}")).withColumn("error_class", F.lit(type(why).__name__))
                 took = time.time() - began
                 rows = rows.join(state, KEYS, "left").withColumn("model_name", F.lit(model)).withColumn("scenario", F.lit(scenario)).withColumn("fit_seconds", F.lit(took)).withColumn("total_seconds", F.lit(took))
                 rows = rows.withColumn("family", F.lit(FAMILIES.get(model, "other"))).withColumn("device", F.lit("cpu")).withColumn("seed", F.lit(SEED)).withColumn("split_id", F.lit(scenario)).withColumn("model_version", F.lit(rows.sparkSession.version))
-                rows = rows.withColumn("params", F.lit(json.dumps(self.model_options(model)))).withColumn("model_config_hash", F.lit(report.hash_json([model, self.model_options(model), self.predictors])))
+                rows = rows.withColumn("params", F.lit(json.dumps(settings))).withColumn("model_config_hash", F.lit(report.hash_json([model, settings, self.predictors])))
                 parts.append(as_results(rows.withColumnRenamed("spid", "species_id").withColumn("run_id", F.lit(run_id)).withColumn("benchmark_id", F.lit(self.name)).withColumn("job_id", job_id(F.lit(self.name), "scenario", "region", "species_id", "model_name")).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))))
-        out = parts[0]
+        out = parts[0] if parts else as_results(self._nothing(species))
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out if done is None else report.pending(out, done, include_failed)
+        return out
+
+    @staticmethod
+    def _nothing(species: DataFrame) -> DataFrame:
+        return species.limit(0).withColumnRenamed("spid", "species_id")
 
     @staticmethod
     def _sizes(train: DataFrame, test: DataFrame, scenario: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sends the package to Python workers of a cluster whose machines do not have it installed."""
+"""Sends the package to Python workers, which have it only if it is installed on their machines or in the folder they start in."""
 
 from __future__ import annotations
 
@@ -23,9 +23,9 @@ def archive(root: str, path: str) -> str:
 
 
 def ship(spark: SparkSession, root: str) -> None:
-    """Once for each application, and not in local mode, where workers inherit the driver's path: addPyFile copies the file to all executors."""
+    """Once for each application: addPyFile copies the file to all executors. Workers of a local session need it, too: what the driver adds to its own path does not reach them."""
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or (sc.master.startswith("local") and "local-cluster" not in sc.master):
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     sc.addPyFile(archive(root, os.path.join(tempfile.mkdtemp(prefix="faunaflux-code-"), "faunaflux.zip")))

@@ -73,6 +73,52 @@ def test_fusion(spark):
     assert up > down and abs(sum(late.modality_importance().values()) - 1) < 1e-9
 
 
+def test_fusion_of_other_rows_absent_and_new_modalities(spark):
+    t = table(spark)
+    train, test = t.where("id < 40"), t.where("id >= 40")
+    one, two = (encoders.Raw("id", c).fit(train) for c in (["a"], ["b", "c"]))
+    a, b = ({"x": one.transform(s), "y": two.transform(s)} for s in (train, test))
+    shifted = a["y"].withColumn("id", F.col("id") + 1)  # as many rows, one key of them another
+    for odd in (shifted, a["y"].unionByName(a["y"].limit(1)), a["y"].where("id > 0").unionByName(a["y"].where("id = 1"))):
+        with pytest.raises(DataError):
+            encoders.Concat("id").fit({"x": a["x"], "y": odd})
+    # early: what was not fitted comes last, as it is
+    early = encoders.Early("id").fit({"y": a["y"]})
+    both, alone, plain = values(early.transform(b)), values(early.transform({"y": b["y"]})), values(b["x"])
+    assert all(both[i] == [*alone[i], *plain[i]] for i in both)
+    # late: one modality alone is its own learner, whatever its weight was among two
+    late = encoders.Late("id").fit(a, train)
+    both = values(late.transform(b))
+    parts = {m: values(late.transform({m: b[m]})) for m in b}
+    w = late.modality_importance()
+    assert all(both[i][0] == pytest.approx(sum(w[m] * parts[m][i][0] for m in b)) for i in both)
+    only = values(encoders.Late("id").fit({"x": a["x"]}, train).transform({"x": b["x"]}))
+    assert all(parts["x"][i][0] == pytest.approx(only[i][0], abs=1e-9) for i in only)
+    with pytest.raises(DataError):
+        late.transform({"z": b["x"]})
+
+
+def test_finished_jobs_are_not_fitted_again_and_options_reach_the_model(spark, monkeypatch):
+    t = rows_of(spark, 80)
+    b = Benchmark(t.where("x < 60"), t.where("x >= 60"), ["a", "b"])
+    fits, real = [], learners.predict
+    monkeypatch.setattr(learners, "predict", lambda name, train, test, *a, **o: fits.append((name, sorted({r.spid for r in train.select("spid").distinct().collect()}), o)) or real(name, train, test, *a, **o))
+    first = b.run(["dummy", "random-forest-mllib"], options={"random-forest-mllib": {"trees": 3}})
+    rows = first.collect()
+    assert fits == [("dummy", ["u", "v"], {}), ("random-forest-mllib", ["u", "v"], {"trees": 3})]
+    assert {json.loads(r.params).get("trees") for r in rows} == {None, 3}
+    fits.clear()
+    done = spark.createDataFrame([r for r in rows if (r.model_name, r.species_id) != ("dummy", "v")], first.schema)
+    again = b.run(["dummy", "random-forest-mllib"], done=done).collect()
+    assert [(r.model_name, r.species_id) for r in again] == [("dummy", "v")] and fits == [("dummy", ["v"], {})]
+    fits.clear()
+    assert b.run(["dummy"], done=first).count() == 0 and fits == []
+    # the forest has as many trees as it was told
+    from faunaflux.operators import trees
+
+    assert trees.fit(t, ["region", "spid"], ["a", "b"], "siteid", trees.SPECS["random-forest-mllib"]._replace(trees=3, features=1)).groupBy("spid").count().where("count != 3").count() == 0
+
+
 def test_registries_name_classes():
     assert registry.ENCODERS.get("pca").make is encoders.Pca and registry.FUSIONS.get("late").make is encoders.Late
     assert {m.encoder for m in registry.STANDARD_MODALITIES.values()} <= set(registry.ENCODERS)
@@ -183,14 +229,14 @@ def test_grouped_logistic_regression(spark):
 
 def test_models_by_species_keep_all_rows(spark):
     t = rows_of(spark, 80)
-    got = learners.per_group("decision-tree", t, t, ["region", "spid"], ["a", "b"], "siteid")
+    got = learners.per_group("mlp-mllib", t, t, ["region", "spid"], ["a", "b"], "siteid", maxIter=3)
     assert got.count() == 160 and got.where("p is null").count() == 0
 
 
 def test_a_model_that_fails_gives_failed_rows(spark, monkeypatch):
     t = rows_of(spark, 80)
 
-    def broken(*_):
+    def broken(*_, **__):
         raise ValueError("no")
 
     monkeypatch.setattr(learners, "gaussian_nb", broken)

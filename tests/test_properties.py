@@ -32,20 +32,20 @@ def t_tail(t, df):
     return 1 - np.trapezoid(np.exp(log - (df + 1) / 2 * np.log1p(x * x / df)), x)
 
 
-MODELS = ["model_adaboost", "model_decision_tree", "model_gradient_boosting", "model_linear_svc", "model_logistic_regression", "model_mlp_mllib", "model_random_forest_mllib", "model_subsample_ensemble", "late_fusion"]
+MODELS = ["model_adaboost", "model_brt", "model_decision_tree", "model_extra_trees", "model_gam", "model_gradient_boosting", "model_linear_svc", "model_logistic_regression", "model_maxnet", "model_mlp_mllib", "model_random_forest", "model_random_forest_mllib", "model_subsample_ensemble", "model_svm", "late_fusion"]
 
 
 #: Few rounds and trees, as each of 25 groups has a model of its own here.
-CHEAP = {"random-forest-mllib": {"numTrees": 2}, "gradient-boosting": {"maxIter": 1}, "mlp-mllib": {"maxIter": 3}, "linear-svc": {"maxIter": 3}, "decision-tree": {"maxDepth": 2}}
+CHEAP = {"random-forest": {"trees": 3}, "extra-trees": {"trees": 3}, "brt": {"trees": 50}, "mlp-mllib": {"maxIter": 3}}
 
 
 @pytest.mark.parametrize("name", MODELS)
 def test_every_test_row_gets_a_probability(spark, occ, monkeypatch, name):
-    real = learners.fit_predict
-    monkeypatch.setattr(learners, "fit_predict", lambda model, *a, **o: real(model, *a, **(CHEAP.get(model, {}) | o)))
+    real = learners.predict
+    monkeypatch.setattr(learners, "predict", lambda model, *a, **o: real(model, *a, **(CHEAP.get(model, {}) | o)))
     got = rows(spark, name)
     both = {g for g in {(r.region, r.spid) for r in occ} if {r.part for r in occ if (r.region, r.spid) == g} == {"train", "test"}}
-    want = {r.ord for r in occ if r.part == "test" and (name in ("late_fusion", "model_gradient_boosting", "model_linear_svc") or (r.region, r.spid) in both)}
+    want = {r.ord for r in occ if r.part == "test" and (name == "late_fusion" or (r.region, r.spid) in both)}
     assert {r.ord for r in got} == want and len(got) == len(want)
     assert all(r.p is not None and 0 <= r.p <= 1 for r in got)
 

@@ -12,12 +12,12 @@ SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 QUERIES, _ = catalogue.load()
 
 
-@pytest.mark.parametrize("name", ["random-forest-mllib", "gradient-boosting", "mlp-mllib", "linear-svc"])
+@pytest.mark.parametrize("name", ["decision-tree", "random-forest-mllib", "random-forest", "extra-trees", "gradient-boosting", "brt", "maxnet", "gam", "svm", "linear-svc", "mlp-mllib"])
 def test_learners(spark, monkeypatch, name):
     seen = {}
-    monkeypatch.setattr(learners, "per_group", lambda n, train, test, *a, **options: seen.update({n: options}) or test)
+    monkeypatch.setattr(learners, "predict", lambda n, train, test, keys, *a, **options: seen.update({n: (keys, options)}) or test)
     QUERIES[f"model_{name.replace('-', '_')}"](spark, SMALL)
-    assert seen == {name: {}}
+    assert seen == {name: (["region", "spid"], {})}
 
 
 @pytest.mark.parametrize("name", ["bootstrap_ci", "compare_models"])

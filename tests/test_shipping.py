@@ -1,4 +1,4 @@
-"""The package as a zip file, without the corpus operators as with them, can be imported; local sessions are left alone."""
+"""The package as a zip file, without the corpus operators as with them, can be imported; queries run from any folder."""
 
 import os
 import subprocess
@@ -17,6 +17,16 @@ def test_archive_can_be_imported(tmp_path):
     assert "faunaflux.zip" in done.stdout
 
 
-def test_local_sessions_get_nothing(spark):
-    shipping.ship(spark, ROOT)
-    assert spark.sparkContext.applicationId not in shipping._SHIPPED
+def test_queries_with_python_workers_run_from_another_folder(tmp_path):
+    """A fresh process in an empty folder, which knows the repository by its path alone."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", e.queries()["logistic_gradient"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "rows 25" in done.stdout, done.stderr[-2000:]
