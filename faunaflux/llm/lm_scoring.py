@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .cluster import durable, keyed, partitions, real_id, rowed
 from .language_id import fold
-from .lm_trie import Trie, restore
+from .lm_trie import Trie, least, restore
 from .packing import narrow, pack, pack_sorted, unpack, unpack_sorted
 
 BLOCK_BYTES = 8 << 20
 END = np.uint64(0x5E0FD0C5E0FD0C55)
 MU = 4.0  # weight of the shorter context
+MERGE = 1 << 20  # tokens of a bucket that wait to be added up
 SHARE = 4  # a context that is more frequent than a bucket's share over this is spread
 _SPREAD = bs.stream(3, 61)
 
@@ -57,6 +58,17 @@ def _table(schema: dict, rows: list[tuple]) -> pa.Table:
     return pa.table({k: pa.array(c, t) for (k, t), c in zip(schema.items(), cols, strict=True)})
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return h, np.bincount(where, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.uint64)  # exact below 2**53
+
+
+def _bucket(bucket: int | None, parts: list):
+    if parts:
+        h, n = _added(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([pack(h)], pa.binary()), pa.array([pack(n)], pa.binary()), pa.array([int(n.sum())]), pa.array([len(h)])], ["bucket", "hashes", "counts", "n", "v"])
+
+
 def unigrams(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, hashes, counts (packed), n, v: the training counts of each bucket."""
 
@@ -67,17 +79,21 @@ def unigrams(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array([pack(x[order[first[k] : first[k + 1]]]) for k in range(len(some))], pa.binary()) for x in (h, n.astype(np.uint64)))], ["bucket", "hashes", "counts"])
 
     def add(batches):
-        total: dict[int, list] = {}
+        # buckets come one after another; of one, what was added up and a like amount more is held
+        bucket, held, more = None, [], 0
         for b in batches:
             for k, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                total.setdefault(k, []).append((unpack(h), unpack(n)))
-        for k, parts in total.items():
-            h, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.uint64)  # exact below 2**53
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack(h)], pa.binary()), pa.array([pack(n)], pa.binary()), pa.array([int(n.sum())]), pa.array([len(h)])], ["bucket", "hashes", "counts", "n", "v"])
+                if k != bucket:
+                    yield from _bucket(bucket, held)
+                    bucket, held, more = k, [], 0
+                held.append((unpack(h), unpack(n)))
+                more += len(held[-1][0])
+                if more > MERGE + 2 * len(held[0][0]):
+                    held, more = [_added(held)], 0
+        yield from _bucket(bucket, held)
 
     packed = docs.select("_text").mapInArrow(count, "bucket long, hashes binary, counts binary")
-    return packed.repartition("bucket").mapInArrow(add, "bucket long, hashes binary, counts binary, n long, v long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "bucket long, hashes binary, counts binary, n long, v long")
 
 
 class _Block:
@@ -184,7 +200,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     words = durable(unigrams(texts.where("__train"), buckets))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     texts = texts.withColumn("block", F.pmod(F.xxhash64("__row"), F.lit(blocks))).drop("__row")
-    hot = n / (SHARE * buckets)
+    hot, low_end = n / (SHARE * buckets), least(n)
 
     def ask(t: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t.column("_text"), buckets)
@@ -244,7 +260,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         pair, word, n3, w_at = _distinct(np.repeat(t_at, run).astype(np.uint64), join([unpack(r[4]) for r in three]), join([unpack(r[5]) for r in three]))
         pair = pair.astype(np.int64)
         p, w = pn > 0, n3 > 0
-        trie = Trie((pu[p], pv[p], pn[p] / max(n, 1)), (tu[pair[w]], tv[pair[w]], word[w], n3[w] / max(n, 1)))
+        trie = Trie((pu[p], pv[p], pn[p] / max(n, 1)), (tu[pair[w]], tv[pair[w]], word[w], n3[w] / max(n, 1)), low_end)
         codes = trie.pairs(pu, pv)[p_at], trie.triples(tu[pair], tv[pair], word)[w_at]
         trie.close()
         out = []
@@ -265,7 +281,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         joint = []
         for k, (_, order, _, _) in enumerate(b.asked(number, count, hot, buckets)):
             p = np.empty(len(order))
-            p[order] = restore(b.codes(replies, 2 + k)) * n
+            p[order] = restore(b.codes(replies, 2 + k), low_end) * n
             joint.append(p)
         low = (count[b.place].astype(np.float64) + 1) / (n + v + 1)
         context = count[(b.pair >> np.uint64(32)).astype(np.int64)].astype(np.float64)

@@ -4,33 +4,41 @@ Level 1 holds the first words of the shard, level 2 the words that follow each o
 relative to its context: rank of the context x size of the vocabulary + word, so a whole level is one rising sequence, kept as Elias-Fano: low bits packed, high
 bits in unary, with a count of ones for every 64 bits. Pointers from a context to its successors are such sequences, too. A lookup finds the context, takes from the pointers where
 its successors begin and end, and searches the first one that is not smaller among those with the same high bits; nothing is expanded. Joint
-probabilities of pairs and triples are quantised on a logarithmic grid of 16 bits.
+probabilities of pairs and triples are quantised on a logarithmic grid of 16 bits, which begins at the probability of what occurs once.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 
 BITS = 16  # of a quantised probability; code 0: none
-LEAST = -12.0  # log10 of the least probability on the grid
 NEAR = 2  # elements that are looked at one after another before a search by halves
 U = np.uint64
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    step = -LEAST / ((1 << BITS) - 2)
-    return np.clip(np.rint((np.log10(np.maximum(p, 1e-300)) - LEAST) / step) + 1, 1, (1 << BITS) - 1).astype(np.uint16)
+def least(n: int) -> float:
+    """log10 of the least probability on the grid: that of what occurs once among n, so no count is raised to a floor."""
+    return -float(np.log10(max(n, 10)))
 
 
-_GRID = np.concatenate([[0.0], 10.0 ** (np.arange((1 << BITS) - 1) * (-LEAST / ((1 << BITS) - 2)) + LEAST)])
+def quantise(p: np.ndarray, low: float) -> np.ndarray:
+    """Codes of probabilities on the grid from 10**low to 1."""
+    step = -low / ((1 << BITS) - 2)
+    return np.clip(np.rint((np.log10(np.maximum(p, 1e-300)) - low) / step) + 1, 1, (1 << BITS) - 1).astype(np.uint16)
 
 
-def restore(code: np.ndarray) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _grid(low: float) -> np.ndarray:
+    return np.concatenate([[0.0], 10.0 ** (np.arange((1 << BITS) - 1) * (-low / ((1 << BITS) - 2)) + low)])
+
+
+def restore(code: np.ndarray, low: float) -> np.ndarray:
     """Probability of a code; 0 for none."""
-    return _GRID[code.astype(np.int64)]
+    return _grid(low)[code.astype(np.int64)]
 
 
 def _put(values: np.ndarray, at: np.ndarray, width: int, total: int) -> np.ndarray:
@@ -175,7 +183,7 @@ def _ranks(some: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Trie:
     """pairs and triples: arrays of first, second (and third) words, distinct and in order, with their probabilities. Levels hold what either of them needs."""
 
-    def __init__(self, pairs: tuple, triples: tuple):
+    def __init__(self, pairs: tuple, triples: tuple, low: float):
         (u, v, p2), (a, b, c, p3) = pairs, triples
         self.size = 1 + max((int(x.max()) for x in (u, v, a, b, c) if len(x)), default=0)
         size = U(self.size)
@@ -185,11 +193,11 @@ class Trie:
         path = _ranks(first, a[heads]) * size + b[heads]
         second = _union(own, path)
         q2 = np.zeros(len(second), np.uint16)
-        q2[np.searchsorted(second, own)] = quantise(p2)
+        q2[np.searchsorted(second, own)] = quantise(p2, low)
         third = np.repeat(np.searchsorted(second, path).astype(U), np.diff(np.append(heads, len(a)))) * size + c
         edges = lambda level, n: np.searchsorted(level, np.arange(n + 1, dtype=U) * size).astype(U)
         seqs = {"1": first, "p": edges(second, len(first)), "2": second, "r": edges(third, len(second)), "3": third}
-        parts = {f"{s}.{k}": x for s, seq in seqs.items() for k, x in elias_fano(seq).items()} | {"q2": q2, "q3": quantise(p3)}
+        parts = {f"{s}.{k}": x for s, seq in seqs.items() for k, x in elias_fano(seq).items()} | {"q2": q2, "q3": quantise(p3, low)}
         self.file, at, spans = tempfile.NamedTemporaryFile(prefix="trie-"), 0, {}
         for k, x in parts.items():
             self.file.write(x.tobytes())

@@ -71,15 +71,32 @@ def test_trie_round_trip():
     x = np.unique(rng.integers(0, 60, size=(4000, 3)).astype(np.uint64), axis=0)
     pairs = np.unique(rng.integers(0, 60, size=(900, 2)).astype(np.uint64), axis=0)
     p2, p3 = rng.uniform(1e-6, 1, len(pairs)), rng.uniform(1e-6, 1, len(x))
-    trie = lm_trie.Trie((pairs[:, 0], pairs[:, 1], p2), (x[:, 0], x[:, 1], x[:, 2], p3))
+    trie = lm_trie.Trie((pairs[:, 0], pairs[:, 1], p2), (x[:, 0], x[:, 1], x[:, 2], p3), -6.0)
     asked = np.unique(np.concatenate([x, rng.integers(0, 90, size=(3000, 3)).astype(np.uint64)]), axis=0)
     two, three = ({tuple(k): q for k, q in zip(keys.tolist(), p, strict=True)} for keys, p in ((pairs, p2), (x, p3)))
-    for k, q in zip(asked.tolist(), lm_trie.restore(trie.triples(*asked.T)), strict=True):
+    for k, q in zip(asked.tolist(), lm_trie.restore(trie.triples(*asked.T), -6.0), strict=True):
         assert math.isclose(q, three.get(tuple(k), 0), rel_tol=1e-3)
-    for k, q in zip(asked.tolist(), lm_trie.restore(trie.pairs(asked[:, 0], asked[:, 1])), strict=True):
+    for k, q in zip(asked.tolist(), lm_trie.restore(trie.pairs(asked[:, 0], asked[:, 1]), -6.0), strict=True):
         assert math.isclose(q, two.get(tuple(k[:2]), 0), rel_tol=1e-3)
     assert trie.bytes < 12 * (len(x) + len(pairs))
     trie.close()
-    empty = lm_trie.Trie((x[:0, 0], x[:0, 0], p2[:0]), (x[:0, 0],) * 3 + (p3[:0],))
+    empty = lm_trie.Trie((x[:0, 0], x[:0, 0], p2[:0]), (x[:0, 0],) * 3 + (p3[:0],), -6.0)
     assert not empty.triples(*asked.T).any() and not empty.pairs(asked[:, 0], asked[:, 1]).any()
     empty.close()
+
+
+def test_what_occurs_once_among_very_many_is_not_raised():
+    for n in (3, 10**6, 16 * 10**12):
+        low = lm_trie.least(n)
+        counts = np.array([1.0, 2, 3, n])
+        assert np.allclose(lm_trie.restore(lm_trie.quantise(counts / n, low), low) * n, counts, rtol=1e-3)
+
+
+def test_counts_of_a_bucket_are_added_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MERGE", 3)
+    parts = [(np.array([1, 5, 9], np.uint64), np.array([1, 1, 2], np.uint64)), (np.array([5], np.uint64), np.array([7], np.uint64))] * 4
+    h, n = lm_scoring._added(parts)
+    assert h.tolist() == [1, 5, 9] and n.tolist() == [4, 32, 8]
+    docs = spark.createDataFrame([(f"a b{i % 7} c{i}",) for i in range(500)], "_text string").repartition(9)
+    rows = lm_scoring.unigrams(docs, 3).collect()
+    assert sorted(r.bucket for r in rows) == [0, 1, 2] and sum(r.n for r in rows) == 2000 and sum(r.v for r in rows) == 1 + 7 + 500 + 1
