@@ -1,59 +1,26 @@
 """Graphs over points: nearest neighbours, radius, hybrid, patches, user edges; edge tables (keys, src, dst).
 
-Nearest neighbours are searched exactly, block of nodes against block of nodes within a group, and every task keeps only the best k of each node.
+Nearest neighbours are exact, by a k-d partition of each group (see neighbours).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chord, d, unit_sphere
+from . import neighbours
 from .recipe import standard_scale
 
 K, ALPHA = 8, 0.5
-BLOCK = 2048
 
 
 def knn_edges(df: DataFrame, keys: list[str], node: str, axes: list[str], k: int = K) -> DataFrame:
-    """The k nearest others of each node in its group, by Euclidean distance, ties to the lesser node: keys, src, dst, dist, rank.
-
-    Each group is dealt into blocks of nodes; every pair of blocks is one small task, so a group of any size is spread, and
-    a task returns k rows for each of its nodes. The work is that of an exact search in a group.
-    """
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"src {kinds[node]}", f"dst {kinds[node]}", "dist double"])
-    pts = df.select(*keys, F.col(node).alias("__n"), F.array(*[F.col(a).cast("double") for a in axes]).alias("__v"))
-    sizes = pts.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
-    pts = pts.join(sizes, keys) if keys else pts.join(F.broadcast(sizes))
-    pts = pts.withColumn("__b", F.pmod(F.xxhash64("__n"), F.col("__blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    asks = pts.select(*keys, F.col("__b").alias("__i"), other.alias("__j"), F.lit(0).alias("__side"), "__n", "__v")
-    told = pts.select(*keys, other.alias("__i"), F.col("__b").alias("__j"), F.lit(1).alias("__side"), "__n", "__v")
-
-    def near(t: pd.DataFrame) -> pd.DataFrame:
-        q, r = t[t["__side"] == 0], t[t["__side"] == 1].sort_values("__n")
-        out = []
-        if len(q) and len(r):
-            b, nb = np.stack(r["__v"].to_list()), r["__n"].to_numpy()
-            a, na = np.stack(q["__v"].to_list()), q["__n"].to_numpy()
-            step = max(1, (4 << 20) // b.size)
-            for at in range(0, len(a), step):
-                dist = np.sqrt(((a[at : at + step, None, :] - b[None]) ** 2).sum(2))
-                dist[na[at : at + step, None] == nb[None]] = np.inf
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                found = pd.DataFrame({"src": np.repeat(na[at : at + step], best.shape[1]), "dst": nb[best].ravel(), "dist": np.take_along_axis(dist, best, 1).ravel()})
-                out.append(found[np.isfinite(found["dist"])])
-        res = pd.concat(out) if out else pd.DataFrame(columns=["src", "dst", "dist"])
-        for c in keys:
-            res[c] = t[c].iloc[0]
-        return res[[*keys, "src", "dst", "dist"]]
-
-    found = asks.unionByName(told).groupBy(*keys, "__i", "__j").applyInPandas(near, schema)
-    w = Window.partitionBy(*keys, "src").orderBy("dist", "dst")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k nearest others of each node in its group, by Euclidean distance, ties to the lesser node: keys, src, dst, dist, rank. Nodes with a null among axes take no part."""
+    df = df.na.drop(subset=axes)
+    if keys:
+        return neighbours.between(df, keys, node, axes, k)
+    return neighbours.between(df.withColumn("__all", F.lit(0)), ["__all"], node, axes, k).drop("__all")
 
 
 def symmetrise(edges: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -7,13 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, d, finite
 from ..lineage import durable
 from ..schemas import DataError, SkippableError
-from . import newton, penalised, trees
+from . import neighbours, newton, penalised, trees
 from .features import modality_weights
 from .metrics import compute_metrics, roc_auc
 from .resample import average_logits, stratified_folds
@@ -41,36 +41,14 @@ def gaussian_nb(train: DataFrame, test: DataFrame, keys: list[str], features: li
     return t.select(*keys, row, F.when(F.col("l1").isNull(), d(0)).when(F.col("l0").isNull(), d(1)).otherwise(d(1) / (d(1) + F.exp(F.col("l0") - F.col("l1")))).alias("p"))
 
 
-def knn(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", k: int = 5, metric: str = "manhattan", block: int = 4096) -> DataFrame:
-    """keys, row, p: share of presences among the k nearest training rows, ties to the lesser row. Training rows of a group are dealt into blocks; a task keeps k of its block for each test row."""
-    kinds = dict(train.dtypes)
-    test_kinds = dict(test.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"`{row}` {test_kinds[row]}", "dist double", f"near {kinds[row]}", "label double"])
-    sizes = train.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
-    v = F.array(*[F.col(x).cast("double") for x in features]).alias("__v")
-    a = train.join(sizes, keys).select(*keys, F.pmod(F.xxhash64(row), F.col("__blocks")).cast("int").alias("__b"), F.lit(1).alias("__side"), F.col(row).alias("__row"), v, F.col(y).cast("double").alias("__y"))
-    q = test.join(sizes, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__b"), F.lit(0).alias("__side"), F.col(row).alias("__row"), v, F.lit(None).cast("double").alias("__y"))
-
-    def near(t: pd.DataFrame) -> pd.DataFrame:
-        ref, ask = t[t["__side"] == 1].sort_values("__row"), t[t["__side"] == 0]
-        out = []
-        if len(ref) and len(ask):
-            x, labels, names = np.stack(ref["__v"].to_list()), ref["__y"].to_numpy(), ref["__row"].to_numpy()
-            q, who = np.stack(ask["__v"].to_list()), ask["__row"].to_numpy()
-            step = max(1, (4 << 20) // x.size)
-            for at in range(0, len(q), step):
-                gap = q[at : at + step, None, :] - x[None]
-                dist = np.abs(gap).sum(2) if metric == "manhattan" else np.sqrt((gap**2).sum(2))
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({row: np.repeat(who[at : at + step], best.shape[1]), "dist": np.take_along_axis(dist, best, 1).ravel(), "near": names[best].ravel(), "label": labels[best].ravel()}))
-        res = pd.concat(out) if out else pd.DataFrame(columns=[row, "dist", "near", "label"])
-        for c in keys:
-            res[c] = t[c].iloc[0]
-        return res[[*keys, row, "dist", "near", "label"]]
-
-    found = a.unionByName(q).groupBy(*keys, "__b").applyInPandas(near, schema)
-    w = Window.partitionBy(*keys, row).orderBy("dist", "near")
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(*keys, row).agg(F.avg("label").alias("p"))
+def knn(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", k: int = 5, metric: str = "manhattan") -> DataFrame:
+    """keys, row, p: share of presences among the k nearest training rows, ties to the lesser row; missing features count as the group's training mean."""
+    means = train.groupBy(*keys).agg(*[F.avg(finite(f)).alias(f"__m_{f}") for f in features])
+    fill = lambda t: t.join(means, keys).withColumns({f: F.coalesce(finite(f), F.col(f"__m_{f}"), d(0)) for f in features})
+    labels = train.select(*keys, F.col(row).alias("__near"), F.col(y).cast("double").alias("__y"))
+    near = neighbours.of_rows(fill(train), fill(test), keys, row, features, k, metric == "manhattan")
+    t = near.select(*keys, row, F.explode("near.row").alias("__near")).join(labels, [*keys, "__near"])
+    return t.groupBy(*keys, row).agg(F.avg("__y").alias("p"))
 
 
 def adaboost(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", rounds: int = 50) -> DataFrame:

@@ -452,7 +452,8 @@ def chunked(rows: DataFrame, model: DataFrame, keys: list[str], chunk: int = 50_
     parts = durable(rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("__parts")))
     a = rows.join(parts, keys).withColumn("__chunk", F.floor(F.rand(SEED) * F.col("__parts")).cast("int")).drop("__parts")
     b = model.join(parts, keys).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-    return a, b
+    # columns of their own, where both come from one table
+    return a, b.select(*[F.col(f"`{c}`").alias(c) for c in b.columns])
 
 
 def matrix(t: pd.DataFrame, features: list[str]) -> np.ndarray:
