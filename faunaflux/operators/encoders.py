@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import d, finite
 from ..schemas import DataError
-from . import features, learners, metrics, recipe
+from . import features, grouped, learners, metrics, mixture, recipe
 from .modalities import KINDS
 
 
@@ -277,5 +279,55 @@ class Late(Fusion):
         return out.groupBy(self.key).agg(F.array(F.sum("p")).alias("value"))
 
 
+class Gated(Fusion):
+    """A logistic expert for each modality and a softmax gate that sees all of them, row by row; value is the one probability. The importance of a modality is its mean gate."""
+
+    name, trainable, supervised = "gated", True, True
+
+    def views(self, widths: list[int]) -> list[list[int]]:
+        ends = [sum(widths[:i]) for i in range(len(widths) + 1)]
+        return [list(range(a, b)) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def learn(self, encoded, y):
+        widths = [encoded[n].agg(F.max(F.size("value"))).first()[0] or 0 for n in self.order]
+        self.learner = mixture.Mixture(self.views(widths), **{k: v for k, v in self.params.items() if k in ("rounds", "ridge", "seed", "tolerance")})
+        self.cols = [(n, i, f"x{k}_{i}") for k, (n, w) in enumerate(zip(self.order, widths, strict=True)) for i in range(w)]
+        t = reduce(lambda a, b: a.join(b, self.key), [encoded[n].select(self.key, F.col("value").alias(f"v_{n}")) for n in self.order])
+        flat = self._flat(t)
+        self.model = grouped.fit(flat.join(y.select(self.key, "occ"), self.key), ["g"], [c for *_, c in self.cols], self.learner)
+        beta, learner, cols = list(self.model.first()["beta"]), self.learner, [c for *_, c in self.cols]
+
+        def gates(batches):
+            for b in batches:
+                yield pd.DataFrame(learner.gates(np.array(beta), b[cols].to_numpy(float)), columns=[f"g{i}" for i in range(len(learner.views))])
+
+        n = len(self.learner.views)
+        means = flat.select(*cols).mapInPandas(gates, ", ".join(f"g{i} double" for i in range(n))).agg(*[F.avg(f"g{i}").alias(f"g{i}") for i in range(n)]).first()
+        self.weights = self._named([means[f"g{i}"] for i in range(n)])
+
+    def _named(self, means):
+        return dict(zip(self.order, means, strict=True))
+
+    def _flat(self, t):
+        return t.select(self.key, *[F.get(f"v_{n}", F.lit(i)).alias(c) for n, i, c in self.cols]).withColumn("g", F.lit(1))
+
+    def apply(self, t, names):
+        if missing := [n for n in self.order if n not in names]:
+            raise DataError(f"{self.name} needs all modalities that it was fitted on: {', '.join(missing)}")
+        return grouped.apply(self.model, self._flat(t), ["g"], [c for *_, c in self.cols], self.key, self.learner).select(self.key, F.array("p").alias("value"))
+
+
+class MixtureOfExperts(Gated):
+    """Logistic experts that all see every modality, and a softmax gate; the importance is that of experts."""
+
+    name = "moe"
+
+    def views(self, widths):
+        return [list(range(sum(widths)))] * self.params.get("experts", 4)
+
+    def _named(self, means):
+        return {f"expert{i}": m for i, m in enumerate(means)}
+
+
 ENCODERS = {c.name: c for c in (Raw, Standardized, Categorical, Pca, IdentityEmbedding, PatchStatistics, TemporalSummary)}
-FUSIONS = {c.name: c for c in (Concat, Early, Weighted, Late)}
+FUSIONS = {c.name: c for c in (Concat, Early, Weighted, Late, Gated, MixtureOfExperts)}

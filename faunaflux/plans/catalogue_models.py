@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import graphs, grouped, learners, metrics, newton, objectives, penalised, report, resample, tasks, trees
+from ..operators import encoders, explain, graphs, grouped, learners, metrics, newton, objectives, penalised, report, resample, tasks, trees
 from . import views
 from .benchmarks import RunConfig, provenance
 from .catalogue import query
@@ -165,6 +165,46 @@ def gam_rest(spark, d):
     return _rest(spark, d, "gam", off)
 
 
+STUMP = LONG + """, e AS (SELECT DISTINCT region, spid, f, x AS cut FROM n JOIN (SELECT unnest(range(1, 64)) AS k) q ON r = ceil(k * n / 64.0) WHERE x < top),
+s AS (SELECT e.region, e.spid, e.f, cut, sum(occ) FILTER (x <= cut)::double AS sl, count(*) FILTER (x <= cut) AS wl, sum(occ)::double AS st, count(*) AS wt FROM e JOIN v ON e.region = v.region AND e.spid = v.spid AND e.f = v.f GROUP BY ALL),
+g AS (SELECT *, sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) - st * st / wt AS gain FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY region, spid ORDER BY round(gain / top, 9) DESC, f, cut) AS best FROM (SELECT *, max(gain) OVER (PARTITION BY region, spid) AS top FROM g)), stump AS (SELECT * FROM b WHERE best = 1 AND gain > 1e-9)"""
+
+
+#: Of a tree of one split, what its feature adds to the mean: the leaf's value less it.
+@query("stump_shapley", STUMP + """, t AS (SELECT region, spid, unnest([0, 1, 2]) AS f, unnest([price, acct, age]) AS x FROM occ WHERE part = 'test')
+SELECT t.region, t.spid, ['price', 'acct', 'age'][t.f + 1] AS feature, round(avg(CASE WHEN t.f = s.f THEN abs(CASE WHEN x <= cut THEN sl / wl ELSE (st - sl) / (wt - wl) END - st / wt) ELSE 0 END), 6) AS mean_abs, round(avg(CASE WHEN t.f = s.f THEN CASE WHEN x <= cut THEN sl / wl ELSE (st - sl) / (wt - wl) END - st / wt ELSE 0 END), 6) + 0 AS mean
+FROM t JOIN stump s USING (region, spid) GROUP BY ALL""", OCC)
+def stump_shapley(spark, d):
+    model = trees.fit(_train(spark, d), G, PREDICTORS, "ord", trees.Spec(depth=1))
+    whole = model.join(model.where(F.size("value") > 1).select(*G), G, "left_semi")
+    return explain.summary(explain.tree_shapley(whole, _test(spark, d), G, PREDICTORS, "ord"), G, PREDICTORS)
+
+
+@query("tree_shapley", None)
+def tree_shapley(spark, d):
+    """Of gradient-boosted trees, in log-odds."""
+    model = trees.fit(_train(spark, d), G, PREDICTORS, "ord", trees.SPECS["gradient-boosting"])
+    return explain.summary(explain.tree_shapley(model, _test(spark, d), G, PREDICTORS, "ord"), G, PREDICTORS)
+
+
+def _fused(spark, d, fusion):
+    rows = {p: f(spark, d).withColumn("id", F.col("ord")) for p, f in (("train", _train), ("test", _test))}
+    parts = {"climate": ["age"], "economy": ["price", "acct"]}
+    enc = {m: encoders.Standardized("id", c).fit(rows["train"]) for m, c in parts.items()}
+    of = lambda p: {m: e.transform(rows[p]) for m, e in enc.items()}
+    return fusion.fit(of("train"), rows["train"]).transform(of("test")).select(F.col("id").alias("ord"), F.get("value", F.lit(0)).alias("p"))
+
+
+@query("fusion_gated", None)
+def fusion_gated(spark, d):
+    return _fused(spark, d, encoders.Gated("id"))
+
+
+@query("fusion_moe", None)
+def fusion_moe(spark, d):
+    return _fused(spark, d, encoders.MixtureOfExperts("id"))
+
+
 @query("model_subsample_ensemble", None)
 def model_subsample_ensemble(spark, d):
     members = resample.balanced_members(_train(spark, d), G, "ord")

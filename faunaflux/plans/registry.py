@@ -67,7 +67,7 @@ for _n, _a in (("autoencoder", "tabular"), ("vae", "tabular"), ("contrastive", "
     ENCODERS.add(_n, None, accepts=(_a,), note="SKIPPED_DEPENDENCY")
 for _n, _c in encoders.FUSIONS.items():
     FUSIONS.add(_n, _c)
-for _n in ("gated", "cross-attention", "moe"):
+for _n in ("cross-attention",):
     FUSIONS.add(_n, None, note="SKIPPED_DEPENDENCY")
 for _n, _f in (("geographic-knn", graphs.geographic_knn), ("geographic-radius", graphs.radius_edges), ("environmental-knn", graphs.environmental_knn), ("hybrid", graphs.hybrid_knn), ("patch-adjacency", graphs.patch_adjacency), ("user", graphs.user_graph)):
     GRAPHS.add(_n, _f)
