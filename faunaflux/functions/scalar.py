@@ -82,12 +82,13 @@ def hash_split(ids, *extra: str) -> Column:
     return F.sha2(F.concat_ws("|", F.concat_ws(",", F.array_sort(F.collect_set(_c(ids).cast("string")))), *[F.lit(x) for x in extra]), 256)
 
 
-def binary_label(x) -> Column:
-    """0/1 from numbers or the usual words; null where there is no reading."""
+def binary_label(x, strict: bool = False) -> Column:
+    """0/1 from numbers or the usual words; where there is no reading, null, or with strict an error that names the value."""
     s = F.lower(F.trim(_c(x).cast("string")))
     words = {"yes": 1, "true": 1, "presence": 1, "present": 1, "1": 1, "no": 0, "false": 0, "absence": 0, "absent": 0, "0": 0}
     table = F.create_map(*[F.lit(v) for kv in words.items() for v in kv])
-    return F.coalesce(F.when(s.rlike(r"^-?[0-9]+(\.0*)?$"), s.cast("double").cast("int")), table[s])
+    read = F.coalesce(F.when(s.rlike(r"^-?[0-9]+(\.0*)?$"), s.cast("double").cast("int")), table[s])
+    return F.coalesce(read, F.raise_error(F.concat(F.lit("neither presence nor absence: "), F.coalesce(_c(x).cast("string"), F.lit("nothing"))))) if strict else read
 
 
 def reproduction_status(difference, match: float = 0.010, close: float = 0.025) -> Column:

@@ -287,7 +287,7 @@ def loss_deepmaxent(spark, d):
     return t.withColumn("loss", F.round("loss", 5))
 
 
-IMPORTANCE = """, t AS (SELECT region, ord, occ AS y, age, price, acct FROM occ WHERE part = 'test'), g AS (SELECT t.*, rep, row_number() OVER (PARTITION BY region, rep ORDER BY ord) AS i, row_number() OVER (PARTITION BY region, rep ORDER BY md5((32639 + rep)::varchar || '|' || ord::varchar), ord) AS j FROM t, range(0, 10) r(rep)),
+IMPORTANCE = """, t AS (SELECT region, ord, occ AS y, age, price, acct FROM occ WHERE part = 'test'), g AS (SELECT t.*, rep, row_number() OVER (PARTITION BY region, rep ORDER BY md5(ord::varchar), ord) AS i, row_number() OVER (PARTITION BY region, rep ORDER BY md5((32639 + rep)::varchar || '|' || ord::varchar), ord) AS j FROM t, range(0, 10) r(rep)),
 e AS (SELECT region, -1 AS rep, 'base' AS feature, y, age, price, acct FROM t UNION ALL SELECT a.region, a.rep, 'time', a.y, b.age, a.price, a.acct FROM g a JOIN g b ON a.region = b.region AND a.rep = b.rep AND a.i = b.j
  UNION ALL SELECT a.region, a.rep, 'economy', a.y, a.age, b.price, b.acct FROM g a JOIN g b ON a.region = b.region AND a.rep = b.rep AND a.i = b.j),
 p AS (SELECT region, rep, feature, y, 1 / (1 + exp(-(age / 500 - price / 100000 + acct / 9000))) AS s FROM e), c AS (SELECT region, rep, feature, s, sum(y) AS pos, count(*) AS n FROM p GROUP BY ALL),

@@ -99,7 +99,7 @@ def read_csv(spark: SparkSession, path: str, target: str = "presence", coordinat
         offsets.append((r["_part"], before))
         before += r["count"]
     raw = raw.join(F.broadcast(spark.createDataFrame(offsets, "_part long, _off long")), "_part").withColumn("_ord", F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1))
-    return raw.select(F.lit(region).alias("region"), F.lit(species).alias("spid"), F.concat(F.lit("row"), F.col("_ord").cast("string")).alias("siteid"), "_ord", *place, binary_label(target).alias("occ"), *names)
+    return raw.select(F.lit(region).alias("region"), F.lit(species).alias("spid"), F.concat(F.lit("row"), F.col("_ord").cast("string")).alias("siteid"), "_ord", *place, binary_label(target, strict=True).alias("occ"), *names)
 
 
 def species_groups(metadata: DataFrame, column: str, species: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ def t_tail(t, df):
     return 1 - np.trapezoid(np.exp(log - (df + 1) / 2 * np.log1p(x * x / df)), x)
 
 
-MODELS = ["model_adaboost", "model_brt", "model_decision_tree", "model_extra_trees", "model_gam", "model_gradient_boosting", "model_linear_svc", "model_logistic_regression", "model_maxnet", "model_mlp_mllib", "model_random_forest", "model_random_forest_mllib", "model_subsample_ensemble", "model_svm", "late_fusion"]
+MODELS = ["model_adaboost", "model_brt", "model_decision_tree", "model_extra_trees", "model_gam", "model_gradient_boosting", "model_linear_svc", "model_logistic_regression", "model_maxnet", "model_mlp_mllib", "model_random_forest", "model_random_forest_mllib", "model_subsample_ensemble", "model_svm", "late_fusion", "fusion_gated", "fusion_moe"]
 
 
 #: Few rounds and trees, as each of 25 groups has a model of its own here.
@@ -45,11 +45,31 @@ def test_every_test_row_gets_a_probability(spark, occ, monkeypatch, name):
     monkeypatch.setattr(learners, "predict", lambda model, *a, **o: real(model, *a, **(CHEAP.get(model, {}) | o)))
     got = rows(spark, name)
     both = {g for g in {(r.region, r.spid) for r in occ} if {r.part for r in occ if (r.region, r.spid) == g} == {"train", "test"}}
-    want = {r.ord for r in occ if r.part == "test" and (name == "late_fusion" or (r.region, r.spid) in both)}
+    want = {r.ord for r in occ if r.part == "test" and ("fusion" in name or (r.region, r.spid) in both)}
     assert {r.ord for r in got} == want and len(got) == len(want)
     assert all(r.p is not None and 0 <= r.p <= 1 for r in got)
 
 
+def test_shapley_values_of_trees_add_up(spark):
+    """Mean values of a group's features are its mean margin less that of the model."""
+    from faunaflux.operators import explain, trees
+
+    t = views.occ(spark, SF)
+    a, b = t.where("part = 'train'"), t.where("part = 'test'")
+    model = trees.fit(a, ["region", "spid"], views.PREDICTORS, "ord", trees.SPECS["gradient-boosting"])
+    mean = {(r.region, r.spid): r.m for r in explain.tree_shapley(model, b, ["region", "spid"], views.PREDICTORS, "ord").groupBy("region", "spid").agg({"mean": "avg"}).withColumnRenamed("avg(mean)", "m").collect()}
+    p = trees.apply(model, b, ["region", "spid"], views.PREDICTORS, "ord", trees.SPECS["gradient-boosting"]).collect()
+    margin = defaultdict(list)
+    for r in p:
+        margin[r.region, r.spid].append(math.log(r.p / (1 - r.p)))
+    sums = defaultdict(float)
+    got = rows(spark, "tree_shapley")
+    assert len(got) == 3 * len(mean) and all(r.mean_abs >= abs(r.mean) - 1e-6 for r in got)
+    for r in got:
+        sums[r.region, r.spid] += r.mean
+    assert all(sums[k] + mean[k] == pytest.approx(np.mean(margin[k]), abs=1e-5) for k in mean)
+
+
 def test_compute_metrics(spark):
     got = {(r.region, r.species_id, r.model_name): r for r in rows(spark, "compute_metrics") if getattr(r, "scenario", "nonspatial") == "nonspatial"}
     sides = defaultdict(list)
