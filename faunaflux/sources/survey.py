@@ -17,7 +17,7 @@ CATEGORICAL = ("ontveg", "vegsys", "toxicats", "age", "calc")
 
 
 class SurveyDataset:
-    """Tables under <root>/tbl=<table>/region=<region>: a region and a table are partitions, so that only their files are read."""
+    """Tables under <root>/tbl=<table>/region=<region>: a region and a table are partitions, so that only their files are read. A folder of <REGION>_<table>.parquet is read as it is, too."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -25,7 +25,12 @@ class SurveyDataset:
     def table(self, name: str, region: str | None = None) -> DataFrame:
         if name not in TABLES:
             raise DataError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-        df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/tbl={name}")
+        read = self.spark.read.option("mergeSchema", "true").parquet
+        try:
+            df = read(f"{self.root}/tbl={name}")
+        except AnalysisException:
+            # the name of a file says its region: files of others are not opened
+            df = read(f"{self.root}/{region.upper() if region else '*'}_{name}.parquet")
         return df if region is None else df.where(F.col("region") == region.upper())
 
     def write(self, df: DataFrame, name: str, mode: str = "append") -> None:
@@ -38,6 +43,21 @@ class SurveyDataset:
         raw = self.spark.read.option("header", "true").option("nullValue", "NA").option("inferSchema", "true").csv(path)
         self.write(raw.withColumn("region", F.lit(region.upper())), name)
 
+    def ingest_folder(self, folder: str) -> list[tuple[str, str]]:
+        """Every <REGION>_<table>.csv of a folder (region, table): other files are left alone, none at all is an error. The driver sees names of files only."""
+        jvm = self.spark._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/*_*.csv")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        done = []
+        for path in sorted(str(f.getPath()) for f in found):
+            region, _, name = path.rsplit("/", 1)[-1].removesuffix(".csv").rpartition("_")
+            if region in REGIONS and name in TABLES:
+                self.ingest_csv(path, name, region)
+                done.append((region, name))
+        if not done:
+            raise DataError(f"no tables of a survey in {folder}")
+        return done
+
     def species(self) -> DataFrame:
         return self.table("po").select("region", "spid").distinct()
 

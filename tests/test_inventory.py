@@ -246,3 +246,45 @@ def test_a_model_that_fails_gives_failed_rows(spark, monkeypatch):
     row = b.run(["logistic-regression"]).where("species_id = 'u'").first()
     assert row.n_train == 60 and row.n_presence + row.n_background == 60 and len(row.split_hash) == 64 and row.n_test_presence + row.n_test_absence == 20 and json.loads(row.metrics_json)
     assert b.n_tasks() == 2 and b.n_tasks(most=1) == 1 and b.model_options("knn") == {"k": 5}
+
+
+def survey_rows():
+    """Two regions with predictors of their own; siteid, place and species as text."""
+    po = {"AWT": "siteid,x,y,spid,occ,bc01\na1,1.5,2,awt1,1,20\na2,3,4,awt2,1,NA\n", "NSW": "siteid,x,y,spid,occ,rain,vegsys\nn1,1,2,nsw1,1,5.5,7\n"}
+    return {f"{r}_po.csv": t for r, t in po.items()} | {"AWT_bg.csv": "siteid,x,y,spid,occ,bc01\nb1,5,6,awt1,0,21\n", "AWT_other.csv": "a\n1\n", "XYZ_po.csv": "a\n1\n", "notes.csv": "a\n1\n"}
+
+
+def test_folder_of_survey_files_is_taken_in_and_flat_files_are_read(spark, tmp_path):
+    from faunaflux.sources.survey import SurveyDataset
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for name, text in survey_rows().items():
+        (raw / name).write_text(text)
+    s = SurveyDataset(spark, f"{tmp_path}/kept")
+    assert s.ingest_folder(str(raw)) == [("AWT", "bg"), ("AWT", "po"), ("NSW", "po")]
+    assert sorted((r.region, r.siteid, r.bc01) for r in s.table("po").select("region", "siteid", "bc01").collect()) == [("AWT", "a1", 20.0), ("AWT", "a2", None), ("NSW", "n1", None)]
+    assert s.table("po", "nsw").first().vegsys == "7" and s.table("bg").count() == 1
+    with pytest.raises(DataError):
+        s.ingest_folder(str(tmp_path))
+    # the same tables as one file for each region and table
+    flat = f"{tmp_path}/flat"
+    for region in ("AWT", "NSW"):
+        s.table("po", region).write.parquet(f"{flat}/{region}_po.parquet")
+    f = SurveyDataset(spark, flat)
+    assert sorted(r.siteid for r in f.table("po").collect()) == ["a1", "a2", "n1"] and [r.siteid for r in f.table("po", "NSW").collect()] == ["n1"]
+    assert not f.is_available()
+
+
+def test_labels_of_a_users_table_that_cannot_be_read_are_errors(spark, tmp_path):
+    from faunaflux.sources.survey import read_csv
+
+    for text, good in (("yes", True), ("absent", True), ("maybe", False), ("", False)):
+        path = tmp_path / f"t{len(text)}{text}.csv"
+        path.write_text(f"longitude,latitude,presence,a\n1,2,no,3\n1,2,{text},3\n")
+        rows = read_csv(spark, str(path))
+        if good:
+            assert len(rows.collect()) == 2
+        else:
+            with pytest.raises(Exception, match="neither presence nor absence"):
+                rows.collect()
