@@ -51,50 +51,6 @@ def knn(train: DataFrame, test: DataFrame, keys: list[str], features: list[str],
     return t.groupBy(*keys, row).agg(F.avg("__y").alias("p"))
 
 
-def adaboost(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], row: str, y: str = "occ", rounds: int = 50) -> DataFrame:
-    """keys, row, p: boosted stumps, one group of rows to a task."""
-    kinds = dict(test.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"`{row}` {kinds[row]}", "p double"])
-    cols = [*keys, row, *features]
-    both = train.select(*cols, F.col(y).cast("double").alias("__y")).unionByName(test.select(*cols, F.lit(None).cast("double").alias("__y")))
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        known = t["__y"].notna()
-        x, label = t.loc[known, features].to_numpy(float), t.loc[known, "__y"].to_numpy() * 2 - 1
-        z, total, norm = t.loc[~known, features].to_numpy(float), 0.0, 0.0
-        w = np.full(len(x), 1 / max(len(x), 1))
-        score = np.zeros(len(z))
-        order = np.argsort(x, axis=0, kind="stable")
-        for _ in range(rounds if len(x) else 0):
-            best = (0.5, 0, 0.0, 1)
-            for j in range(len(features)):
-                s = x[order[:, j], j]
-                run = np.cumsum((w * label)[order[:, j]])
-                cut = np.flatnonzero(s[1:] > s[:-1])
-                if not len(cut):
-                    continue
-                # a stump that says +1 above the cut errs by half of what the weights on both sides agree less
-                edge = (run[-1] - 2 * run[cut]) / 2
-                k = int(np.abs(edge).argmax())
-                err = 0.5 - abs(edge[k])
-                if err < best[0] - 1e-12:
-                    best = (err, j, (s[cut[k]] + s[cut[k] + 1]) / 2, 1 if edge[k] > 0 else -1)
-            err, j, at, sign = best
-            if err >= 0.5 - 1e-12:
-                break
-            alpha = 0.5 * np.log((1 - err) / max(err, 1e-12))
-            w = w * np.exp(-alpha * label * sign * np.where(x[:, j] > at, 1, -1))
-            w /= w.sum()
-            score += alpha * sign * np.where(z[:, j] > at, 1, -1)
-            norm += alpha
-        total = score / norm if norm else score
-        out = t.loc[~known, [*keys, row]].copy()
-        out["p"] = 1 / (1 + np.exp(-2 * total))
-        return out
-
-    return both.groupBy(*keys).applyInPandas(fit, schema)
-
-
 def scale_pos_weight(df: DataFrame, y: str = "occ") -> float:
     pos, neg = df.agg(F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)).first()
     return neg / pos if pos else 1.0
@@ -198,7 +154,7 @@ def predict(name: str, train: DataFrame, test: DataFrame, keys: list[str], featu
         return trees.fit_predict(name, train, test, keys, features, row, **options)
     if name in penalised.LEARNERS:
         return penalised.fit_predict(name, train, test, keys, features, row, **options)
-    fit = {"gaussian-nb": gaussian_nb, "knn": knn, "adaboost": adaboost, "logistic-regression": logistic}.get(name)
+    fit = {"gaussian-nb": gaussian_nb, "knn": knn, "logistic-regression": logistic}.get(name)
     return fit(train, test, keys, features, row, **options) if fit else per_group(name, train, test, keys, features, row, **options)
 
 

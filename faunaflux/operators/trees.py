@@ -33,6 +33,7 @@ class Spec(NamedTuple):
     splits: int | None = None  # of a tree, the best leaf first; None: every leaf that gains, level by level
     depth: int = 5
     boost: bool = False
+    adaptive: bool = False  # trees that vote, each on rows weighed by how wrong those before were
     rate: float = 0.1
     folds: int = 0  # held-out parts that choose the number of boosted trees; 0: all trees
     step: int = 50  # trees between looks at the held-out parts
@@ -253,6 +254,11 @@ class Local:
 
     def start(self, trees: list[int]) -> None:
         draw = lambda t: drawn(self.spec, t, self.h, self.y, *self.counts)
+        if self.spec.adaptive:
+            w = self.weight * np.exp(-np.clip((2 * self.y - 1) * self.margin, -300, 300))
+            self.stats = [w, w * self.y]
+            self.node, self.looks = np.zeros(w.shape, np.int64), 0
+            return
         w = self.weight * (draw(trees[0])[None] * ~self.held if self.spec.boost else np.stack([draw(t) for t in trees]))
         if self.spec.boost:
             p = 1 / (1 + np.exp(-np.clip(self.margin, -35, 35)))
@@ -268,7 +274,7 @@ class Local:
         return sums(self.codes, _places(self.node, leaves), leaves.shape[1], self.stats, self.spec.bins)
 
     def add(self, forest: Forest) -> None:
-        self.margin += self.spec.rate * np.take_along_axis(forest.value, forest.walk(self.codes), 1)
+        self.margin += (1.0 if self.spec.adaptive else self.spec.rate) * np.take_along_axis(forest.value, forest.walk(self.codes), 1)
 
     def deviance(self) -> np.ndarray:
         """Of each fold, the loss of its held-out rows, and their weight."""
@@ -389,7 +395,34 @@ def boosted(source, spec: Spec, edges: list) -> tuple[list[dict], float]:
     return trees[:keep], float(base[-1])
 
 
+def adaptive(source, spec: Spec, edges: list) -> tuple[list[dict], float]:
+    """Votes of trees: a tree's weight is half the log-odds of its being right on the weighed rows; it ends with a tree that is never wrong, or no better than chance. Values are shares of all votes."""
+    source.begin(np.zeros(1))
+    forests_, votes = [], []
+    for t in range(spec.trees):
+        source.start([t])
+        forest = grow(source.tally, spec, [t])
+        n = int(forest.used[0])
+        leaf = forest.feature[0, :n] < 0
+        cover, value = forest.cover[0, :n][leaf], forest.value[0, :n][leaf]
+        wrong = float((cover * np.minimum(value, 1 - value)).sum() / max(cover.sum(), 1e-300))
+        if wrong >= 0.5 - 1e-12:
+            break
+        vote = 0.5 * np.log((1 - wrong) / max(wrong, 1e-12))
+        forest.value[0, :n] = np.where(forest.value[0, :n] > 0.5, vote, -vote)
+        source.add(forest)
+        forests_.append(forest)
+        votes.append(vote)
+        if wrong <= 1e-12:
+            break
+    if not forests_:  # not one tree is better than chance: even odds, as a tree of one leaf
+        return [{"feature": [-1], "threshold": [0.0], "left": [0], "right": [0], "value": [0.0], "cover": [0.0]}], 0.0
+    return [f.tree(0, edges, 2 / sum(votes)) for f in forests_], 0.0
+
+
 def grown(source_of, spec: Spec, rows: int, width: int, edges: list) -> tuple[list[dict], float]:
+    if spec.adaptive:
+        return adaptive(source_of(1), spec, edges)
     return boosted(source_of(spec.folds + 1), spec, edges) if spec.boost else forests(source_of, spec, rows, width, edges)
 
 
@@ -470,7 +503,7 @@ def apply(model: DataFrame, test: DataFrame, keys: list[str], features: list[str
         out = rows[[*keys, row]].copy()
         # trees in their order, so that sums are the same in every run
         z = scored(matrix(rows, features), of.sort_values("tree")) if len(of) else np.full(len(rows), np.nan)
-        out["p"] = 1 / (1 + np.exp(-np.clip(z, -500, 500))) if spec.boost else z
+        out["p"] = 1 / (1 + np.exp(-np.clip(z, -500, 500))) if spec.boost or spec.adaptive else z
         return out if len(of) else out.iloc[:0]
 
     by = [*keys, "__chunk"]
@@ -485,6 +518,7 @@ SPECS = {
     "random-forest": Spec(trees=1000, depth=DEPTH, draw="balanced", features=-1),
     "extra-trees": Spec(trees=1000, depth=DEPTH, extra=True, features=-1),
     "gradient-boosting": Spec(trees=50, depth=5, boost=True, rate=0.1),
+    "adaboost": Spec(trees=50, depth=1, adaptive=True, leaf=1e-6),
     "brt": Spec(trees=10_000, splits=5, boost=True, rate=0.001, folds=5, draw="bag", leaf=10.0),
 }
 

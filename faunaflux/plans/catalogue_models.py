@@ -44,11 +44,6 @@ def model_knn(spark, d):
     return learners.knn(_train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
 
 
-@query("model_adaboost", None)
-def model_adaboost(spark, d):
-    return learners.adaboost(_train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
-
-
 @query("model_logistic_regression", None)
 def model_logistic_regression(spark, d):
     return learners.logistic(_train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
@@ -74,7 +69,7 @@ def _model(name):
         return learners.predict(name, _train(spark, d), _test(spark, d), G, PREDICTORS, "ord")
 
 
-for _name in ("decision-tree", "random-forest-mllib", "random-forest", "extra-trees", "gradient-boosting", "brt", "maxnet", "gam", "svm", "linear-svc", "mlp-mllib"):
+for _name in ("adaboost", "decision-tree", "random-forest-mllib", "random-forest", "extra-trees", "gradient-boosting", "brt", "maxnet", "gam", "svm", "linear-svc", "mlp-mllib"):
     _model(_name)
 
 

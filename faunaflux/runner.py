@@ -25,7 +25,7 @@ FAMILIES = {
     **dict.fromkeys(["maxnet", "gam"], "statistical"),
     "mlp-mllib": "neural",
 }
-MODEL_OPTIONS = {"random-forest-mllib": {"trees": 100}, "random-forest": {"trees": 1000}, "extra-trees": {"trees": 1000}, "gradient-boosting": {"trees": 50}, "brt": {"trees": 10_000, "rate": 0.001, "bag": 0.75, "folds": 5}, "maxnet": {"classes": "lqpht", "multiplier": 1.0}, "gam": {"k": 10}, "adaboost": {"rounds": 50}, "knn": {"k": 5}}
+MODEL_OPTIONS = {"random-forest-mllib": {"trees": 100}, "random-forest": {"trees": 1000}, "extra-trees": {"trees": 1000}, "gradient-boosting": {"trees": 50}, "brt": {"trees": 10_000, "rate": 0.001, "bag": 0.75, "folds": 5}, "maxnet": {"classes": "lqpht", "multiplier": 1.0}, "gam": {"k": 10}, "adaboost": {"trees": 50}, "knn": {"k": 5}}
 
 
 class Benchmark:

@@ -12,7 +12,7 @@ SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 QUERIES, _ = catalogue.load()
 
 
-@pytest.mark.parametrize("name", ["decision-tree", "random-forest-mllib", "random-forest", "extra-trees", "gradient-boosting", "brt", "maxnet", "gam", "svm", "linear-svc", "mlp-mllib"])
+@pytest.mark.parametrize("name", ["adaboost", "decision-tree", "random-forest-mllib", "random-forest", "extra-trees", "gradient-boosting", "brt", "maxnet", "gam", "svm", "linear-svc", "mlp-mllib"])
 def test_learners(spark, monkeypatch, name):
     seen = {}
     monkeypatch.setattr(learners, "predict", lambda n, train, test, keys, *a, **options: seen.update({n: (keys, options)}) or test)

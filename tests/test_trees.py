@@ -54,7 +54,7 @@ def test_depth_three_equals_a_search_of_all_cuts(spark):
         assert [got[r.siteid] for r in rows] == pytest.approx(want.tolist(), abs=1e-12)
 
 
-@pytest.mark.parametrize("spec", [trees.Spec(depth=4), trees.Spec(trees=6, depth=4, draw="balanced", features=1), trees.Spec(trees=5, depth=3, draw="poisson", extra=True, features=2), trees.Spec(trees=7, splits=3, boost=True, rate=0.3, folds=2, step=3, draw="bag", leaf=5.0)])
+@pytest.mark.parametrize("spec", [trees.Spec(depth=4), trees.Spec(trees=6, depth=4, draw="balanced", features=1), trees.Spec(trees=5, depth=3, draw="poisson", extra=True, features=2), trees.Spec(trees=7, splits=3, boost=True, rate=0.3, folds=2, step=3, draw="bag", leaf=5.0), trees.SPECS["adaboost"]._replace(trees=6)])
 def test_large_groups_in_partitions_give_the_same_trees(spark, spec):
     t = table(spark, 150).repartition(3)
     small, large = predictions(t, spec), predictions(t, spec, one_task=0)
@@ -80,6 +80,30 @@ def test_boosting_learns_and_held_out_rows_choose_its_length(spark):
     assert trees.fit(t, KEYS, FEATURES, "siteid", spec).count() > trees.fit(noise, KEYS, FEATURES, "siteid", spec).count()
 
 
+def test_votes_equal_plain_adaptive_boosting(spark):
+    t = table(spark, 150, ("u",))
+    rows = t.collect()
+    x, y = np.array([[r.a, r.b, r.c] for r in rows]), np.array([r.occ for r in rows], float)
+    w, score, votes = np.ones(len(y)), np.zeros(len(y)), 0.0
+    for _ in range(8):
+        best = None
+        for f in range(3):
+            for v in np.unique(x[:, f])[:-1]:
+                low = x[:, f] <= v
+                gain = (w * y)[low].sum() ** 2 / w[low].sum() + (w * y)[~low].sum() ** 2 / w[~low].sum()
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, low)
+        says = np.where(best[1], (w * y)[best[1]].sum() / w[best[1]].sum() > 0.5, (w * y)[~best[1]].sum() / w[~best[1]].sum() > 0.5) * 2.0 - 1
+        wrong = w[says != 2 * y - 1].sum() / w.sum()
+        if wrong >= 0.5 - 1e-12:
+            break
+        vote = 0.5 * np.log((1 - wrong) / wrong)
+        w, score, votes = w * np.exp(-vote * says * (2 * y - 1)), score + vote * says, votes + vote
+    got = predictions(t, trees.SPECS["adaboost"]._replace(trees=8, bins=256))
+    want = 1 / (1 + np.exp(-2 * score / votes))
+    assert [got[r.siteid] for r in rows] == pytest.approx(want.tolist(), abs=1e-9)
+
+
 def test_balanced_draws_take_as_much_background_as_presences():
     rng = np.random.default_rng(0)
     h, y = rng.integers(0, trees.PRIME, 20_000), np.arange(20_000) % 20 == 0
