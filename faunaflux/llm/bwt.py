@@ -12,10 +12,11 @@ import tempfile
 
 import numpy as np
 
-STEP = 8 << 20  # bytes that are read or written at once
+STEP = 4 << 20  # pairs that are read or written at once
+
 
 class _File:
-    """A sequential file of bytes that is written once and read once."""
+    """A sequential file of pairs of a symbol and a common prefix that is written once and read once."""
 
     def __init__(self, x: np.ndarray):
         self.f = tempfile.TemporaryFile(buffering=0)
@@ -24,7 +25,7 @@ class _File:
         self.n = x.size
 
     def read(self) -> np.ndarray:
-        x = np.empty(self.n, np.uint8)
+        x = np.empty(self.n, np.uint16)
         self.f.seek(0)
         for at in range(0, self.n, STEP):
             self.f.readinto(x[at : at + STEP].data)
@@ -47,36 +48,42 @@ def build(strings: np.ndarray, lengths: np.ndarray, cap: int) -> tuple[np.ndarra
         return np.where(lengths[who] > done, s, np.uint8(0))
 
     who, place = np.arange(m), np.arange(m)
-    bwt_file, lcp_file = _File(symbol(who, 0)), _File(np.zeros(m, np.uint8))
+    file = _File(_pairs(symbol(who, 0), np.zeros(m, np.uint8)))
     for done in range(1, int(lengths.max(initial=0)) + 1):
-        bwt, lcp = bwt_file.read(), lcp_file.read()
-        alive = bwt[place] != 0
-        who, place = who[alive], place[alive]
-        order = np.argsort(bwt, kind="stable").astype(np.int32)
-        rank = np.empty(len(bwt), np.int32)
-        rank[order] = np.arange(len(bwt), dtype=np.int32)
-        ends = int((bwt == 0).sum())
-        r = rank[place]
+        pairs = file.read()
+        bwt, lcp = pairs.astype(np.uint8), (pairs >> 8).astype(np.uint8)
         c = bwt[place]
+        alive = np.flatnonzero(c)
+        # places rise, so these are in order of their new suffixes
+        alive = alive[np.argsort(c[alive], kind="stable")]
+        who, place, c = who[alive], place[alive], c[alive]
+        order = np.argsort(bwt, kind="stable").astype(np.int32)
+        fresh = np.zeros(len(bwt), bool)
+        fresh[place] = True
+        r = np.flatnonzero(fresh[order])
         before, after = order[r - 1], order[np.minimum(r + 1, len(bwt) - 1)]
         with_before = (r > 0) & (bwt[before] == c)
         with_after = (r + 1 < len(bwt)) & (bwt[after] == c)
         least = _least(lcp, np.concatenate([np.where(with_before, before, place - 1), place]) + 1, np.concatenate([place, np.where(with_after, after, place + 1)]) + 1)
         least = np.minimum(least + np.uint8(1), np.uint8(cap))
         own, nxt = least[: len(place)] * with_before, least[len(place) :] * with_after
-        new = m + r.astype(np.int64) - ends
+        new = r + (m - len(bwt) + np.count_nonzero(bwt))
         old = np.ones(len(bwt) + len(new), bool)
         old[new] = False
-        bwt2, lcp2 = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        bwt2[old], lcp2[old] = bwt, lcp
-        bwt2[new] = symbol(who, done)
-        inner = new[new + 1 < len(old)]
+        pairs2 = np.empty(len(old), np.uint16)
+        pairs2[old] = pairs
         # the neighbour's common prefix is with this suffix now; a neighbour inserted in this round gets its own below, which is the same
-        lcp2[inner + 1] = np.where(with_after[new + 1 < len(old)], nxt[new + 1 < len(old)], 0)
-        lcp2[new] = own
-        bwt_file, lcp_file = _File(bwt2), _File(lcp2)
+        inner = new + 1 < len(old)
+        pairs2[new[inner] + 1] = _pairs(pairs2[new[inner] + 1].astype(np.uint8), np.where(with_after, nxt, 0)[inner])
+        pairs2[new] = _pairs(symbol(who, done), own)
+        file = _File(pairs2)
         place = new
-    return bwt_file.read(), lcp_file.read()
+    pairs = file.read()
+    return pairs.astype(np.uint8), (pairs >> 8).astype(np.uint8)
+
+
+def _pairs(symbols: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    return symbols | prefixes.astype(np.uint16) << np.uint16(8)
 
 
 def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

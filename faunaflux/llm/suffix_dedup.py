@@ -2,8 +2,8 @@
 
 Every 50-byte string picks an anchor, its least hashed 24-byte piece, so equal strings pick equal anchors; runs of strings with one anchor are segments of at most 76 bytes.
 Blocks of documents ask the buckets of anchor hashes which of their anchors are in more than one document, and send the segments of those, each distinct
-one once, with its least document. A bucket sorts all suffixes of its segments column by column (bwt.py), reads off the groups of suffixes that
-share 50 bytes, and answers with the least document of each string. Blocks mark what a smaller document also has. Every 50-byte string of a segment holds
+one once, with its least document. A bucket sorts all suffixes of its distinct segments column by column (bwt.py), but of those that are alone with their anchor, which can meet
+nothing else, reads off the groups of suffixes that share 50 bytes, and answers with the least document of each string. Blocks mark what a smaller document also has. Every 50-byte string of a segment holds
 the whole anchor piece, so for sorting the piece is coded as two symbols that stand for its 24 bytes in that collection, and 50 bytes are 28 symbols.
 
 All exchanges are packed arrays, one row for each block and bucket; what many documents share is sent once by each block. An anchor with more than HOT
@@ -17,6 +17,7 @@ strings the one of the least identifier stays; extra columns are not read, whate
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ WIDEST = SPAN - 1 + LENGTH
 CODE = 2  # symbols that stand for a piece, each one of DIGITS
 DIGITS = 250
 BLOCK_BYTES = 8 << 20
-CHUNK = 1 << 20  # bytes that are scanned at once
+CHUNK = 1 << 16  # bytes that are scanned at once; what is made of them stays in a core's cache
+ROWS = 1 << 10  # strings whose contents are hashed at once
 HOT = 200_000
 COLLECTION = 8_192  # strings that are sorted together, or those of one anchor
 _FACTOR = bs.stream(6, 51)
@@ -83,11 +85,14 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k == 2 else np.int64) for k in range(4))
 
 
-def _rows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _windows(data: np.ndarray) -> np.ndarray:
+    """For each place, a view of the WIDEST bytes before it."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(WIDEST, np.uint8), data]), WIDEST)
+
+
+def _rows(windows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Substrings at the right end of rows, zeros before them."""
-    col = np.arange(WIDEST) - WIDEST
-    where = (starts + sizes)[:, None] + col
-    return np.where(-col <= sizes[:, None], data[np.maximum(where, 0)], np.uint8(0))
+    return windows[starts + sizes] * (np.arange(WIDEST, dtype=np.uint8) >= (WIDEST - sizes).astype(np.uint8)[:, None])
 
 
 class _Block:
@@ -101,15 +106,16 @@ class _Block:
         some = self.ids[self.doc] != NO_ID
         self.start, self.count, self.anchor, self.piece, self.doc = (x[some] for x in (self.start, self.count, self.anchor, self.piece, self.doc))
 
-    def anchors(self):
-        """Distinct (bucket, short hash) of anchors in order, where each segment's is, in how many documents each is, and how many strings have it."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (bucket, short hash) of anchors in order, and where each segment's is."""
         short = self.anchor >> np.uint64(32)
-        key = (self.anchor % np.uint64(self.buckets)) << np.uint64(32) | short
-        distinct, where = np.unique(key, return_inverse=True)
-        ids = self.ids[self.doc]
-        order = np.lexsort((ids, where))
-        new = np.append(True, (where[order][1:] != where[order][:-1]) | (ids[order][1:] != ids[order][:-1]))[: len(order)]
-        return distinct, where, np.bincount(where[order][new], minlength=len(distinct)), np.bincount(where, self.count, len(distinct)).astype(np.int64)
+        return np.unique((self.anchor % np.uint64(self.buckets)) << np.uint64(32) | short, return_inverse=True)
+
+    def counts(self, where: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """In how many documents each anchor is, and how many strings have it."""
+        names, name = np.unique(self.ids, return_inverse=True)
+        pairs = np.sort(where * len(names) + name[self.doc])
+        return np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] // max(len(names), 1), minlength=n), np.bincount(where, self.count, n).astype(np.int64)
 
     def strings(self, mask: np.ndarray, where: np.ndarray):
         """The segments to send: start, length, document, key, content hash and place of the piece, cut into single strings where the anchor is hot."""
@@ -120,10 +126,10 @@ class _Block:
         start = np.concatenate([self.start[one], single])
         size = np.concatenate([self.count[one] + LENGTH - 1, np.full(len(single), LENGTH)])
         doc = np.concatenate([self.doc[one], np.repeat(self.doc[many], n)])
-        content = np.empty(len(start), np.uint64)
-        for k in range(0, len(start), 1 << 14):
-            rows = _rows(self.data, start[k : k + (1 << 14)], size[k : k + (1 << 14)])
-            content[k : k + (1 << 14)] = bs.mix((rows.astype(np.uint64) * _SPREAD).sum(1, dtype=np.uint64) + size[k : k + (1 << 14)].astype(np.uint64))
+        content, windows = np.empty(len(start), np.uint64), _windows(self.data)
+        for k in range(0, len(start), ROWS):
+            rows = _rows(windows, start[k : k + ROWS], size[k : k + ROWS])
+            content[k : k + ROWS] = bs.mix((rows.astype(np.uint64) * _SPREAD).sum(1, dtype=np.uint64) + size[k : k + ROWS].astype(np.uint64))
         key = np.concatenate([self.anchor[one], content[len(one) :]])
         piece = np.concatenate([self.piece[one], np.repeat(self.piece[many], n)]) - start
         return start, size, doc, key, content, piece
@@ -148,6 +154,19 @@ def _mask(replies: pa.Table) -> np.ndarray:
     return np.concatenate([narrow(a) for _, a in rows]) if rows else np.zeros(0, np.uint8)
 
 
+def _collections(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sorted keys with about COLLECTION strings each, or more of one anchor; none parts an anchor."""
+    edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+    lo = 0
+    while lo < len(key):
+        far = int(np.searchsorted(edges, lo + COLLECTION, "right"))
+        hi = len(key) if lo + COLLECTION >= len(key) else int(edges[far - 1])
+        if hi <= lo:
+            hi = int(edges[far]) if far < len(edges) else len(key)
+        yield lo, hi
+        lo = hi
+
+
 def least_documents(strings: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each coded string and each place of a 50-byte string in it: the least document of all equal ones. One row to a string; unused places hold its own document."""
     m, whole = len(strings), LENGTH - PIECE + CODE
@@ -166,6 +185,40 @@ def least_documents(strings: np.ndarray, lengths: np.ndarray, docs: np.ndarray)
     return out
 
 
+def bucket_answers(data: np.ndarray, size: np.ndarray, key: np.ndarray, low: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For strings that lie one after another: which distinct string each is; of the distinct ones, the number of runs of places with one least document; and of all runs, the first place and that document."""
+    start = np.cumsum(size) - size
+    by_key = np.argsort(key, kind="stable")
+    first, windows = np.empty(len(size), np.int64), _windows(data)  # first: of equal strings
+    for lo, hi in _collections(key[by_key]):
+        own = by_key[lo:hi]
+        row = np.concatenate([_rows(windows, start[own], size[own]), size[own].astype(np.uint8)[:, None]], axis=1)
+        _, one, same = np.unique(np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        first[own] = own[one][same]
+    least = low.copy()
+    np.minimum.at(least, first, low)
+    # a string that is alone with its anchor meets itself only
+    distinct = by_key[first[by_key] == by_key]
+    edge = np.append(True, key[distinct][1:] != key[distinct][:-1])
+    with_others = np.bincount(np.cumsum(edge) - 1)[np.cumsum(edge) - 1] > 1
+    several = distinct[with_others]
+    answer = np.empty((len(several), SPAN), np.int64)
+    for lo, hi in _collections(key[several]):
+        own = several[lo:hi]
+        answer[lo:hi] = least_documents(*_coded(data, start[own], size[own], piece[own]), least[own])
+    # runs of equal answers within a string
+    new = np.ones(answer.shape, bool)
+    new[:, 1:] = answer[:, 1:] != answer[:, :-1]
+    new &= np.arange(SPAN) < (size[several] - LENGTH + 1)[:, None]
+    runs = np.ones(len(distinct), np.int64)
+    runs[with_others] = new.sum(1)
+    place, best, sorted_ = np.zeros(runs.sum(), np.int64), np.repeat(least[distinct], runs), np.repeat(with_others, runs)
+    place[sorted_], best[sorted_] = np.nonzero(new)[1], answer[new]
+    rank = np.empty(len(size), np.int64)
+    rank[distinct] = np.arange(len(distinct))
+    return rank[first], runs, place, best
+
+
 _ANSWER = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
 _ANSWER_DDL = "block long, kind int, bucket long, a binary, b binary, c binary"
 
@@ -180,7 +233,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask(t: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t, buckets)
-        key, _, n, strings = b.anchors()
+        key, where = b.anchors()
+        n, strings = b.counts(where, len(key))
         owner = (key >> np.uint64(32)).astype(np.int64)
         some, first = np.unique(owner, return_index=True)
         first = np.append(first, len(key))
@@ -198,7 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def send(t: pa.Table, replies: pa.Table) -> pa.Table:
         block, b = t.column("block")[0].as_py(), _Block(t, buckets)
-        _, where, *_ = b.anchors()
+        _, where = b.anchors()
         start, size, doc, key, content, piece = b.strings(_mask(replies), where)
         distinct, first, same = np.unique(content, return_index=True, return_inverse=True)
         low = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -217,38 +271,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         data = np.concatenate([narrow(r[2]) for r in rows])
         size, key, low, piece = (np.concatenate([unpack(r[c]) for r in rows]) for c in (3, 4, 5, 6))
         size, low, piece = size.astype(np.int64), low.view(np.int64), piece.astype(np.int64)
-        start = np.cumsum(size) - size
-        answer = np.empty((len(size), SPAN), np.int64)
-        by_key = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.append(True, key[by_key][1:] != key[by_key][:-1]))
-        lo = 0
-        while lo < len(by_key):
-            far = int(np.searchsorted(edges, lo + COLLECTION, "right"))
-            hi = len(by_key) if lo + COLLECTION >= len(by_key) else int(edges[far - 1])
-            if hi <= lo:
-                nxt = int(np.searchsorted(edges, lo, "right"))
-                hi = int(edges[nxt]) if nxt < len(edges) else len(by_key)
-            own = by_key[lo:hi]
-            coded, length = _coded(data, start[own], size[own], piece[own])
-            row = np.concatenate([coded, length.astype(np.uint8)[:, None]], axis=1)
-            whole = np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel()
-            _, first, same = np.unique(whole, return_index=True, return_inverse=True)
-            least = np.full(len(first), np.iinfo(np.int64).max)
-            np.minimum.at(least, same, low[own])
-            answer[own] = least_documents(coded[first], length[first], least)[same]
-            lo = hi
-        # runs of equal answers within a string
-        n = size - LENGTH + 1
-        new = np.zeros(answer.shape, bool)
-        new[:, 0] = True
-        new[:, 1:] = answer[:, 1:] != answer[:, :-1]
-        new &= np.arange(SPAN) < n[:, None]
+        rank, runs, place, best = bucket_answers(data, size, key, low, piece)
+        begin = np.cumsum(runs) - runs
         out, at = [], 0
         for bucket, block, _, z, *_ in rows:
-            k = len(unpack(z))
-            which, place = np.nonzero(new[at : at + k])
-            out.append((block, 2, bucket, pack(new[at : at + k].sum(1)), pack(place), pack(answer[at : at + k][which, place].view(np.uint64))))
-            at += k
+            own = rank[at : at + len(unpack(z))]
+            n = runs[own]
+            r = np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((block, 2, bucket, pack(n), pack(place[r]), pack(best[r].view(np.uint64))))
+            at += len(own)
         return _table(_ANSWER, out)
 
     def final(t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -257,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = np.array(replies.column("kind").to_pylist(), np.int64)
         masks, answers = replies.filter(pa.array(kinds == 1)), replies.filter(pa.array(kinds == 2))
         if answers.num_rows:
-            _, where, *_ = b.anchors()
+            _, where = b.anchors()
             start, size, doc, key, content, _ = b.strings(_mask(masks), where)
             _, first, same = np.unique(content, return_index=True, return_inverse=True)
             order, _, _ = _by_bucket(key[first], buckets)
@@ -277,14 +308,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = least[r] < b.ids[doc][who]
             np.add.at(gone, (start[who] + place[r])[hit], 1)
             np.add.at(gone, (start[who] + stop)[hit] + LENGTH - 1, -1)
-        covered = np.cumsum(gone[:-1]) > 0
+        covered = np.cumsum(gone[:-1], dtype=np.int32) > 0
         edge = covered.copy()
         edge[1:] &= ~covered[:-1]
         heads = b.at[:-1][b.at[:-1] < b.at[1:]]
         edge[heads] = covered[heads]
-        total, spans = np.concatenate([[0], np.cumsum(covered)]), np.concatenate([[0], np.cumsum(edge)])
+        removed, spans = (np.diff(np.searchsorted(np.flatnonzero(x), b.at)) for x in (covered, edge))
         kept = [b.data[x:y][~covered[x:y]].tobytes() for x, y in zip(b.at[:-1], b.at[1:], strict=True)]
-        cols = {"_id": t.column("_id"), "n_bytes": pa.array(np.diff(b.at)), "n_removed": pa.array(np.diff(total[b.at])), "n_spans": pa.array(np.diff(spans[b.at])), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+        cols = {"_id": t.column("_id"), "n_bytes": pa.array(np.diff(b.at)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
         return pa.table(cols | ({"_kept": pa.array(kept, pa.binary())} if keep_text else {}))
 
     dealt = texts.groupBy("block")

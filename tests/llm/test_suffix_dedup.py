@@ -75,3 +75,44 @@ def test_transform_and_prefixes():
         assert seq == sorted(seq)
         common = [0] + [next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))) for x, y in zip(seq, seq[1:], strict=False)]
         assert common == prefix.tolist()
+
+
+def test_strings_that_are_alone_with_their_anchor_are_not_sorted(monkeypatch):
+    """Copies are one string; only what differs and shares an anchor is sorted, and answers are those of all pairs."""
+    random.seed(8)
+    letters = [bytes(random.choice(b"abcdefgh") for _ in range(76)) for _ in range(300)]
+    texts = letters + letters[:200] + [x[:60] for x in letters[:50]] + [x[5:-3] + b"\xc3\xa9!" for x in letters[100:110]]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts])
+    start, count, anchor, piece = suffix_dedup.segments(data, at)
+    size, docs = count + 49, np.searchsorted(at, start, "right")[::-1].copy()
+    cut = [data[s : s + n].tobytes() for s, n in zip(start, size, strict=True)]
+    sorted_, least_documents = [], suffix_dedup.least_documents
+    monkeypatch.setattr(suffix_dedup, "least_documents", lambda strings, *more: sorted_.append(len(strings)) or least_documents(strings, *more))
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 16)
+    rank, runs, place, best = suffix_dedup.bucket_answers(np.frombuffer(b"".join(cut), np.uint8), size, anchor, docs, piece - start)
+    held = {}
+    for x, h in zip(cut, anchor.tolist(), strict=True):
+        held.setdefault(h, set()).add(x)
+    assert 0 < sum(sorted_) == sum(len(x) for x in held.values() if len(x) > 1) < len(set(cut))
+    first = {}
+    for x, d in zip(cut, docs, strict=True):
+        for k in range(len(x) - 49):
+            first[x[k : k + 50]] = min(d, first.get(x[k : k + 50], d))
+    begin = np.cumsum(runs) - runs
+    for x, r in zip(cut, rank, strict=True):
+        ends = [*place[begin[r] + 1 : begin[r] + runs[r]], len(x) - 49]
+        got = [d for p, q, d in zip(place[begin[r] :], ends, best[begin[r] :], strict=False) for _ in range(p, q)]
+        assert got == [first[x[k : k + 50]] for k in range(len(x) - 49)]
+
+
+def test_documents_longer_than_what_is_scanned_at_once(monkeypatch):
+    """Each string starts in exactly one segment and has the same anchor, however documents are cut for scanning."""
+    random.seed(9)
+    data = np.frombuffer(bytes(random.choice(b"ab ") for _ in range(40_000)), np.uint8)
+    at = np.array([0, 30_000, 30_049, 30_049, 30_100, 40_000])
+    seen = []
+    for chunk in (256, 5_000, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        seen.append(sorted((int(s) + k, int(p)) for s, n, _, p in zip(*suffix_dedup.segments(data, at), strict=True) for k in range(n)))
+    assert seen[0] == seen[1] == seen[2]
+    assert [s for s, _ in seen[0]] == [s for a, b in zip(at, at[1:], strict=False) for s in range(a, b - 49)]
