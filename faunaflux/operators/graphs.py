@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chord, d, unit_sphere
-from . import neighbours
+from . import near, neighbours
 from .recipe import standard_scale
 
 K, ALPHA = 8, 0.5
@@ -56,31 +56,32 @@ def hybrid_knn(df: DataFrame, keys: list[str], node: str, features: list[str], k
     return symmetrise(knn_edges(t, keys, node, z + ze, k), keys)
 
 
-def radius_edges(df: DataFrame, keys: list[str], node: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
-    """All pairs within the radius: an equi-join on grid cells, checked by distance."""
+def _plane(x: str, y: str, radius: float) -> list:
     if radius <= 0:
         raise ValueError("the radius must be positive")
-    p = df.select(*keys, F.col(node).alias("src"), F.col(x).cast("double").alias("ax"), F.col(y).cast("double").alias("ay"))
-    p = p.withColumn("cx", F.floor(F.col("ax") / radius)).withColumn("cy", F.floor(F.col("ay") / radius))
-    q = p.select(*keys, F.col("src").alias("dst"), F.col("ax").alias("bx"), F.col("ay").alias("by"), F.explode(F.array(*[F.col("cx") + i for i in (-1, 0, 1)])).alias("cx"), "cy")
-    q = q.withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
-    near = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2) <= radius * (1 + 1e-12)
-    return p.join(q, [*keys, "cx", "cy"]).where(near & (F.col("src") != F.col("dst"))).select(*keys, "src", "dst")
+    return [F.col(x).cast("double"), F.col(y).cast("double")]
+
+
+def radius_edges(df: DataFrame, keys: list[str], node: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+    """All pairs within the radius."""
+    return near.pairs(df, keys, node, _plane(x, y, radius), radius)
+
+
+def radius_degrees(df: DataFrame, keys: list[str], node: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+    """degree_stats() of radius_edges(), without the edges."""
+    return near.degrees(df, keys, node, _plane(x, y, radius), radius)
+
+
+def radius_smoothed(df: DataFrame, keys: list[str], node: str, features: list[str], radius: float, hops: int = 2, x: str = "x", y: str = "y") -> DataFrame:
+    """learners.graph_smoothed() of radius_edges(), without the edges."""
+    return near.smoothed(df, keys, node, features, _plane(x, y, radius), radius, hops)
 
 
 def geographic_radius(df: DataFrame, keys: list[str], node: str, metres: float, x: str = "x", y: str = "y") -> DataFrame:
-    """All pairs within so many metres on the sphere: cells of the chord's size in three dimensions, so no seam and no poles, checked by the chord."""
+    """All pairs within so many metres on the sphere, by the chord in three dimensions, so no seam and no poles."""
     if metres <= 0:
         raise ValueError("the radius must be positive")
-    r = chord(metres)
-    a, b, c = unit_sphere(x, y)
-    p = df.select(*keys, F.col(node).alias("src"), a.alias("ax"), b.alias("ay"), c.alias("az"))
-    p = p.withColumns({f"c{v}": F.floor(F.col(f"a{v}") / r) for v in "xyz"})
-    q = p.select(*keys, F.col("src").alias("dst"), F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("az").alias("bz"), "cx", "cy", "cz")
-    for v in "xyz":
-        q = q.withColumn(f"c{v}", F.explode(F.array(*[F.col(f"c{v}") + i for i in (-1, 0, 1)])))
-    far = F.sqrt(sum(((F.col(f"a{v}") - F.col(f"b{v}")) ** 2 for v in "xyz"), d(0)))
-    return p.join(q, [*keys, "cx", "cy", "cz"]).where((far <= r * (1 + 1e-12)) & (F.col("src") != F.col("dst"))).select(*keys, "src", "dst")
+    return near.pairs(df, keys, node, list(unit_sphere(x, y)), chord(metres))
 
 
 def user_graph(edges: DataFrame, n_nodes: int) -> DataFrame:

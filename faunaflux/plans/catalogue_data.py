@@ -441,8 +441,7 @@ def graph_radius(spark, d):
 
 @query("graph_degree_stats", RADIUS + ", g AS (SELECT n.region, n.spid, n.ord, count(src) AS deg FROM n LEFT JOIN e ON e.src = n.ord GROUP BY ALL) SELECT region, spid, count(*) AS n_nodes, sum(deg)::bigint AS n_edges, round(sum(deg)::double / count(*), 6) AS mean_degree, count(*) FILTER (deg = 0) AS isolated_nodes FROM g GROUP BY ALL", OCC)
 def graph_degree_stats(spark, d):
-    n = _nodes(spark, d)
-    return graphs.degree_stats(graphs.radius_edges(n, G, "ord", 9000), n, G, "ord")
+    return graphs.radius_degrees(_nodes(spark, d), G, "ord", 9000)
 
 
 @query("graph_user", "SELECT 0::bigint AS src, n_nationkey::bigint AS dst FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey::bigint, 0::bigint FROM nation WHERE n_nationkey > 0")

@@ -226,8 +226,7 @@ def linear_shapley(spark, d):
 
 @query("graph_smoothing", None)
 def graph_smoothing(spark, d):
-    n = views.occ(spark, d).select(*G, "ord", "x", "y", "age")
-    return learners.graph_smoothed(n, graphs.radius_edges(n, G, "ord", 9000), G, "ord", ["age"])
+    return graphs.radius_smoothed(views.occ(spark, d).select(*G, "ord", "x", "y", "age"), G, "ord", ["age"], 9000)
 
 
 @query("skip_rows", "SELECT 'xgboost' AS model_name, 'SKIPPED_DEPENDENCY' AS status, 'xgboost is not available here' AS error UNION ALL SELECT 'tabpfn-sdm', 'SKIPPED_LICENSE', 'tabpfn-sdm is not available here'")
