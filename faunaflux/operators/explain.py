@@ -34,26 +34,52 @@ def paths(tree: dict) -> list[tuple[float, dict[int, list[float]]]]:
     return out
 
 
+def _of_leaf(value: float, share: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Values (row, feature of the path) of one leaf, by which of its intervals rows lie in."""
+    m = len(share)
+    out = np.zeros((len(inside), m))
+    weights = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    for i in range(m):
+        # by number of other features known: sum of products of what each of them counts
+        known = np.zeros((len(inside), m))
+        known[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                more = known * share[j]
+                more[:, 1:] += known[:, :-1] * inside[:, j : j + 1]
+                known = more
+        out[:, i] = value * (inside[:, i] - share[i]) * (known @ weights)
+    return out
+
+
 def shapley(x: np.ndarray, leaves: list[tuple[float, dict[int, list[float]]]], width: int) -> tuple[np.ndarray, float]:
     """Values (row, feature) of the sum of leaves, and the mean."""
     phi, mean = np.zeros((len(x), width)), 0.0
+    over: dict[tuple[int, float], np.ndarray] = {}  # by feature and threshold, which many leaves share
     for value, path in leaves:
         names, m = list(path), len(path)
         share = np.array([path[f][2] for f in names])
         mean += value * float(np.prod(share))
+        if m and 1 << m <= len(x):
+            # rows are told apart only by which of the intervals they lie in
+            kind = np.zeros(len(x), np.intp)
+            for j, f in enumerate(names):
+                low, high, _ = path[f]
+                for at in (low, high):
+                    if np.isfinite(at) and (f, at) not in over:
+                        over[f, at] = x[:, f] > at
+                inside = ~over[f, high] if np.isfinite(high) else np.ones(len(x), bool)
+                kind |= (inside & over[f, low] if np.isfinite(low) else inside).astype(np.intp) << j
+            rows = np.arange(1 << m)
+            own = _of_leaf(value, share, (rows[:, None] >> np.arange(m) & 1).astype(float))
+            for i, f in enumerate(names):
+                phi[:, f] += own[:, i].take(kind)
+            continue
         # a value that goes low at every split is inside where nothing bounds it from below
         inside = np.stack([((x[:, f] > path[f][0]) | (path[f][0] == -np.inf)) & (x[:, f] <= path[f][1]) for f in names], 1).astype(float) if m else np.zeros((len(x), 0))
+        own = _of_leaf(value, share, inside)
         for i, f in enumerate(names):
-            # by number of other features known: sum of products of what each of them counts
-            known = np.zeros((len(x), m))
-            known[:, 0] = 1.0
-            for j in range(m):
-                if j != i:
-                    more = known * share[j]
-                    more[:, 1:] += known[:, :-1] * inside[:, j : j + 1]
-                    known = more
-            weights = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-            phi[:, f] += value * (inside[:, i] - share[i]) * (known @ weights)
+            phi[:, f] += own[:, i]
     return phi, mean
 
 

@@ -1,6 +1,6 @@
 """Fits of all groups at once whose every step is a sum (or greatest value) over rows: small groups side by side within tasks, large ones by sums that Spark adds.
 
-A learner asks its data for totals of a function of rows and never sees where they are: up to ONE_TASK rows of a group are one task's, beyond that every batch sends its part and
+A learner asks its data for totals of a function of rows and never sees where they are: up to ONE_TASK values (rows x features) of a group are one task's, beyond that every batch sends its part and
 the rows stay in their partitions. What it gives is one array of numbers, the group's row in the model table.
 """
 
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import d, finite
 from ..lineage import durable
-from .trees import chunked
+from .trees import ONE_TASK, chunked, numbers
 
-ONE_TASK = 200_000  # training rows of a group that a task takes
+BATCH = 1 << 13  # rows at a time within a task
 
 
 class Info(NamedTuple):
@@ -39,7 +39,12 @@ class Here:
         self.x, self.y, self.w, self.info = x, y, w, info
 
     def total(self, of, greatest: bool = False) -> np.ndarray:
-        return of(self.x, self.y, self.w)
+        """The sum, or greatest values, of of(x, y, w) over batches: a learner makes hundreds of columns of a row."""
+        total = None
+        for i in range(0, max(len(self.x), 1), BATCH):
+            part = of(*(v[i : i + BATCH] for v in (self.x, self.y, self.w)))
+            total = part if total is None else np.maximum(total, part) if greatest else total + part
+        return total
 
 
 class There:
@@ -72,24 +77,26 @@ def _info(r, k: int) -> Info:
     return Info(*(np.array([float(r[f"__{n}{i}"] if r[f"__{n}{i}"] is not None else 0.0) for i in range(k)]) for n in ("m", "s", "l", "h")), float(r["__p"]), float(r["__b"]))
 
 
-def fit(train: DataFrame, keys: list[str], features: list[str], learner, y: str = "occ", weight: Column | None = None, one_task: int = ONE_TASK) -> DataFrame:
+def fit(train: DataFrame, keys: list[str], features: list[str], learner, y: str = "occ", weight: Column | None = None, one_task: int | None = None) -> DataFrame:
     """keys, beta (what learner.fit(data) gives): missing and non-finite values count as the group's mean."""
     stats = [f(finite(x)).alias(f"__{n}{i}") for i, x in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("l", F.min), ("h", F.max))]
     info = durable(train.groupBy(*keys).agg(*stats, F.count_if(F.col(y) == 1).alias("__p"), F.count_if(F.col(y) != 1).alias("__b")))
     x = F.array(*[F.coalesce(finite(c), F.col(f"__m{i}"), d(0)) for i, c in enumerate(features)])
-    names = [c for c in info.columns if c not in keys]
-    rows = train.join(info, keys).select(*keys, *names, x.alias("x"), (F.col(y) == 1).cast("double").alias("y"), (weight if weight is not None else d(1)).cast("double").alias("w"))
+    one_task = ONE_TASK // max(1, len(features)) if one_task is None else one_task
+    rows = train.join(info, keys).select(*keys, "__p", "__b", x.alias("x"), (F.col(y) == 1).cast("double").alias("y"), (weight if weight is not None else d(1)).cast("double").alias("w"))
     kinds, k = dict(train.dtypes), len(features)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "beta array<double>"])
     small = F.col("__p") + F.col("__b") <= one_task
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        out = t[keys].iloc[:1].copy()
-        out["beta"] = [learner.fit(Here(np.stack(t["x"].to_list()), t["y"].to_numpy(), t["w"].to_numpy(), _info(t.iloc[0], k)))]
-        return out
+    def one(t: pa.Table, of: pa.Table) -> pa.Table:
+        x = t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, k)
+        beta = learner.fit(Here(x, numbers(t, "y"), numbers(t, "w"), _info(of.to_pylist()[0], k)))
+        return pa.table([*(of.column(c) for c in keys), pa.array([beta.tolist()], pa.list_(pa.float64()))], [*keys, "beta"])
 
     parts = 4 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work on few bytes
-    found = rows.where(small).repartition(parts, *keys).groupBy(*keys).applyInPandas(one, schema)
+    own = rows.where(small).select(*keys, "x", "y", "w").repartition(parts, *keys)
+    of = info.na.drop(subset=keys).where(small).select(*[F.col(f"`{c}`").alias(c) for c in info.columns]).repartition(parts, *keys)
+    found = own.groupBy(*keys).cogroup(of.groupBy(*keys)).applyInArrow(one, schema)
     for g in info.where(~small).toLocalIterator():  # few: each has more rows than a task takes
         own = rows
         for c in keys:
@@ -108,7 +115,8 @@ def apply(model: DataFrame, test: DataFrame, keys: list[str], features: list[str
         out = rows[[*keys, row]].iloc[: len(rows) if len(of) else 0].copy()
         if len(of):
             x = rows[features].to_numpy(float)
-            out["p"] = learner.predict(np.asarray(of["beta"].iloc[0]), np.where(np.isfinite(x), x, np.nan))
+            x, beta = np.where(np.isfinite(x), x, np.nan), np.asarray(of["beta"].iloc[0])
+            out["p"] = np.concatenate([learner.predict(beta, x[i : i + BATCH]) for i in range(0, max(len(x), 1), BATCH)])
         else:
             out["p"] = pd.Series(dtype=float)
         return out

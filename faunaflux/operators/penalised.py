@@ -131,6 +131,7 @@ class Maxnet:
         ends = data.total(lambda x, y, w: np.stack([(f := self.expand(x, low, high)).max(0), (-f).max(0)]), greatest=True)
         least, wide = -ends[1], ends[0] + ends[1]
         wide = np.where(wide > 0, wide, 1)
+        pieces = Pieces(self, low, high, least, wide)
         scaled = lambda x: np.column_stack([np.ones(len(x)), (self.expand(x, low, high) - least) / wide])
         moments = data.total(lambda x, y, w: np.stack([(f := scaled(x)[y == 1]).sum(0), (f * f).sum(0)]))[:, 1:]
         penalty = np.r_[0, self.penalties(moments, info.presences)]
@@ -139,7 +140,7 @@ class Maxnet:
 
         def loss(b, pen):
             def of(x, y, w):
-                z = scaled(x) @ b
+                z = pieces.score(x, b)
                 soft = np.logaddexp(0, z)
                 return np.array([(y * (soft - z) + BACKGROUND * soft).sum()])
 
@@ -151,11 +152,10 @@ class Maxnet:
             for _ in range(self.rounds):
 
                 def of(x, y, w, beta=beta):
-                    f = scaled(x)
-                    p = expit(f @ beta)
-                    return np.column_stack([f.T @ (f * ((y + BACKGROUND) * p * (1 - p))[:, None]), f.T @ (y - (y + BACKGROUND) * p)])
+                    p = expit(pieces.score(x, beta))
+                    return pieces.gram(x, (y + BACKGROUND) * p * (1 - p), y - (y + BACKGROUND) * p)
 
-                t = data.total(of)
+                t = pieces.lift(data.total(of))
                 hess, grad = t[:, :-1] + np.diag(np.full(len(beta), 1e-10)), t[:, -1]
                 if kkt(beta, grad, pen) <= 1e-7 * max(info.presences, 1):
                     break
@@ -167,8 +167,8 @@ class Maxnet:
                     break
                 beta, value = beta + scale * step, now
         # over all of the background: the log of the sum of exponentials, and the entropy of their shares
-        ends = data.total(lambda x, y, w: np.array([(scaled(x) @ beta).max()]), greatest=True)[0]
-        parts = data.total(lambda x, y, w: np.array([(e := np.exp((z := scaled(x) @ beta) - ends)).sum(), (e * z).sum()]))
+        ends = data.total(lambda x, y, w: np.array([pieces.score(x, beta).max()]), greatest=True)[0]
+        parts = data.total(lambda x, y, w: np.array([(e := np.exp((z := pieces.score(x, beta)) - ends)).sum(), (e * z).sum()]))
         log_sum = ends + np.log(parts[0])
         entropy = log_sum - parts[1] / parts[0]
         return np.r_[low, high, info.mean, least, wide, beta, log_sum, entropy]
@@ -206,6 +206,89 @@ class Maxnet:
         return 1 - np.exp(-np.exp(np.clip(self.design(model, x) @ beta - log_sum[0] + entropy[0], -700, 30)))
 
 
+class Pieces:
+    """Scores and Gram matrices of Maxnet's scaled features (the intercept first) without the features.
+
+    Between the knots of one variable, hinges and thresholds are straight lines in it: they are combinations of a one and the variable in each interval, and linear, quadratic and
+    product features of those themselves. A row has a few of such pieces that are not 0, so sums over pairs of intervals stand for the products of hundreds of features."""
+
+    def __init__(self, learner: Maxnet, low: np.ndarray, high: np.ndarray, least: np.ndarray, wide: np.ndarray):
+        self.learner, self.low, self.wide, k = learner, low, np.where(high > low, high - low, 1), len(low)
+        self.knots = np.unique(np.r_[np.linspace(0, 1, KNOTS), np.linspace(0, 1, KNOTS + 2)[1:-1]])
+        self.knots = self.knots[np.r_[True, np.diff(self.knots) > 1e-12]][1:-1]
+        self.n = len(self.knots) + 1
+        kinds = learner.kinds(k)
+        self.smooth = np.flatnonzero(np.isin(kinds, ["l", "q", "p"]))
+        self.plain = len(self.smooth) + 1
+        # columns: one, smooth features, and of each variable and interval a one and the variable
+        self.to = np.zeros((self.plain + 2 * k * self.n, len(kinds) + 1))
+        self.to[0, 0] = 1.0
+        self.to[1 + np.arange(len(self.smooth)), 1 + self.smooth] = 1.0
+        ends = np.r_[0.0, self.knots, 1.0]
+        at = ends[:-1] + np.diff(ends) / np.array([[3.0], [1.5]])
+        values = [learner.expand(low + self.wide * z[:, None], low, high) for z in at]
+        slope = (values[1] - values[0]) / (at[1] - at[0])[:, None]
+        start = values[0] - slope * at[0][:, None]
+        count = {c: int((kinds == c).sum()) // k for c in "ht"}
+        first = len(self.smooth)
+        for c, times in (("h", 2), ("t", 1)):
+            each = count[c] // times
+            for _ in range(times):
+                for i in range(k if each else 0):
+                    f, row = slice(first + i * each, first + (i + 1) * each), self.plain + 2 * i * self.n
+                    self.to[row : row + self.n, 1 + f.start : 1 + f.stop] = start[:, f]
+                    self.to[row + self.n : row + 2 * self.n, 1 + f.start : 1 + f.stop] = slope[:, f]
+                first += k * each
+        self.to[:, 1:] /= wide
+        self.to[0, 1:] -= least / wide
+
+    def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One and smooth features (row, column); variables between 0 and 1, and their intervals."""
+        z = (x - self.low) / self.wide
+        smooth = Maxnet("".join(c for c in self.learner.classes if c in "lqp"))
+        plain = np.column_stack([np.ones(len(x)), smooth.expand(x, self.low, self.low)]) if smooth.classes else np.ones((len(x), 1))
+        return plain, z, np.stack([np.searchsorted(self.knots, v) for v in z.T])
+
+    def score(self, x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        plain, z, at = self.parts(x)
+        b = self.to @ beta
+        out = plain @ b[: self.plain]
+        for i, j in enumerate(at):
+            own = b[self.plain + 2 * i * self.n :]
+            out += own[: self.n].take(j) + own[self.n : 2 * self.n].take(j) * z[:, i]
+        return out
+
+    def gram(self, x: np.ndarray, v: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """(piece, piece + 1): sums of products, weighed by v, and of pieces times r; see lift()."""
+        plain, z, at = self.parts(x)
+        n, p = self.n, self.plain
+        g, right = np.zeros((len(self.to),) * 2), np.zeros(len(self.to))
+        weighed = plain * v[:, None]
+        g[:p, :p], right[:p] = plain.T @ weighed, plain.T @ r
+        for i, a in enumerate(at):
+            row = p + 2 * i * n
+            one, var = slice(row, row + n), slice(row + n, row + 2 * n)
+            count = lambda w, key=a: np.bincount(key, w, n)
+            right[one], right[var] = count(r), count(r * z[:, i])
+            for c in range(p):
+                g[c, one], g[c, var] = count(weighed[:, c]), count(weighed[:, c] * z[:, i])
+            for j in range(i + 1):
+                col, key = p + 2 * j * n, a * n + at[j]
+                for s, left in enumerate((v, v * z[:, i])):
+                    for t, w in enumerate((left, left * z[:, j])):
+                        g[row + s * n : row + (s + 1) * n, col + t * n : col + (t + 1) * n] = np.bincount(key, w, n * n).reshape(n, n)
+        g[p:, :p] = g[:p, p:].T
+        for i in range(len(at)):
+            for j in range(i):
+                a, b = slice(p + 2 * i * n, p + 2 * (i + 1) * n), slice(p + 2 * j * n, p + 2 * (j + 1) * n)
+                g[b, a] = g[a, b].T
+        return np.column_stack([g, right])
+
+    def lift(self, total: np.ndarray) -> np.ndarray:
+        """(feature, feature + 1) of the pieces' sums."""
+        return np.column_stack([self.to.T @ total[:, :-1] @ self.to, self.to.T @ total[:, -1]])
+
+
 def kkt(beta: np.ndarray, grad: np.ndarray, penalty: np.ndarray) -> float:
     """How far the gradient of the likelihood is from what the penalties allow."""
     return float(np.where(beta != 0, np.abs(grad - penalty * np.sign(beta)), np.maximum(np.abs(grad) - penalty, 0)).max())

@@ -117,19 +117,21 @@ def forest_draws(spark, d):
 
 
 def _rest(spark, d, name, off):
-    """How far the fitted model of each group is from where its penalised likelihood is greatest, per presence, at four digits: off(learner, model, x, y)."""
+    """How far the fitted model of each group is from where its penalised likelihood is greatest, per presence, at four digits: off(learner, model, total, presences), where total sums a
+    function of x and y over the rows, in batches."""
     learner = penalised.LEARNERS[name]()
     train = _train(spark, d)
     model = grouped.fit(train, G, PREDICTORS, learner)
     by = lambda t: t.groupBy(*G)
 
     def run(rows, of):
-        y = rows["occ"].to_numpy(float)
+        data = grouped.Here(rows[PREDICTORS].to_numpy(float), rows["occ"].to_numpy(float), np.ones(len(rows)), None)
         out = rows[G].iloc[:1].copy()
-        out["n"], out["rest"] = len(rows), round(off(learner, np.asarray(of["beta"].iloc[0]), rows[PREDICTORS].to_numpy(float), y) / max(y.sum(), 1), 4) + 0.0
+        total = lambda f: data.total(lambda x, y, w: f(x, y))
+        out["n"], out["rest"] = len(rows), round(off(learner, np.asarray(of["beta"].iloc[0]), total, data.y.sum()) / max(data.y.sum(), 1), 4) + 0.0
         return out
 
-    return by(train).cogroup(by(model)).applyInPandas(run, "region string, spid string, n long, rest double")
+    return by(train.select(*G, *PREDICTORS, "occ")).cogroup(by(model)).applyInPandas(run, "region string, spid string, n long, rest double")
 
 
 REST = ", g AS (SELECT region, spid, count(*) AS n FROM occ WHERE part = 'train' GROUP BY ALL) SELECT region, spid, n, 0.0::double AS rest FROM g"
@@ -139,11 +141,16 @@ REST = ", g AS (SELECT region, spid, count(*) AS n FROM occ WHERE part = 'train'
 def maxnet_rest(spark, d):
     """By how much the conditions of the L1-penalised optimum are missed."""
 
-    def off(learner, model, x, y):
-        f, beta = learner.design(model, x), learner.parts(model, 3)[5]
-        q = penalised.expit(f @ beta)
-        moments = np.stack([f[y == 1].sum(0), (f[y == 1] ** 2).sum(0)])[:, 1:]
-        return penalised.kkt(beta, f.T @ (y - (y + penalised.BACKGROUND) * q), np.r_[0, learner.penalties(moments, y.sum())])
+    def off(learner, model, total, presences):
+        beta = learner.parts(model, 3)[5]
+
+        def sums(x, y):
+            f = learner.design(model, x)
+            q = penalised.expit(f @ beta)
+            return np.stack([f[y == 1].sum(0), (f[y == 1] ** 2).sum(0), f.T @ (y - (y + penalised.BACKGROUND) * q)])
+
+        t = total(sums)
+        return penalised.kkt(beta, t[2], np.r_[0, learner.penalties(t[:2, 1:], presences)])
 
     return _rest(spark, d, "maxnet", off)
 
@@ -152,10 +159,14 @@ def maxnet_rest(spark, d):
 def gam_rest(spark, d):
     """The largest part of the penalised likelihood's gradient."""
 
-    def off(learner, model, x, y):
+    def off(learner, model, total, presences):
         ends, strength, beta = learner.parts(model, 3)
-        f = learner.design(x, ends)
-        return np.abs(f.T @ (y - penalised.expit(f @ beta)) - np.tensordot(strength, learner.penalty(3), 1) @ beta).max()
+
+        def gradient(x, y):
+            f = learner.design(x, ends)
+            return f.T @ (y - penalised.expit(f @ beta))
+
+        return np.abs(total(gradient) - np.tensordot(strength, learner.penalty(3), 1) @ beta).max()
 
     return _rest(spark, d, "gam", off)
 

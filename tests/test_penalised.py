@@ -111,3 +111,27 @@ def test_splines_sum_to_one_and_go_on_straight():
     assert np.allclose(g.basis(z).sum(1), 1) and (g.basis(z) >= -1e-12).all()
     beyond = g.basis(np.array([1.0, 1.5, 2.0]))
     assert np.allclose(beyond[2] - beyond[1], beyond[1] - beyond[0])
+
+
+@pytest.mark.parametrize("classes", ["lqpht", "lqh", "ht", "lt"])
+def test_pieces_stand_for_all_features(classes):
+    """Scores and Gram matrices of intervals equal those of the features themselves; a constant variable, values on knots."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.uniform(-2, 5, 3000), np.round(rng.uniform(0, 1, 3000) * 49) / 49, rng.normal(size=3000) * 1e4])
+    learner, low, high = penalised.Maxnet(classes), x.min(0), x.max(0)
+    f = learner.expand(x, low, high)
+    least, wide = f.min(0), np.where(f.max(0) > f.min(0), f.max(0) - f.min(0), 1)
+    f = np.column_stack([np.ones(len(x)), (f - least) / wide])
+    pieces = penalised.Pieces(learner, low, high, least, wide)
+    beta, v, r = rng.normal(size=f.shape[1]), rng.random(3000), rng.normal(size=3000)
+    assert np.abs(pieces.score(x, beta) - f @ beta).max() < 1e-9 * np.abs(beta).sum()
+    assert np.abs(pieces.lift(pieces.gram(x, v, r)) - np.column_stack([f.T @ (f * v[:, None]), f.T @ r])).max() < 1e-8
+
+
+def test_a_group_of_many_rows_is_one_task(spark, monkeypatch):
+    """Beyond 200 000 rows every step was a Spark job, and every row hundreds of columns."""
+    monkeypatch.setattr(grouped, "There", None)
+    t = spark.range(250_000).select(F.lit("r").alias("region"), F.lit("s").alias("spid"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    t = t.withColumn("occ", (F.col("a") + F.rand(4) > 1).cast("int"))
+    for learner in (penalised.Svm(cosines=16, rounds=3), penalised.Maxnet(rounds=2)):
+        assert np.isfinite(grouped.fit(t, ["region", "spid"], ["a", "b"], learner).first().beta).all()
